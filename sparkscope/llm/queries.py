@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3
+from .packing import op2
 from .simhash import op9
 from .token_counts import op4
+from .token_files import op10
 
 QUERIES = {
+    "op2_packing": op2,
     "op3_benchmark_decontamination": op3,
     "op4_token_counts": op4,
     "op9_simhash_near_dedup": op9,
+    "op10_token_files": op10,
 }
 
 ORACLE_SQL = {
