@@ -7,15 +7,18 @@ from .packing import op2
 from .simhash import op9
 from .token_counts import op4
 from .token_files import op10
+from .warc import OP8_SQL, op8
 
 QUERIES = {
     "op2_packing": op2,
     "op3_benchmark_decontamination": op3,
     "op4_token_counts": op4,
+    "op8_warc": op8,
     "op9_simhash_near_dedup": op9,
     "op10_token_files": op10,
 }
 
 ORACLE_SQL = {
     "op3_benchmark_decontamination": OP3_SQL,
+    "op8_warc": OP8_SQL,
 }
