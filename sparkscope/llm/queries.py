@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3
+from .embedding_dedup import OP7_SQL, op7
 from .packing import op2
 from .simhash import op9
 from .token_counts import op4
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_packing": op2,
     "op3_benchmark_decontamination": op3,
     "op4_token_counts": op4,
+    "op7_embedding_near_dedup": op7,
     "op8_warc": op8,
     "op9_simhash_near_dedup": op9,
     "op10_token_files": op10,
@@ -20,5 +22,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_benchmark_decontamination": OP3_SQL,
+    "op7_embedding_near_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
 }
