@@ -8,9 +8,11 @@ from .packing import op2
 from .simhash import op9
 from .token_counts import op4
 from .token_files import op10
+from .toxicity import op1
 from .warc import OP8_SQL, op8
 
 QUERIES = {
+    "op1_toxicity": op1,
     "op2_packing": op2,
     "op3_benchmark_decontamination": op3,
     "op4_token_counts": op4,
