@@ -18,6 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches, table
 
@@ -97,8 +98,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own = [f"_runs{uuid.uuid4().hex[:6]}", f"_items{uuid.uuid4().hex[:6]}"]
     carried = [F.struct(*[docs[c] for c in carry]).alias("carried")] if carry else []
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<int>").alias(own[0]), F.lit(None).cast("array<string>").alias(own[1]), *carried)
-    kept = rows.select("carried").schema.simpleString().removeprefix("struct<carried:")[:-1] if carry else ""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type = docs.schema[id_col].dataType
     for part in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         sent, key = sc.broadcast([(r.item_id, r.text) for r in mine.collect()]), uuid.uuid4().hex
@@ -134,7 +134,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 else:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.string())), *b.columns[4:]], ["id", "text", *own, *b.schema.names[4:]])
 
-        rows = map_batches(rows, run, f"id {id_type}, " + (RESULT if last else f"text string, {own[0]} array<int>, {own[1]} array<string>") + (f", carried {kept}" if carry else ""))
+        fields = T.StructType.fromDDL(RESULT if last else f"text string, {own[0]} array<int>, {own[1]} array<string>").fields
+        rows = map_batches(rows, run, T.StructType([T.StructField("id", id_type), *fields, *([rows.schema["carried"]] if carry else [])]))
     return rows.withColumnRenamed("id", id_col)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP3_SQL, op3
 from .embedding_dedup import OP7_SQL, op7
 from .packing import op2
+from .quality import op6
 from .simhash import op9
 from .token_counts import op4
 from .token_files import op10
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_packing": op2,
     "op3_benchmark_decontamination": op3,
     "op4_token_counts": op4,
+    "op6_quality": op6,
     "op7_embedding_near_dedup": op7,
     "op8_warc": op8,
     "op9_simhash_near_dedup": op9,
