@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3
 from .embedding_dedup import OP7_SQL, op7
+from .html_extract import op5
 from .packing import op2
 from .quality import op6
 from .simhash import op9
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_packing": op2,
     "op3_benchmark_decontamination": op3,
     "op4_token_counts": op4,
+    "op5_html_extraction": op5,
     "op6_quality": op6,
     "op7_embedding_near_dedup": op7,
     "op8_warc": op8,
