@@ -6,7 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkscope.llm.common import staged, table
 from sparkscope.llm.decontaminate import clean_documents
+from sparkscope.llm.packing import pack
+from sparkscope.llm.quality import good_documents
 from sparkscope.llm.simhash import near_duplicates_removed
+from sparkscope.llm.toxicity import not_toxic
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose lines the trained field finds bad go."""
+    return good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the trained trees find toxic go."""
+    return not_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +32,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is concatenated and cut into sequences; a row for each piece."""
+    return pack(docs)
+
+
 STAGES = [
+    ("quality", quality_filter),
+    ("toxicity", toxicity_filter),
     ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontamination),
+    ("packing", packing),
 ]
 
 #: Scores of trained models, XXH64 and a tokenizer have no SQL; the tests hold the pipeline against brute force.
@@ -29,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every other stage's are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
