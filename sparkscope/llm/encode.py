@@ -8,17 +8,34 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from .token_counts import byte_symbols
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Words whose identifiers a worker keeps (about 100 MB); beyond that it starts anew.
-KEPT = 500_000
+#: Words whose identifiers a worker keeps (about 150 MB); beyond that it starts anew.
+KEPT = 1_000_000
+
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SYMBOLS = {i: c for i, c in byte_symbols().items() if chr(i) != c and i != 10}
+_SPACE = byte_symbols()[32]
+
+
+class _Words(dict):
+    """Identifiers by word; a word that isn't there is asked of its owner."""
+
+    def __init__(self, owner: Encoder):
+        self.owner = owner
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.owner.learned(word)
+        return found
 
 
 class Encoder:
     """encode(texts) gives each text's identifiers as little-endian bytes of dtype, without added special tokens.
 
     Byte-level pieces never cross the place before a single white space, so where a text's white space is only single
-    spaces and line feeds between other characters, it is cut there and every word met before comes from the cache. New
-    words go to the library together, parted by line feeds. Every other text goes to the library as it is.
+    spaces and line feeds between other characters, it is cut there and every word met before comes from the cache. New words of
+    letters and marks go to the library's model, other words and texts to the library as they are.
     """
 
     def __init__(self, path: str = VOCABULARY):
@@ -28,49 +45,46 @@ class Encoder:
         pre = spec["pre_tokenizer"]
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        line_feed = self.library.encode("\n", add_special_tokens=False).ids
-        self.cuts = spec["normalizer"] is None and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and len(line_feed) == 1 and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
-        self.line_feed = line_feed[0]
-        self.known: dict[str, bytes] = {}
+        self.cuts = spec["normalizer"] is None and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        self.model = self.library.model
+        self.raw = [np.array([i], dtype=self.dtype).tobytes() for i in range(self.library.get_vocab_size())]
+        self.marks: dict[str, bytes] = {}
+        self.known = _Words(self)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """A word w stands for itself after a space, or after a line feed where it begins with one."""
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-        mark = np.array([self.line_feed], dtype=self.dtype).tobytes()
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join([w[1:] if w[0] == "\n" else " " + w for w in some])], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.line_feed), len(ids)).tolist()
-            raw, size, start = ids.tobytes(), self.dtype.itemsize, 0
-            for w, end in zip(some, ends, strict=True):
-                own = raw[start * size : end * size]
-                self.known[w] = mark + own if w[0] == "\n" else own
-                start = end + 1
+    def _stem(self, letters: str) -> bytes:
+        """Identifiers of a space and letters, one piece, which goes to the library's model in byte symbols."""
+        symbols = _SPACE + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SYMBOLS))
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(symbols)])
+
+    def learned(self, w: str) -> bytes:
+        """A word stands for itself after a space, or after a line feed where it begins with one."""
+        stem = w.rstrip(_MARKS)
+        if not stem.isalpha():
+            return self._whole(w if w[:1] == "\n" else " " + w)
+        if len(stem) == len(w):
+            return self._stem(stem)
+        # Letters and nothing else, then marks: two pieces, of which only the first begins with the space.
+        tail = w[len(stem) :]
+        if (end := self.marks.get(tail)) is None:
+            end = self.marks[tail] = self._whole(tail)
+        return self.known[stem] + end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
         for i, t in enumerate(texts):
             if not t:
                 continue
             if self.cuts and " ".join(t.split()) == t.replace("\n", " ") and not any(s in t for s in self.special):
-                cut.append((i, t.replace("\n", " \n").split(" ")))
+                if len(self.known) > KEPT:
+                    self.known.clear()
+                    self.marks.clear()
+                head, *rest = t.replace("\n", " \n").split(" ")
+                out[i] = self._whole(head) + b"".join(map(self.known.__getitem__, rest))
             else:
                 out[i] = self._whole(t)
-        for k in range(0, len(cut), 64):
-            some = cut[k : k + 64]
-            if new := set().union(*[p[1:] for _, p in some]).difference(self.known):
-                before = len(self.known)
-                self._learn(list(new))
-                if len(self.known) < before + len(new):  # the cache was emptied
-                    self._learn([w for w in set().union(*[p[1:] for _, p in some]) if w not in self.known])
-            get = self.known.__getitem__
-            for i, p in some:
-                out[i] = self._whole(p[0]) + b"".join(map(get, p[1:]))
         return out
 
 

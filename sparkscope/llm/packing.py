@@ -37,7 +37,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["part", "before", "id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return staged(map_batches(rows, run, f"part int, before long, id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary"), label)
+    return staged(map_batches(rows, run, f"part int, before long, id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary"), label, compression="zstd")
 
 
 def part_starts(tokens: DataFrame) -> dict[int, int]:

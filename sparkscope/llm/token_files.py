@@ -2,7 +2,7 @@
 
 Documents are tokenised where they lie; the identifiers, not the texts, are range-sorted by doc_id and written as shards of
 about SHARD_TOKENS tokens. In a shard the most frequent pairs of adjacent symbols are replaced by new symbols, again and
-again, until no pair pays for its rule; pairs never cross the end of a document. The file stores the rules, the expanded
+again, until a round hardly shortens them; pairs never cross the end of a document. The file stores the rules, the expanded
 length of each, the symbols, and for each document where its symbols and its tokens begin, so that one document is decoded
 from its own symbols alone. Shards get their names only when complete; a written manifest lists them.
 
@@ -31,47 +31,60 @@ END_ID = 2
 SHARD_TOKENS = 1_000_000
 #: Uses from which a rule is shorter than what it replaces.
 LEAST_USES = 8
-#: Pairs replaced at once, and times over the symbols; they bound the effort, not what is stored.
-PAIRS_A_ROUND, ROUNDS = 4096, 8
+#: Pairs replaced in a round; the rounds end when one shortens the symbols by less than this share. They bound the effort, not what is stored.
+PAIRS_A_ROUND, LEAST_GAIN = 4096, 0.01
 _BITS = 20
 
 
 def repair(symbols: np.ndarray, last: np.ndarray, base: int, top: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, last, rules): last marks the final symbol of each document, new symbols count from base and stay under top."""
-    seq, last, rules = symbols.astype(np.uint32), last.copy(), []
-    n_rules = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or base + n_rules >= top:
-            break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]) if top > 1 << 16 else seq[:-1] << np.uint32(16) | seq[1:]
-        slot = ((keys * keys.dtype.type(0x9E3779B1)) >> keys.dtype.type(8 * keys.itemsize - _BITS)).astype(np.int32)
+    """(symbols, last, rules): last marks the final symbol of each document, new symbols count from base and stay under top.
+
+    A round counts adjacent pairs by hash and replaces the most frequent ones. Pairs that share a hash with another wait for a later round.
+    """
+    wide = top > 1 << 16
+    seq, last, rules, n_rules = symbols.astype(np.uint32), last.copy(), [], 0
+    kind, half = (np.uint64, np.uint64(32)) if wide else (np.uint32, np.uint32(16))
+    factor, down = kind(0x9E3779B97F4A7C15 if wide else 0x9E3779B1), kind(8 * np.dtype(kind).itemsize - _BITS)
+    while len(seq) > 1 and base + n_rules < top:
+        keys = seq[:-1].astype(kind, copy=False) << half
+        keys |= seq[1:]
+        slot = ((keys * factor) >> down).astype(np.int32)
         slot[last[:-1]] = 1 << _BITS
         counts = np.bincount(slot, minlength=(1 << _BITS) + 1)
         counts[-1] = 0
         at = np.flatnonzero((counts >= LEAST_USES)[slot])
-        found, where, uses = np.unique(keys[at], return_inverse=True, return_counts=True)
+        of, pair = slot[at], keys[at]
+        chosen = np.zeros((1 << _BITS) + 1, dtype=kind)
+        chosen[of] = pair
+        same = chosen[of] == pair
+        at, of = at[same], of[same]
+        uses = np.bincount(of, minlength=(1 << _BITS) + 1)
         frequent = np.flatnonzero(uses >= LEAST_USES)
         if not len(frequent):
             break
-        order = frequent[np.lexsort((found[frequent], -uses[frequent]))][: min(PAIRS_A_ROUND, top - base - n_rules)]
-        number = np.full(len(found), -1, dtype=np.int64)
-        number[order] = np.arange(len(order))
-        number = number[where]
+        most = min(PAIRS_A_ROUND, top - base - n_rules)
+        if len(frequent) > most:
+            frequent = np.sort(frequent[np.argsort(-uses[frequent], kind="stable")[:most]])
+        number = np.full((1 << _BITS) + 1, -1, dtype=np.int32)
+        number[frequent] = np.arange(len(frequent), dtype=np.int32)
+        number = number[of]
         at, number = at[number >= 0], number[number >= 0]
         # Of places that overlap, every other one is replaced, counted from the first.
-        first = np.concatenate(([True], np.diff(at) != 1))
-        since = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
+        since = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
         at, number = at[since % 2 == 0], number[since % 2 == 0]
-        used, number = np.unique(number, return_inverse=True)
-        pairs = found[order[used]]
-        half = pairs.dtype.type(4 * pairs.itemsize)
-        rules.append(np.stack((pairs >> half, pairs & pairs.dtype.type((1 << int(half)) - 1)), axis=1).astype(np.uint32))
-        seq[at] = (base + n_rules + number).astype(np.uint32)
+        used = np.bincount(number, minlength=len(frequent)) > 0
+        pairs = chosen[frequent[used]]
+        rules.append(np.stack((pairs >> half, pairs & kind((1 << int(half)) - 1)), axis=1).astype(np.uint32))
+        seq[at] = (base + n_rules - 1 + np.cumsum(used))[number]
         last[at] = last[at + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
+        gain = len(at) / len(seq)
         seq, last = seq[keep], last[keep]
-        n_rules += len(used)
+        n_rules += int(used.sum())
+        if gain < LEAST_GAIN:
+            break
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
@@ -83,17 +96,30 @@ def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
     return np.array(out, dtype=np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The tokens of symbols."""
-    seq = symbols.astype(np.uint32)
-    while (many := seq >= base).any():
-        at = np.cumsum(many) - many + np.arange(len(seq))
-        out = np.empty(len(seq) + int(many.sum()), dtype=np.uint32)
-        out[at[~many]] = seq[~many]
-        pairs = rules[seq[many] - base]
-        out[at[many]], out[at[many] + 1] = pairs[:, 0], pairs[:, 1]
-        seq = out
-    return seq
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The tokens of symbols. The expansions of all rules are laid out once, each from those of its two symbols, and then copied."""
+    lengths = lengths_of(rules, base) if lengths is None else lengths
+    many = symbols >= base
+    if not many.any():
+        return symbols.astype(np.uint32)
+    parts: list[np.ndarray] = []
+    one = lambda s: np.array([s], dtype=np.uint32)
+    needed = int(symbols.max()) - base + 1  # a rule names earlier rules only
+    for a, b in rules[:needed].tolist():
+        parts.append(np.concatenate((parts[a - base] if a >= base else one(a), parts[b - base] if b >= base else one(b))))
+    flat = np.concatenate(parts)
+    begins = np.concatenate(([0], np.cumsum(lengths[:needed].astype(np.int64))))
+    size = np.ones(len(symbols), dtype=np.int64)
+    rule = symbols[many].astype(np.int64) - base
+    size[many] = lengths[rule]
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]), dtype=np.uint32)
+    starts = ends - size
+    out[starts[~many]] = symbols[~many]
+    n = size[many]
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(starts[many], n) + within] = flat[np.repeat(begins[rule], n) + within]
+    return out
 
 
 def shard_bytes(docs: list[tuple[int | None, np.ndarray]], base: int) -> tuple[bytes, dict]:
@@ -132,10 +158,10 @@ class Shard:
 
     def tokens(self, i: int) -> np.ndarray:
         end = self.first_symbol[i + 1] if i + 1 < len(self.doc_ids) else len(self.symbols)
-        return expand(self.symbols[self.first_symbol[i] : end], self.rules, self.header["base"])
+        return expand(self.symbols[self.first_symbol[i] : end], self.rules, self.header["base"], self.lengths)
 
     def all_tokens(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.header["base"])
+        return expand(self.symbols, self.rules, self.header["base"], self.lengths)
 
     def token_at(self, place: int) -> int:
         """The shard's token at a place, by the expanded lengths of the symbols before it."""
