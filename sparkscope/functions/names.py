@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Abbreviations in column names and what they stand for.
 ABBREVIATIONS = {
@@ -78,12 +79,12 @@ def matcher_ratio(a: str | None, b: str | None) -> float | None:
     return None if a is None or b is None else SequenceMatcher(None, a.lower(), b.lower()).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matcher_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([matcher_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -37,7 +37,7 @@ def pair_measures(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def jaccard(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: the share of distinct values that two columns have in common."""
-    at = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), as_text(df, c).alias("value")) for k, c in enumerate((a, b))]))).where("value is not null").groupBy("value").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("k"))).alias("k"))
+    at = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), as_text(df, c).alias("value")) for k, c in ((1, a), (2, b))]))).where("value is not null").groupBy("value").agg(F.bit_or(F.col("k")).alias("k"))
     return at.agg(F.round(F.coalesce(F.avg((F.col("k") == 3).cast("int")), F.lit(0.0)), 6).alias("jaccard"))
 
 

@@ -1,0 +1,9 @@
+"""The registered queries of the library's operators, and their SQL."""
+
+from __future__ import annotations
+
+from . import calculations, models, profiling, relations, views
+
+_MODULES = (profiling, relations, calculations, views, models)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
