@@ -41,8 +41,8 @@ def filter_context_then_fixed(spark, d):
 
 
 def _monthly(spark, d):
-    """Revenue by status and month: what table calculations run over."""
-    return table(spark, d, "orders").groupBy("o_orderpriority", F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.sum("o_totalprice").alias("x"))
+    """Revenue in cents by priority and month: what table calculations run over. Whole cents add up alike in any order."""
+    return table(spark, d, "orders").groupBy("o_orderpriority", F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.sum(F.round(F.col("o_totalprice") * 100)).alias("x"))
 
 
 def _shown(df, **columns):
@@ -53,7 +53,7 @@ _P, _M = ["o_orderpriority"], ["month"]
 
 
 def win_running(spark, d):
-    return _shown(_monthly(spark, d), **{k: F.round(W.running(f, "x", _P, _M), 2) for k, f in (("total", F.sum), ("mean", F.avg), ("low", F.min), ("high", F.max))}, n=W.running(F.count, "x", _P, _M))
+    return _shown(_monthly(spark, d), **{k: F.round(W.running(f, "x", _P, _M), 4) for k, f in (("total", F.sum), ("mean", F.avg), ("low", F.min), ("high", F.max))}, n=W.running(F.count, "x", _P, _M))
 
 
 def win_moving(spark, d):
@@ -61,7 +61,7 @@ def win_moving(spark, d):
 
 
 def win_whole(spark, d):
-    return _shown(_monthly(spark, d), share=F.round(W.share("x", _P), 6), high=F.round(W.whole(F.max, "x", _P), 2), mean=F.round(W.whole(F.avg, "x", _P), 2))
+    return _shown(_monthly(spark, d), share=F.round(W.share("x", _P), 6), high=F.round(W.whole(F.max, "x", _P), 2), mean=F.round(W.whole(F.avg, "x", _P), 4))
 
 
 def win_ranks(spark, d):
@@ -91,7 +91,7 @@ def hierarchy_rollup(spark, d):
 
 QUERIES = {f.__name__: f for f in (lod_fixed, lod_fixed_total, lod_exclude, lod_include, filter_context_then_fixed, win_running, win_moving, win_whole, win_ranks, win_differences, win_positions, win_month_before, row_index, hierarchy_rollup)}
 
-_V = "WITH v AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, sum(o_totalprice) AS x FROM orders GROUP BY ALL) SELECT o_orderpriority, CAST(m AS VARCHAR) AS month, "
+_V = "WITH v AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, sum(round(o_totalprice * 100)) AS x FROM orders GROUP BY ALL) SELECT o_orderpriority, CAST(m AS VARCHAR) AS month, "
 _BY = " FROM v WINDOW w AS (PARTITION BY o_orderpriority ORDER BY m), p AS (PARTITION BY o_orderpriority), r AS (PARTITION BY o_orderpriority ORDER BY x DESC), u AS (PARTITION BY o_orderpriority ORDER BY x DESC, m)"
 
 
@@ -105,9 +105,9 @@ ORACLE_SQL = {
     "lod_exclude": "SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS x, round(sum(sum(o_totalprice)) OVER (PARTITION BY o_orderstatus), 2) AS of_status FROM orders GROUP BY 1, 2",
     "lod_include": "SELECT c_mktsegment, round(avg(s), 4) AS mean_of_customers FROM (SELECT c_mktsegment, o_custkey, sum(o_totalprice) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1",
     "filter_context_then_fixed": "WITH c AS (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O')), t AS (SELECT sum(o_totalprice) AS t FROM c) SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice / t), 6) AS part FROM c, t WHERE o_orderpriority <> '5-LOW' GROUP BY 1",
-    "win_running": _V + "round(sum(x) OVER w, 2) AS total, round(avg(x) OVER w, 2) AS mean, round(min(x) OVER w, 2) AS low, round(max(x) OVER w, 2) AS high, count(x) OVER w AS n" + _BY,
+    "win_running": _V + "round(sum(x) OVER w, 2) AS total, round(avg(x) OVER w, 4) AS mean, round(min(x) OVER w, 2) AS low, round(max(x) OVER w, 2) AS high, count(x) OVER w AS n" + _BY,
     "win_moving": _V + f"round(avg(x) OVER {_frame('2 PRECEDING', 'CURRENT ROW')}, 2) AS back, round(sum(x) OVER {_frame('1 PRECEDING', '1 FOLLOWING')}, 2) AS around, round(min(x) OVER {_frame('3 PRECEDING', '1 PRECEDING')}, 2) AS low FROM v",
-    "win_whole": _V + "round(x / sum(x) OVER p, 6) AS share, round(max(x) OVER p, 2) AS high, round(avg(x) OVER p, 2) AS mean" + _BY,
+    "win_whole": _V + "round(x / sum(x) OVER p, 6) AS share, round(max(x) OVER p, 2) AS high, round(avg(x) OVER p, 4) AS mean" + _BY,
     "win_ranks": _V + "rank() OVER r AS rank, dense_rank() OVER r AS rank_dense, row_number() OVER u AS rank_unique, round(percent_rank() OVER r, 6) AS rank_percentile" + _BY,
     "win_differences": _V + "round(x - lag(x) OVER w, 2) AS difference, round(coalesce((x - lag(x) OVER w) / lag(x) OVER w, 0), 6) AS change, round(lead(x, 2) OVER w, 2) AS ahead, round(lag(x) OVER w, 2) AS behind" + _BY,
     "win_positions": _V + "row_number() OVER w AS index, count(*) OVER p AS size, 1 - row_number() OVER w AS first, count(*) OVER p - row_number() OVER w AS last" + _BY,

@@ -21,10 +21,14 @@ def progress(stage_rows: DataFrame, done: DataFrame) -> DataFrame:
     return done.join(F.broadcast(stage_rows), "stage").select("stage", "items", "total", F.least(F.lit(100.0), F.round(F.col("base") + part, 4)).alias("percent"))
 
 
+def _watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """Streams get a watermark, which needs timestamps with a zone; tables stay as they are."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def windowed_profile(events: DataFrame, ts: str, kind: str, value: str, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and statistics by window and kind; with a stream the watermark lets closed windows out and drops later rows."""
-    w = events.withWatermark(ts, late) if events.isStreaming else events
-    out = w.groupBy(F.window(ts, every), kind).agg(F.count("*").alias("n"), F.count(value).alias("non_null"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"))
+    out = _watermarked(events, ts, late).groupBy(F.window(ts, every), kind).agg(F.count("*").alias("n"), F.count(value).alias("non_null"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"))
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), kind, "n", "non_null", "min", "max", "mean")
 
 
@@ -35,4 +39,4 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes") -> D
 
 def first_seen(events: DataFrame, key: str, ts: str, late: str = "10 minutes") -> DataFrame:
     """Rows without repeats of the key within the watermark."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _watermarked(events, ts, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
