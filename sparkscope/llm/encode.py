@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from .token_counts import byte_symbols
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Words whose identifiers a worker keeps (about 150 MB); beyond that it starts anew.
+#: Words whose identifiers a worker keeps in each of two generations (about 150 MB each).
 KEPT = 1_000_000
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -20,13 +20,16 @@ _SPACE = byte_symbols()[32]
 
 
 class _Words(dict):
-    """Identifiers by word; a word that isn't there is asked of its owner."""
+    """Identifiers by word; a word that isn't there is taken from the generation before, or asked of its owner."""
 
-    def __init__(self, owner: Encoder):
-        self.owner = owner
+    def __init__(self, owner: Encoder, before: dict[str, bytes]):
+        self.owner, self.before = owner, before
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.owner.learned(word)
+        found = self.before.pop(word, None)
+        if found is None:
+            found = self.owner.learned(word)
+        self[word] = found
         return found
 
 
@@ -49,7 +52,7 @@ class Encoder:
         self.model = self.library.model
         self.raw = [np.array([i], dtype=self.dtype).tobytes() for i in range(self.library.get_vocab_size())]
         self.marks: dict[str, bytes] = {}
-        self.known = _Words(self)
+        self.known = _Words(self, {})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -65,7 +68,7 @@ class Encoder:
         if not stem.isalpha():
             return self._whole(w if w[:1] == "\n" else " " + w)
         if len(stem) == len(w):
-            return self._stem(stem)
+            return b"".join([self.raw[t.id] for t in self.model.tokenize(_SPACE + w)]) if w.isascii() else self._stem(stem)
         # Letters and nothing else, then marks: two pieces, of which only the first begins with the space.
         tail = w[len(stem) :]
         if (end := self.marks.get(tail)) is None:
@@ -77,11 +80,12 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if self.cuts and " ".join(t.split()) == t.replace("\n", " ") and not any(s in t for s in self.special):
+            parts = t.split() if self.cuts else []
+            if self.cuts and " ".join(parts) == (t.replace("\n", " ") if (lines := "\n" in t) else t) and not any(s in t for s in self.special):
                 if len(self.known) > KEPT:
-                    self.known.clear()
+                    self.known = _Words(self, dict(self.known))
                     self.marks.clear()
-                head, *rest = t.replace("\n", " \n").split(" ")
+                head, *rest = t.replace("\n", " \n").split(" ") if lines else parts
                 out[i] = self._whole(head) + b"".join(map(self.known.__getitem__, rest))
             else:
                 out[i] = self._whole(t)

@@ -90,24 +90,32 @@ def repair(symbols: np.ndarray, last: np.ndarray, base: int, top: int = 1 << 16)
 
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
     """Tokens that each rule stands for."""
-    out = [0] * len(rules)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return np.array(out, dtype=np.uint32)
+    out, (left, right) = np.zeros(len(rules), dtype=np.int64), rules.T.astype(np.int64) - base
+    length = lambda s: np.where(s < 0, 1, out[np.maximum(s, 0)])
+    while len(todo := np.flatnonzero(out == 0)):  # a rule names earlier rules only, so each pass settles some
+        a, b = length(left[todo]), length(right[todo])
+        ready = (a > 0) & (b > 0)
+        if not ready.any():
+            raise ValueError("the rules name each other in a circle")
+        out[todo[ready]] = (a + b)[ready]
+    return out.astype(np.uint32)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
-    """The tokens of symbols. The expansions of all rules are laid out once, each from those of its two symbols, and then copied."""
+    """The tokens of symbols. The expansions of the rules are laid out once, all of a depth at a time, and then copied."""
     lengths = lengths_of(rules, base) if lengths is None else lengths
     many = symbols >= base
     if not many.any():
         return symbols.astype(np.uint32)
-    parts: list[np.ndarray] = []
-    one = lambda s: np.array([s], dtype=np.uint32)
     needed = int(symbols.max()) - base + 1  # a rule names earlier rules only
-    for a, b in rules[:needed].tolist():
-        parts.append(np.concatenate((parts[a - base] if a >= base else one(a), parts[b - base] if b >= base else one(b))))
-    flat = np.concatenate(parts)
+    flat = np.arange(base, base + needed, dtype=np.uint32)
+    while (open_ := flat >= base).any():
+        ends = np.cumsum(1 + open_)
+        wider, at = np.empty(int(ends[-1]), dtype=np.uint32), ends[open_] - 2
+        wider[ends[~open_] - 1] = flat[~open_]
+        pair = rules[flat[open_] - base]
+        wider[at], wider[at + 1] = pair[:, 0], pair[:, 1]
+        flat = wider
     begins = np.concatenate(([0], np.cumsum(lengths[:needed].astype(np.int64))))
     size = np.ones(len(symbols), dtype=np.int64)
     rule = symbols[many].astype(np.int64) - base
