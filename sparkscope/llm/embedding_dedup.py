@@ -3,9 +3,11 @@
 Unit vectors with equal labels link at a cosine of at least 0.93, which is a distance of at most R. Coarse centroids and the
 subspace code books are fitted on at most SAMPLE vectors, taken by a hash of their identifier; every vector is indexed. A vector is filed in the list of
 its nearest centroid with the codes of its residual and the length of the quantisation error. As a query it probes its own
-list and every list whose Voronoi cell comes near: (|q-c|^2 - |q-c1|^2) / (2 |c-c1|) <= margin, c1 the nearest centroid. A
-partner's cell is at most R away, and R as margin misses nothing; but R would have to lie in the direction of c, and in d
-dimensions that share of it has a deviation of R / sqrt(d). The margin is SPREAD of these, R at most. In a list, distances to the reconstructed vectors
+list and every list whose Voronoi cell comes near: (|q-c|^2 - |q-c1|^2) / (2 |c-c1|) <= R / 2, c1 the nearest centroid. The
+left side is the distance to the plane halfway between c and c1. Partners in two lists lie on either side of the plane of their
+centroids, and their distances to it add up to R at most, so one of them is within R / 2 and probes the other's list: no link is
+missed, whatever the vectors. A link between lists that only one end probes is counted for both ends where it is found; each
+row has a bit for each list it probes, to tell. In a list, distances to the reconstructed vectors
 are sums of table entries, one table a subspace; by the triangle inequality a partner's is at most R plus its error, and what
 passes is compared exactly, in double precision.
 
@@ -32,8 +34,8 @@ SAMPLE = 20_000
 #: Rows a list should have, lists at most, rows of a list or of its queries in a task.
 LIST_ROWS, MOST_LISTS, BLOCK = 512, 4096, 2048
 SUBSPACES, CODES = 8, 256
-#: Deviations of the margin. At 2.6 every partner was found among 51,282 vectors of 64 dimensions, with 100 and with 1000 lists.
-SPREAD = 2.6
+#: Deviations, R / (2 sqrt(dimension)) each, that the margin has at most; without a bound every partner is found.
+SPREAD = math.inf
 #: Added to bounds against rounding.
 SLACK = 1e-5
 
@@ -111,7 +113,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         if not len(sample):
             sample = of.limit(SAMPLE).select("v", "norm").toPandas()
         quantiser = spark.sparkContext.broadcast(Quantiser(np.stack(sample["v"]) / sample["norm"].to_numpy()[:, None], max(1, min(MOST_LISTS, n // list_rows))))
-        found.append(_links(of, quantiser, cosine, reach, reach * min(1.0, spread / math.sqrt(dim)), block))
+        found.append(_links(of, quantiser, cosine, reach, reach / 2 * min(1.0, spread / math.sqrt(dim)), block))
     if not found:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     links = found[0]
@@ -140,16 +142,20 @@ def _links(reps: DataFrame, quantiser, cosine: float, reach: float, margin: floa
             x = np.stack(pdf["v"]) / pdf["norm"].to_numpy()[:, None]
             near, d = _nearest(x, q.centres)
             codes, error = q.code(x, near)
-            yield pd.DataFrame({"node": pdf["node"], "label": pdf["label"], "w": pdf["w"], "v": pdf["v"], "norm": pdf["norm"], "list": near.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error, "probes": [p.astype(np.int32) for p in q.probes(near, d, margin)]})
+            probes = q.probes(near, d, margin)
+            bits = np.zeros((len(x), len(q.centres)), dtype=bool)
+            for row, p in zip(bits, probes):
+                row[p] = True
+            yield pd.DataFrame({"node": pdf["node"], "label": pdf["label"], "w": pdf["w"], "v": pdf["v"], "norm": pdf["norm"], "list": near.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error, "probes": [p.astype(np.int32) for p in probes], "bits": [p.tobytes() for p in np.packbits(bits, axis=1)]})
 
-    filed = staged(reps.select("node", "label", "w", "v", "norm").mapInPandas(file, "node long, label string, w long, v array<double>, norm double, list int, codes binary, error double, probes array<int>"), "lists")
+    filed = staged(reps.select("node", "label", "w", "v", "norm").mapInPandas(file, "node long, label string, w long, v array<double>, norm double, list int, codes binary, error double, probes array<int>, bits binary"), "lists")
     members = filed.groupBy("label", "list").agg(F.count("*").alias("n_members"))
     probing = filed.select("label", F.explode("probes").alias("list")).groupBy("label", "list").agg(F.count("*").alias("n_queries"))
     blocks = members.join(probing, ["label", "list"]).select("label", "list", F.ceil(F.col("n_members") / block).cast("int").alias("mb"), F.ceil(F.col("n_queries") / block).cast("int").alias("qb"))
     salt = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    as_members = filed.join(blocks, ["label", "list"]).select("label", "list", salt("mb").alias("m"), "node", "w", "v", "norm", "codes", "error", "qb").select("*", each("qb").alias("q")).drop("qb")
-    as_queries = filed.select("node", "w", "v", "norm", "label", F.explode("probes").alias("list")).join(blocks, ["label", "list"]).select("label", "list", salt("qb").alias("q"), "node", "w", "v", "norm", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), "mb").select("*", each("mb").alias("m")).drop("mb")
+    as_members = filed.join(blocks, ["label", "list"]).select("label", "list", salt("mb").alias("m"), "node", "w", "v", "norm", F.col("list").alias("home"), "codes", "error", "bits", "qb").select("*", each("qb").alias("q")).drop("qb")
+    as_queries = filed.select("node", "w", "v", "norm", "label", F.col("list").alias("home"), F.explode("probes").alias("list")).join(blocks, ["label", "list"]).select("label", "list", salt("qb").alias("q"), "node", "w", "v", "norm", "home", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("binary").alias("bits"), "mb").select("*", each("mb").alias("m")).drop("mb")
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         qz, is_member = quantiser.value, pdf["codes"].notna().to_numpy()
@@ -159,7 +165,8 @@ def _links(reps: DataFrame, quantiser, cosine: float, reach: float, margin: floa
         xm, xq = np.stack(m["v"]), np.stack(q["v"])
         nm, nq = m["norm"].to_numpy(), q["norm"].to_numpy()
         codes, limit = np.frombuffer(b"".join(m["codes"]), dtype=np.uint8).reshape(len(m), -1), reach + m["error"].to_numpy() + SLACK
-        node_m, node_q, w = m["node"].to_numpy(), q["node"].to_numpy(), m["w"].to_numpy()
+        node_m, node_q, w, w_q = m["node"].to_numpy(), q["node"].to_numpy(), m["w"].to_numpy(), q["w"].to_numpy()
+        home, bits = q["home"].to_numpy(), np.frombuffer(b"".join(m["bits"]), dtype=np.uint8).reshape(len(m), -1)
         joined: dict[int, int] = {}
 
         def root(i):
@@ -167,7 +174,7 @@ def _links(reps: DataFrame, quantiser, cosine: float, reach: float, margin: floa
                 joined[i] = i = joined.get(p, p)
             return i
 
-        counts = np.zeros(len(q), dtype=np.int64)
+        counts, back = np.zeros(len(q), dtype=np.int64), np.zeros(len(m), dtype=np.int64)
         for s in range(0, len(q), 256):
             at = qz.table_distances(xq[s : s + 256] / nq[s : s + 256, None], int(key[1]), codes) <= limit[None]
             i, j = np.nonzero(at)
@@ -177,13 +184,15 @@ def _links(reps: DataFrame, quantiser, cosine: float, reach: float, margin: floa
                 ok = (cos >= cosine) & (node_q[a] != node_m[b])
                 a, b = a[ok], b[ok]
                 np.add.at(counts, a, w[b])
+                unseen = bits[b, home[a] >> 3] >> (7 - (home[a] & 7)) & 1 == 0  # the member doesn't probe the query's list
+                np.add.at(back, b[unseen], w_q[a[unseen]])
                 for x, y in zip(node_q[a].tolist(), node_m[b].tolist()):
                     x, y = root(x), root(y)
                     if x != y:
                         joined[max(x, y)] = min(x, y)
         tied = [(i, 0, root(i)) for i in list(joined) if root(i) != i]
-        some = np.flatnonzero(counts)
-        return pd.DataFrame({"node": [*node_q[some].tolist(), *(t[0] for t in tied)], "n": [*counts[some].tolist(), *(0 for _ in tied)], "other": pd.array([*[None] * len(some), *(t[2] for t in tied)], dtype="Int64")})
+        some, more = np.flatnonzero(counts), np.flatnonzero(back)
+        return pd.DataFrame({"node": [*node_q[some].tolist(), *node_m[more].tolist(), *(t[0] for t in tied)], "n": [*counts[some].tolist(), *back[more].tolist(), *(0 for _ in tied)], "other": pd.array([*[None] * (len(some) + len(more)), *(t[2] for t in tied)], dtype="Int64")})
 
     return as_members.unionByName(as_queries).groupBy("label", "list", "m", "q").applyInPandas(search, "node long, n long, other long")
 

@@ -51,3 +51,15 @@ def test_unsound_vectors_stand_alone(spark):
     assert sorted((tuple(x) for x in embedding_components(df).collect()), key=str) == brute(rows)
     assert embedding_components(df.limit(0)).collect() == []
     assert [tuple(x) for x in embedding_components(df.where("vec_id = 4")).collect()] == [(4, 0, 4, True)]
+
+
+@pytest.mark.parametrize("list_rows", [1, 40])
+def test_low_rank_vectors_over_thousands_of_lists_lose_no_link(spark, list_rows):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(2200, 4)) @ r.normal(size=(4, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    near = x @ x.T >= 0.93
+    want = {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
+    got = {row["vec_id"]: row["n_links"] for row in embedding_components(df, list_rows=list_rows).collect()}
+    assert got == want
