@@ -7,15 +7,19 @@ from html import unescape
 from typing import NamedTuple
 
 # Element names by how they are treated.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()) | frozenset(
+    "math semantics mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable maction mi mn mo mtext ms".split()
+)
+SPACES = frozenset("br mspace mtr mtd mlabeledtr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = "script style noscript template svg math iframe object select button textarea canvas audio video head title".split()
-RAW = "script style noscript template svg math iframe object select button textarea canvas audio video title".split()
+RAW = "script style noscript template svg annotation annotation-xml iframe object select button textarea canvas audio video title".split()
 
+_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _MARKUP = re.compile(
     r"<!--(?:.*?-->|.*)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"|<svg(?=[\s/>]){_ATTRIBUTES}(?<=/)>"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*+>).*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{_ATTRIBUTES})>"
     r"|<[!?/][^>]*+>"
     r"|<[a-zA-Z][^>]*+>",
     re.S | re.I,
@@ -49,12 +53,12 @@ def element(name: str, rest: str) -> str:
 
 
 def blocks(html: str | None) -> list[Block]:
-    """The blocks with text. Comments, hidden elements and markup are left out; references are decoded; white space is one space."""
+    """The blocks with text. Comments, raw elements and markup are left out; references are decoded; white space is one space."""
     out: list[Block] = []
     path: list[str] = []
     names: list[str] = []
     text: list[str] = []
-    linked = links = hidden = at = 0
+    linked = links = at = 0
     html = html or ""
 
     def close_block():
@@ -67,7 +71,7 @@ def blocks(html: str | None) -> list[Block]:
 
     def add(piece: str):
         nonlocal linked
-        if piece and not hidden:
+        if piece:
             text.append(piece)
             if links:
                 linked += len(piece)
@@ -84,7 +88,7 @@ def blocks(html: str | None) -> list[Block]:
             if name == "a":
                 links = 0 if m["end"] else 1
             continue
-        if name == "br":
+        if name in SPACES:
             add(" ")
             continue
         close_block()
@@ -92,19 +96,14 @@ def blocks(html: str | None) -> list[Block]:
         if m["end"]:
             if name in names:
                 keep = len(names) - 1 - names[::-1].index(name)
-                if "head" in names[keep:]:
-                    hidden = 0
                 del names[keep:], path[keep:]
             continue
-        if name == "body":
-            hidden = 0
         while names and (names[-1] == "p" or (names[-1] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"))):
             names.pop()
             path.pop()
-        if name in VOID or m["rest"].endswith("/"):
+        # What a head may hold is raw or void, so text and other elements come after it, with or without its end tag.
+        if name in VOID or name == "head" or m["rest"].endswith("/"):
             continue
-        if name == "head":
-            hidden = 1
         names.append(name)
         path.append(element(name, m["rest"]))
     add(html[at:])

@@ -35,6 +35,29 @@ def test_blocks_of_broken_markup():
     assert len(blocks("<div>" * 5000 + "deep")) == 1 and len(blocks('<p title="' * 20_000)) <= 1 and len(blocks("<!--" * 100_000)) == 0
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<svg class=i/>", '<svg viewBox="0 0 1 1" aria-label="a>b" />', "<button-group><p></p></button-group>", "<video-player></video-player>", "<select2></select2>", "<svg/><svg><path d=x/></svg>", "<math/>",
+    ],
+)
+def test_elements_like_raw_ones_hide_nothing(before):
+    page = f"<!DOCTYPE html><html><head><title>Title</title></head><body>{before}{LAYOUTS['semantic']}</body></html>"
+    assert main_texts([page], trained()) == [MAIN]
+
+
+def test_pages_without_optional_tags_keep_their_text():
+    article = f"<article><p>{P1}<p>{P2}</article>"
+    for top in ("<html><head><meta charset=utf-8><title>Title</title>", "<head><link rel=x href=y><style>p {}</style>", "<title>Title</title>", "<html><head><title>Title</title><body>"):
+        assert main_texts([f"<!DOCTYPE html>{top}{article}"], trained()) == [MAIN]
+    assert [b.text for b in blocks("<head><title>t</title><script>x</script>words<b>bold</b>")] == ["wordsbold"]
+
+
+def test_math_stays_in_its_block():
+    formula = '<math display="block"><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding="x">E = mc^2</annotation></semantics></math>'
+    assert [b.text for b in blocks(f"<p>So {formula} holds</p><p>next")] == ["So E=mc2 holds", "next"]
+
+
 def test_sample_pages_give_exactly_their_articles(spark, sf_dir):
     from sparkscope.llm.html_extract import op5
 
