@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from html import unescape
 from typing import NamedTuple
+from zlib import crc32
 
 # Element names by how they are treated.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()) | frozenset(
@@ -26,37 +27,48 @@ _MARKUP = re.compile(
 )
 _MARKED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: Markers of an element and elements of a path that are looked at; deeper ones repeat what is above.
-MARKERS, DEPTH = 12, 40
+# Elements that have an input of their own.
+TAGS = "html body div section article main nav header footer aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 table tr td th thead tbody caption figure figcaption blockquote pre address details summary dialog menu center".split()
+MARKER_SLOTS = 256
+_TAG = {t: i for i, t in enumerate(TAGS)}
+
+
+class Path(NamedTuple):
+    """The elements above a block. Each adds to the one it stands in, so depth costs nothing."""
+
+    slots: frozenset[int]  # of all elements: places in TAGS, then hashed markers
+    last: int  # place of the last element in TAGS, or -1
+    depth: int
 
 
 class Block(NamedTuple):
-    path: tuple[str, ...]  # of the elements above: "tag" or "tag marker marker"
+    path: Path
     text: str
     linked: int  # characters inside links
 
 
-_elements: dict[str, str] = {}
+_TOP = Path(frozenset(), -1, 0)
+_elements: dict[str, frozenset[int]] = {}
 
 
-def element(name: str, rest: str) -> str:
-    if not rest:
-        return name
+def element(name: str, rest: str) -> frozenset[int]:
+    """Slots of an element and all its markers."""
     key = f"{name} {rest}"
     found = _elements.get(key)
     if found is None:
         if len(_elements) > 20_000:
             _elements.clear()
-        markers = [p.lower() for m in _MARKED.finditer(rest) for p in _PARTS.findall(m[1] or m[2] or m[3] or "")][:MARKERS]
-        found = _elements[key] = " ".join([name, *markers])
+        markers = {p.lower() for m in _MARKED.finditer(rest) for p in _PARTS.findall(m[1] or m[2] or m[3] or "")}
+        found = _elements[key] = frozenset([*([_TAG[name]] if name in _TAG else []), *(len(TAGS) + crc32(p.encode()) % MARKER_SLOTS for p in markers)])
     return found
 
 
 def blocks(html: str | None) -> list[Block]:
     """The blocks with text. Comments, raw elements and markup are left out; references are decoded; white space is one space."""
     out: list[Block] = []
-    path: list[str] = []
+    path = [_TOP]
     names: list[str] = []
+    opened: dict[str, int] = {}
     text: list[str] = []
     linked = links = at = 0
     html = html or ""
@@ -65,7 +77,7 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal linked
         if text:
             if whole := " ".join(unescape("".join(text)).split()):
-                out.append(Block(tuple(path[:DEPTH]), whole, linked))
+                out.append(Block(path[-1], whole, linked))
             text.clear()
         linked = 0
 
@@ -76,6 +88,11 @@ def blocks(html: str | None) -> list[Block]:
             if links:
                 linked += len(piece)
 
+    def close_element():
+        opened[names[-1]] -= 1
+        path.pop()
+        return names.pop()
+
     for m in _MARKUP.finditer(html):
         if m.start() > at:
             add(html[at : m.start()])
@@ -94,18 +111,19 @@ def blocks(html: str | None) -> list[Block]:
         close_block()
         links = 0
         if m["end"]:
-            if name in names:
-                keep = len(names) - 1 - names[::-1].index(name)
-                del names[keep:], path[keep:]
+            if opened.get(name):
+                while close_element() != name:
+                    pass
             continue
         while names and (names[-1] == "p" or (names[-1] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"))):
-            names.pop()
-            path.pop()
+            close_element()
         # What a head may hold is raw or void, so text and other elements come after it, with or without its end tag.
         if name in VOID or name == "head" or m["rest"].endswith("/"):
             continue
+        own, above = element(name, m["rest"]), path[-1]
         names.append(name)
-        path.append(element(name, m["rest"]))
+        opened[name] = opened.get(name, 0) + 1
+        path.append(Path(above.slots if own <= above.slots else above.slots | own, _TAG.get(name, -1), above.depth + 1))
     add(html[at:])
     close_block()
     return out

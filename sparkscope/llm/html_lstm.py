@@ -3,47 +3,48 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 
-from .html_blocks import Block, blocks
+from .html_blocks import MARKER_SLOTS, TAGS, Block, Path, blocks
 
-# Elements that have an input of their own.
-TAGS = "html body div section article main nav header footer aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 table tr td th thead tbody caption figure figcaption blockquote pre address details summary dialog menu center".split()
-MARKER_SLOTS, WORD_SLOTS, HIDDEN = 256, 96, 16
+WORD_SLOTS, HIDDEN = 96, 16
 NUMBERS = 10
 WIDTH = 2 * len(TAGS) + MARKER_SLOTS + WORD_SLOTS + NUMBERS + 1
-_TAG = {t: i for i, t in enumerate(TAGS)}
 _PATH_WIDTH = 2 * len(TAGS) + MARKER_SLOTS
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
+def path_vector(path: Path) -> np.ndarray:
     """Elements anywhere on the path, the last element, and hashed markers."""
     v = np.zeros(_PATH_WIDTH, dtype=np.float32)
-    for e in path:
-        name, *markers = e.split(" ")
-        if name in _TAG:
-            v[_TAG[name]] = 1
-        for m in markers:
-            v[2 * len(TAGS) + crc32(m.encode()) % MARKER_SLOTS] = 1
-    if path and (last := path[-1].split(" ")[0]) in _TAG:
-        v[len(TAGS) + _TAG[last]] = 1
+    for k in path.slots:
+        v[k if k < len(TAGS) else len(TAGS) + k] = 1
+    if path.last >= 0:
+        v[len(TAGS) + path.last] = 1
     return v
 
 
+@lru_cache(maxsize=1 << 16)
+def word_slot(w: str) -> int | None:
+    m = _LETTERS.search(w)
+    return crc32(m.group().lower().encode()) % WORD_SLOTS if m else None
+
+
 def text_vector(b: Block, place: float) -> np.ndarray:
     """Hashed words and some numbers of a block's text."""
     v = np.zeros(WORD_SLOTS + NUMBERS + 1, dtype=np.float32)
     n, found = len(b.text), b.text.split(" ")
-    for w in found[:40]:  # words; lengths below are of the whole text
-        if m := _LETTERS.search(w):
-            v[crc32(m.group().lower().encode()) % WORD_SLOTS] += 1
+    for w, k in Counter(found).items():
+        if (slot := word_slot(w)) is not None:
+            v[slot] += k
     v[:WORD_SLOTS] /= 3 * max(1.0, float(np.sqrt((v * v).sum())))  # words are a hint, the path decides
     v[WORD_SLOTS:] = (
         np.log1p(len(found)) / 4, np.log1p(n) / 6, min(1.0, b.linked / n), n / len(found) / 10, b.text[-1] in ".?!:\"'", b.text[0].isupper(),
-        "©" in b.text, sum(map(b.text.count, "0123456789")) / n, place, min(1.0, len(b.path) / 12), 1.0,
+        "©" in b.text, sum(map(b.text.count, "0123456789")) / n, place, min(1.0, b.path.depth / 12), 1.0,
     )
     return v
 
@@ -111,7 +112,7 @@ class Labeller:
         for d in "fb":
             self.p[f"w{d}"][2 * len(TAGS) : _PATH_WIDTH + WORD_SLOTS] = 0  # markers and words never met say nothing
             self.p[f"w{d}"][-1, HIDDEN : 2 * HIDDEN] = 1  # remember at first
-        self.paths: dict[tuple, np.ndarray] = {}
+        self.paths: dict[tuple[frozenset[int], int], np.ndarray] = {}
 
     def _forward(self, zs: list[np.ndarray], direct: np.ndarray, lengths: list[int], keep: bool):
         """zs: inputs to the two directions; direct: each block's own share of its score, beside the page's."""
@@ -149,13 +150,13 @@ class Labeller:
                     v -= (pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def _path(self, path: tuple[str, ...]) -> np.ndarray:
-        found = self.paths.get(path)
+    def _path(self, path: Path) -> np.ndarray:
+        found = self.paths.get(path[:2])
         if found is None:
             if len(self.paths) > 20_000:
                 self.paths.clear()
             v = path_vector(path)
-            found = self.paths[path] = np.concatenate([v @ self.p[k][:_PATH_WIDTH] for k in ("wf", "wb", "s")])
+            found = self.paths[path[:2]] = np.concatenate([v @ self.p[k][:_PATH_WIDTH] for k in ("wf", "wb", "s")])
         return found
 
     def probabilities(self, pages: list[list[Block]]) -> list[np.ndarray]:

@@ -53,6 +53,20 @@ def test_pages_without_optional_tags_keep_their_text():
     assert [b.text for b in blocks("<head><title>t</title><script>x</script>words<b>bold</b>")] == ["wordsbold"]
 
 
+def test_every_element_marker_and_word_is_read():
+    from sparkscope.llm.html_lstm import path_vector, text_vector
+
+    deep = "<div>" * 60
+    article, comments = blocks(f"{deep}<article><p>a</p></article><section class=comments><p>b</p></section>")
+    assert (path_vector(article.path) != path_vector(comments.path)).any() and article.path.depth == 62
+    many = " ".join(f"u{'x' * i}" for i in range(20))
+    assert (path_vector(blocks(f'<div class="{many}">a</div>')[0].path) != path_vector(blocks(f'<div class="{many} advert">a</div>')[0].path)).any()
+    a, b = (blocks(f"<p>{'same ' * 50}{w * 50}</p>")[0] for w in ("left ", "down "))
+    assert (text_vector(a, 0) != text_vector(b, 0)).any()
+    for name in ("semantic", "divs", "comments", "markup"):
+        assert main_texts([f"<html><head><title>t</title></head><body>{deep}{LAYOUTS[name]}"], trained()) == [MAIN]
+
+
 def test_math_stays_in_its_block():
     formula = '<math display="block"><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding="x">E = mc^2</annotation></semantics></math>'
     assert [b.text for b in blocks(f"<p>So {formula} holds</p><p>next")] == ["So E=mc2 holds", "next"]
