@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_batches, staged
+from .common import batch, free_name, map_batches, staged
 from .components import connected_components
 
 SHINGLE_WORDS, SEED = 3, 42
@@ -49,15 +49,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp holds the fingerprint's bits as a signed long. One row for each row of docs."""
-    schema = pa.schema([(id_col, pa.int64()), ("fp", pa.int64())])
+    """(id, fp, text_hash): fp holds the fingerprint's bits as a signed long. One row for each row of docs."""
+    schema = pa.schema([(id_col, pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
 
     def run(batches):
         for b in batches:
             fps = np.fromiter(map(fingerprint, b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
-            yield batch(schema, b.column(0), fps.view(np.int64))
+            yield batch(schema, b.column(0), fps.view(np.int64), b.column(2))
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")), run, f"`{id_col}` long, fp long")
+    text = F.col(text_col).cast("string")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash")), run, f"`{id_col}` long, fp long, text_hash long")
 
 
 def _byte(fp: Column, i: int) -> Column:
@@ -86,25 +87,33 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return cold.unionAll(values.join(smallest, ["t", "k", "v"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, text_hash, g, component_id) for each row: g is the group's smallest fingerprint, component_id its smallest id."""
+    fps = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+    reps = staged(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct-fingerprints")
+    groups = connected_components(links(reps.select("fp")))
+    named = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("g"))
+    least = named.groupBy("g").agg(F.min("rep").alias("component_id"))
+    return fps.join(named.join(least, "g").select("fp", "g", "component_id"), "fp")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for each row: the smallest id reachable over links of at most MAX_BITS bits.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with the same id and text give equal rows; null
     ids keep their rows and count only if a group has no other. Other columns of docs play no part. An empty table gives none.
     """
-    fps = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = staged(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct-fingerprints")
-    groups = connected_components(links(reps.select("fp")))
-    named = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("g"))
-    least = named.groupBy("g").agg(F.min("rep").alias("component_id"))
-    return fps.join(named.join(least, "g").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return _grouped(docs, id_col, text_col).select(id_col, "fp", "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns: of each group the row with its smallest id (rows repeating that id once)."""
-    keep = simhash_components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
-    return kept.dropDuplicates([id_col])
+    """The rows of docs that stay, with docs' columns: one of each group, that with the smallest id (null ids last), fingerprint and hash of the text."""
+    first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "fp", "text_hash")).alias("first")
+    keep = _grouped(docs, id_col, text_col).groupBy("g").agg(first).select(F.col("first.id").alias("_keep"), F.col("first.text_hash").alias("_keep_hash"))
+    own = free_name(docs, "text_hash")
+    rows = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["_keep"]) & (rows[own] == keep["_keep_hash"]), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own)
 
 
 def op9(spark, sf_dir):

@@ -77,6 +77,14 @@ def test_documents_with_nulls_copies_and_clashing_columns(spark):
     assert simhash.simhash_components(df.limit(0)).collect() == []
 
 
+def test_each_group_keeps_one_document_whatever_its_id(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(300)) for k in "abcdef"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (7, texts["c"]), (7, texts["d"]), (7, texts["d"]), (9, texts["c"]), (3, texts["e"]), (7, texts["e"]), (None, texts["e"]), (7, texts["f"]), (7, texts["f"].upper())]
+    kept = simhash.near_duplicates_removed(spark.createDataFrame([(a, b, "f", 1, 2) for a, b in rows], SCHEMA)).collect()
+    assert sorted(r["text"].lower() for r in kept) == sorted(texts.values())
+    assert {r["text"][0].lower(): r["doc_id"] for r in kept} == {"a": None, "b": None, "c": 7, "d": 7, "e": 3, "f": 7}
+
+
 def test_query_on_documents_matches_all_pairs(spark, sf_dir):
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op9(spark, sf_dir).collect()}
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
