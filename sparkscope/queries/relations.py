@@ -10,8 +10,8 @@ from ..operators import overlap as O  # noqa: E741
 from ..operators import relationships as R
 from .common import star, table
 
-#: Key columns by table, and small tables for the rules.
-KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_suppkey"]}
+#: Integer key columns of all star tables.
+KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "events": ["event_id", "user_id"]}
 
 
 def overlap_pair(spark, d):
@@ -51,7 +51,7 @@ def rel_warnings(spark, d):
 
 
 def relationship_report(spark, d):
-    return R.discover(star(spark, d, ["region", "nation", "customer", "supplier", "orders"]))
+    return R.discover(star(spark, d))
 
 
 def relationship_levels(spark, d):

@@ -43,6 +43,13 @@ def test_relationships_of_the_star(spark, sf_dir):
     assert len({r["relationship_id"] for r in found.values()}) == len(found)
 
 
+def test_pairs_and_report_cover_every_star_table(spark, sf_dir):
+    pairs = {(r["column1"], r["column2"]) for r in QUERIES["overlap_all_pairs"](spark, sf_dir).collect()}
+    assert ("l_partkey", "p_partkey") in pairs and any("user_id" in p for p in pairs)
+    found = {frozenset((r["source_column"], r["target_column"])) for r in QUERIES["relationship_report"](spark, sf_dir).collect()}
+    assert {frozenset(("l_partkey", "p_partkey")), frozenset(("l_orderkey", "o_orderkey"))} <= found
+
+
 def test_rules_by_name(spark, sf_dir):
     found = {(r["source_column"], r["target_column"]): r for r in QUERIES["rel_rules"](spark, sf_dir).collect()}
     assert found["cust_id", "cust_id"]["confidence_score"] == 95
