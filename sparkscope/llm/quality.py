@@ -9,6 +9,8 @@ marginals, weighted by the lines' lengths, is calibrated to the document's score
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,9 +41,8 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         n, found = len(line), line.split()
         k, m = len(found), max(1, len(line))
         share = lambda s: (n - len(line.translate(None, s))) / m  # noqa: B023, E731
-        distinct = set(found)
-        d = len(distinct)
-        most = max(map(found.count, distinct)) if 1 < d < 12 else (k if d == 1 else 0)
+        counts = Counter(found)
+        d, most = len(counts), max(counts.values(), default=0)
         upper, lower = share(_UPPER), share(_LOWER)
         out.append(
             (

@@ -86,3 +86,11 @@ def test_marginals_match_all_labellings():
         want_pairs += own_pairs / total
         at += n
     assert np.allclose(got, want) and np.allclose(pairs, want_pairs)
+
+
+def test_repeated_words_count_in_lines_of_many_words():
+    others = " ".join(f"w{i}" for i in range(30))
+    lines = ["spam " * 300 + others, others, "", "a a b", "one"]
+    x, _ = quality.line_features("\n".join(lines))
+    got = x[:, quality.FEATURES.index("most_common")]
+    assert np.allclose(got, [300 / 330, 1 / 30, 0, 2 / 3, 1])
