@@ -1,15 +1,17 @@
 """SimHash near-duplicates by an inverted index over byte positions with count filtering.
 
-A fingerprint has eight bytes. Two that differ in at most two bits share at least six of the eight positional bytes. A
-posting list of one positional byte would hold one row in 256, so its pairs grow with the square of the corpus; the index
-is therefore keyed by four positional bytes at a time. The bytes form four neighbouring couples, two differing bits spoil
-two couples at most, so some two couples are whole and the pair meets in at least one of the six lists of two couples. In a
-list the shared positional bytes of each pair are tallied, pairs with six or more go on, and their bits are compared.
-
-Rows with equal fingerprints are one posting. A list with more postings than HOT is not paired: each posting is filed under
-itself and under the 32 values with one bit of its other four bytes flipped. Postings that share a value are at most two
-bits apart, and any two at most two bits apart share one, so a link to the smallest posting of each value loses nothing and
-work stays in proportion to the list.
+A fingerprint has eight bytes. Two that differ in at most two bits share at least six of the eight positional bytes, the
+guaranteed minimum. A posting list of one positional byte would hold one row in 256, so its pairs grow with the square of the
+corpus; the index is therefore keyed by several positional bytes at a time. The bytes form four neighbouring couples, two
+differing bits spoil two couples at most, so some two couples are whole: each fingerprint is filed under the six choices of two
+couples and, where it has company there, under those four bytes and one more. In these lists of five positional bytes the
+pairs are tallied: a pair that meets in n of the four lists of its couples shares 4 + n positional bytes, and goes on from six.
+
+Rows with equal fingerprints are one posting. A list with more than HOT postings is not paired as it stands but split by a sixth
+byte: a partner shares one more of the other three, so the pair meets in one of the parts and has its six shared bytes there.
+A part still larger is split by a seventh byte, and by the bits of both bytes left for pairs that share neither of them, of which
+each byte then differs in one bit. Every split is exact, no list is dropped, and pairs are formed only within lists up to HOT or
+the 256 postings that seven bytes allow.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .components import connected_components
 
 SHINGLE_WORDS, SEED = 3, 42
 BYTES, COUPLES, MAX_BITS = 8, 4, 2
-#: Postings in a list up to which its pairs are tallied.
+LEAST_SHARED = BYTES - MAX_BITS
+#: Postings in a list up to which its pairs are formed; larger ones are split by a further byte.
 HOT = 64
 #: Shingles whose bits are unpacked at a time.
 CHUNK = 8192
@@ -61,30 +64,59 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash")), run, f"`{id_col}` long, fp long, text_hash long")
 
 
-def _byte(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255))
+def _long(bits: int) -> Column:
+    """A 64-bit pattern as a signed long."""
+    return F.lit(bits - (1 << 64) if bits >= 1 << 63 else bits).cast("long")
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    x = a.bitwiseXOR(b)
-    return reduce(lambda s, t: s + t, [(_byte(x, i) == 0).cast("int") for i in range(BYTES)])
+def _mask(of: tuple[int, ...]) -> int:
+    """The bits of some byte positions."""
+    return sum(0xFF << (8 * i) for i in of)
+
+
+def _filed(postings: DataFrame, under: dict[int, list[int]]) -> DataFrame:
+    """Postings (bytes, fp, ...) once for each further mask that `under` names for their bytes, with the list's key k."""
+    ways = F.create_map(*[x for mask, further in under.items() for x in (_long(mask), F.array(*map(_long, further)))])
+    others = [c for c in postings.columns if c != "bytes"]
+    return postings.select(*others, F.explode(F.element_at(ways, F.col("bytes"))).alias("bytes")).withColumn("k", F.col("fp").bitwiseAND(F.col("bytes")))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """The rows of lists with company, and n, the postings of their list."""
+    return rows.join(rows.groupBy("bytes", "k").agg(F.count("*").alias("n")).where("n > 1"), ["bytes", "k"])
+
+
+def _pairs(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, a, b) with a < b of the postings that share the keys."""
+    of = F.flatten(F.transform("fs", lambda a: F.transform(F.filter("fs", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return rows.groupBy(*keys).agg(F.collect_set("fp").alias("fs")).select(*keys, F.inline(of))
+
+
+def candidates(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b) with a < b of distinct fingerprints in column fp: the pairs that share LEAST_SHARED positional bytes or more, as counted, some more than once.
+
+    Of lists of more than hot postings of six bytes, only those that can still pass: they share a seventh byte, or each byte left differs in one bit.
+    """
+    more = lambda of: [_mask((*of, i)) for i in range(BYTES) if i not in of]
+    couples = [(2 * c, 2 * c + 1, 2 * d, 2 * d + 1) for c, d in combinations(range(COUPLES), 2)]
+    five, six = ([*combinations(range(BYTES), n)] for n in (5, LEAST_SHARED))
+    whole = fps.select("fp", F.lit(0).cast("long").alias("bytes"))
+    fours = _sized(_filed(whole, {0: [*map(_mask, couples)]})).select("fp", "bytes", F.col("bytes").alias("couples"))
+    fives = staged(_sized(_filed(staged(fours, "postings-of-four"), {_mask(of): more(of) for of in couples})), "postings-of-five")
+    met = _pairs(fives.where(F.col("n") <= hot), "couples", "bytes", "k")
+    tallied = met.groupBy("couples", "a", "b").agg((4 + F.count("*")).alias("shared")).where(F.col("shared") >= LEAST_SHARED)
+    sixes = staged(_sized(_filed(fives.where(F.col("n") > hot).select("fp", "bytes"), {_mask(of): more(of) for of in five}).distinct()), "postings-of-six")
+    large = sixes.where(F.col("n") > hot).select("fp", "bytes")
+    sevens = _filed(large, {_mask(of): more(of) for of in six}).distinct()
+    left = {of: [i for i in range(BYTES) if i not in of] for of in six}
+    but_two_bits = {_mask(of): [(1 << 64) - 1 - (1 << 8 * i + p) - (1 << 8 * j + q) for p in range(8) for q in range(8)] for of, (i, j) in left.items()}
+    found = [tallied, _pairs(sixes.where(F.col("n") <= hot), "bytes", "k"), _pairs(sevens, "bytes", "k"), _pairs(_filed(large, but_two_bits).distinct(), "bytes", "k")]
+    return reduce(DataFrame.unionAll, [x.select("a", "b") for x in found])
 
 
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b) of distinct fingerprints in column fp: every pair of a list up to hot that differs in at most MAX_BITS bits; from larger lists as many as connect the same ones."""
-    masks = [sum(0xFFFF << (16 * c) for c in pair) for pair in combinations(range(COUPLES), 2)]
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    fp = F.col("fp")
-    filed = fps.select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "k"))
-    sizes = filed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    filed = staged(filed.join(sizes, ["t", "k"]), "postings")
-    near = lambda a, b: (b > a) & (_shared_bytes(a, b) >= BYTES - MAX_BITS) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
-    pairs = F.flatten(F.transform("fs", lambda a: F.transform(F.filter("fs", lambda b: near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    cold = filed.where(F.col("n") <= hot).groupBy("t", "k").agg(F.collect_list("fp").alias("fs")).select(F.inline(pairs))
-    flips = F.array(*[F.array(*[F.lit(signed(1 << i)).cast("long") for i in range(64) if not m >> i & 1], F.lit(0).cast("long")) for m in masks])
-    values = filed.where(F.col("n") > hot).select("t", "k", "fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip")).select("t", "k", "fp", fp.bitwiseXOR(F.col("flip")).alias("v"))
-    smallest = values.groupBy("t", "k", "v").agg(F.min("fp").alias("b"))
-    return cold.unionAll(values.join(smallest, ["t", "k", "v"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    """(a, b) of the candidates whose bits differ in at most MAX_BITS places: every such pair."""
+    return candidates(fps, hot).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

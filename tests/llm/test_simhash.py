@@ -45,8 +45,15 @@ def test_fingerprints_match_bit_by_bit():
     assert simhash.fingerprint("the cat sat " * 20_000) == plain_fingerprint("the cat sat " * 20_000)
 
 
-def test_links_of_cold_and_hot_lists_match_all_pairs(spark):
-    r = np.random.default_rng(5)
+def bits_apart(a, b):
+    return ((a ^ b) & (1 << 64) - 1).bit_count()
+
+
+def shared_bytes(a, b):
+    return sum((a ^ b) >> 8 * i & 255 == 0 for i in range(8))
+
+
+def balls(r):
     fps = {int(x) for x in r.integers(-(1 << 63), (1 << 63) - 1, size=200)}
     for centre in list(fps)[:6]:
         for _ in range(60):  # dense balls: many postings share their bytes
@@ -54,15 +61,22 @@ def test_links_of_cold_and_hot_lists_match_all_pairs(spark):
             for bit in r.integers(0, 64, size=r.integers(1, 4)):
                 x ^= 1 << int(bit)
             fps.add(x - (1 << 64) if x >= 1 << 63 else x)
-    near = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2]
-    want = components(fps, near)
+    centre = list(fps)[7]
+    fps |= {centre ^ int(x) for x in r.integers(0, 1 << 16, size=200)}  # all in one list of six bytes
+    return fps | {centre ^ (1 << 8) ^ 1, centre ^ 3, centre}
+
+
+def test_the_tally_alone_decides_candidates_and_splits_lose_no_link(spark):
+    fps = balls(np.random.default_rng(5))
+    pairs = [(a, b) for a in fps for b in fps if a < b]
+    near = {(a, b) for a, b in pairs if bits_apart(a, b) <= 2}
+    enough = {(a, b) for a, b in pairs if shared_bytes(a, b) >= 6}
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for hot in (2, 8, 1000):
-        found = {(r["a"], r["b"]) for r in simhash.links(df, hot).collect()}
-        assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in found)
-        assert components(fps, found) == want
-        if hot == 1000:
-            assert {tuple(sorted(p)) for p in found} == set(near)
+    assert {tuple(r) for r in simhash.candidates(df, 10_000).collect()} == enough
+    for hot in (1, 8, 10_000):
+        found = {tuple(r) for r in simhash.candidates(df, hot).collect()}
+        assert near <= found <= enough
+        assert {tuple(r) for r in simhash.links(df, hot).collect()} == near
 
 
 def test_documents_with_nulls_copies_and_clashing_columns(spark):
