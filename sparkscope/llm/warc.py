@@ -1,8 +1,10 @@
 """Deterministic WARC archives, written in shards and read back.
 
-Records are range-sorted by page_id, so the same pages give the same bytes. Each record is a gzip member of its own; a file is
-rolled when its compressed size reaches ROLL_BYTES. Headers and digests are made anew from the payload. A file gets its name
-only when complete, and a written manifest lists the files with their sizes and digests.
+Records are range-sorted by page_id and a hash of the payload. The ranges follow from the pages alone: their number from the
+bytes of all payloads, their bounds from the pages with the smallest hashes. So the same pages give the same files, whatever
+the partitions, cores or order of the input. Each record is a gzip member of its own; a file is rolled when its compressed size
+reaches ROLL_BYTES. Headers and digests are made anew from the payload. A file gets its name only when complete, and a written
+manifest lists the files with their sizes and digests.
 
 Of pages with equal payloads of at least LEAST_REVISIT bytes the one with the largest page_id is a response and the others
 revisit it. Only page_id, digest and length are grouped for that, pre-aggregated before the shuffle; the decisions are
@@ -14,10 +16,14 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
+from math import ceil
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +31,8 @@ from .common import fresh_path, map_batches, staged, table
 from .files import committed, made_dir, read_bytes
 
 ROLL_BYTES = 64 << 20
+#: Payload bytes of a range; of small tables there are up to FEW_RANGES smaller ones, for work at the same time. Pages whose keys give a range's bounds.
+RANGE_BYTES, SMALL_RANGE, FEW_RANGES, SAMPLED = 256 << 20, 4 << 20, 64, 32
 LEAST_REVISIT = 1000
 #: Records have a fixed date, so that archives depend on their pages alone.
 RECORD_DATE = "1970-01-01T00:00:00Z"
@@ -90,6 +98,36 @@ def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
+def _parts(size: int) -> int:
+    """Ranges for that many bytes."""
+    return max(1, ceil(size / RANGE_BYTES), min(FEW_RANGES, ceil(size / SMALL_RANGE)))
+
+
+def _bounds(keys: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Keys (page_id, h) that part n ranges: quantiles of the SAMPLED * n keys with the smallest hashes. Ties are equal keys, so the result depends on the rows alone."""
+    if n < 2:
+        return []
+    chosen = keys.where("page_id is not null").orderBy(F.xxhash64("page_id", "h"), "page_id", "h").limit(SAMPLED * n).toPandas()
+    found = sorted(zip(chosen["page_id"].tolist(), chosen["h"].tolist()))
+    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+
+
+def _ranges(bounds: list[tuple[int, int]]):
+    """A column function of (page_id, h): the number of the range; only these two columns go to Python."""
+    ids = np.array([b[0] for b in bounds], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def part(page_id: pd.Series, h: pd.Series) -> pd.Series:
+        known = page_id.notna().to_numpy()
+        p = page_id.fillna(0).to_numpy(dtype=np.int64)
+        at, to = np.searchsorted(ids, p, "left"), np.searchsorted(ids, p, "right")
+        for i in np.flatnonzero(at < to):  # pages that share their page_id with a bound
+            at[i] = bisect_left(bounds, (int(p[i]), int(h.iloc[i])), int(at[i]), int(to[i]))
+        return pd.Series(np.where(known, at, 0).astype(np.int32))
+
+    return part
+
+
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_revisit: int = LEAST_REVISIT, parts: int | None = None) -> DataFrame:
     """Writes a record for every row of pages (page_id, url, html) and returns the written manifest (part, seq, file, records, bytes, sha1).
 
@@ -98,48 +136,49 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    digests = pages.where((F.octet_length("html") >= least_revisit) & F.col("page_id").isNotNull()).select("page_id", F.sha1(F.encode("html", "utf-8")).alias("digest"))
-    digests = staged(digests, "digests")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.xxhash64(html).alias("h"))
+    digest = F.when((F.octet_length("html") >= least_revisit) & F.col("page_id").isNotNull(), F.sha1(F.encode("html", "utf-8")))
+    keys = staged(pages.select("page_id", "h", F.octet_length("html").cast("long").alias("n"), digest.alias("digest")), "digests")
+    n = parts or _parts(keys.agg(F.sum("n")).first()[0] or 0)
+    bounds = _bounds(keys.select("page_id", "h"), n)
+    digests = keys.where("digest is not null").select("page_id", "h", "digest")
     shared = digests.groupBy("digest").agg(F.max("page_id").alias("to"), F.min("page_id").alias("from")).where("`from` < `to`")
-    revisits = digests.join(shared, "digest").where("page_id < `to`").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "to", "digest").distinct()
-    n = parts or max(1, pages.rdd.getNumPartitions())
+    revisits = digests.join(shared, "digest").where("page_id < `to`").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "h", "to", "digest").distinct()
     rows = pages.select("*", F.lit(None).cast("long").alias("to"), F.lit(None).cast("string").alias("digest")).unionAll(revisits)
-    ordered = rows.repartitionByRange(n, F.col("page_id")).sortWithinPartitions(F.col("page_id"), F.col("html").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("digest"))
+    ranged = rows.withColumn("part", _ranges(bounds)("page_id", "h")).repartitionById(len(bounds) + 1, F.col("part"))
+    ordered = ranged.sortWithinPartitions("part", "page_id", "h", F.col("html").asc_nulls_first(), F.col("url").asc_nulls_first(), "digest")
     made_dir(folder)
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())])
 
-    def run(batches):
-        part, seq = TaskContext.get().partitionId(), 0
+    def compressed(rows):
         page, revisit = object(), {}
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for page_id, url, html, h, to, digest, _ in rows:
+            if (page_id, h) != page:
+                page, revisit = (page_id, h), {}
+            if html is None:  # a decision; it precedes the page's own rows
+                revisit[digest] = to
+                continue
+            payload = html.encode()
+            yield member(record(page_id, url, payload, revisit.get(hashlib.sha1(payload).hexdigest()) if revisit else None))
 
-        def compressed():
-            nonlocal page, revisit
-            for page_id, url, html, to, digest in rows:
-                if page_id != page:
-                    page, revisit = page_id, {}
-                if html is None:  # a decision; it precedes the page's own rows
-                    revisit[digest] = to
-                    continue
-                payload = html.encode()
-                yield member(record(page_id, url, payload, revisit.get(hashlib.sha1(payload).hexdigest()) if revisit else None))
-
-        todo = compressed()
-        data = next(todo, None)
-        while data is not None:
-            name, count, size, sha = f"pages-{part:06d}-{seq:05d}.warc.gz", 0, 0, hashlib.sha1()
-            with committed(folder, name) as out:
-                first = member(info_record(name))
-                out.write(first)
-                sha.update(first)
-                size = len(first)
-                while data is not None and (not count or size + len(data) <= roll_bytes):
-                    out.write(data)
-                    sha.update(data)
-                    size, count, data = size + len(data), count + 1, next(todo, None)
-            yield pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "records": count, "bytes": size, "sha1": sha.hexdigest()}], schema=schema)
-            seq += 1
+    def run(batches):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for part, of in groupby(rows, key=lambda r: r[-1]):
+            todo, seq = compressed(of), 0
+            data = next(todo, None)
+            while data is not None:
+                name, count, sha = f"pages-{part:06d}-{seq:05d}.warc.gz", 0, hashlib.sha1()
+                with committed(folder, name) as out:
+                    first = member(info_record(name))
+                    out.write(first)
+                    sha.update(first)
+                    size = len(first)
+                    while data is not None and (not count or size + len(data) <= roll_bytes):
+                        out.write(data)
+                        sha.update(data)
+                        size, count, data = size + len(data), count + 1, next(todo, None)
+                yield pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "records": count, "bytes": size, "sha1": sha.hexdigest()}], schema=schema)
+                seq += 1
 
     made = map_batches(ordered, run, "part int, seq int, file string, records long, bytes long, sha1 string")
     made.write.parquet(f"{folder}/_manifest")

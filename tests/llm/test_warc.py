@@ -45,6 +45,20 @@ def test_round_trip_of_records_and_rolled_files(spark, tmp_path):
     assert sorted(map(tuple, warc.write_archives(df.repartition(5), again, roll_bytes=2000, parts=3).collect())) == sorted(map(tuple, manifest.collect()))
 
 
+def test_files_depend_on_the_pages_alone(spark, tmp_path):
+    pages = spark.range(10_000).selectExpr("(id * 7919) % 9000 as page_id", "concat('u', id % 50) as url", "repeat(concat('<p>', id % 4000), 40) as html", "id as digest")
+    hot = spark.range(3000).selectExpr("4500L as page_id", "'u' as url", "repeat(concat('hot', id % 1000), 300) as html", "id as digest")
+    found = []
+    for k, df in enumerate((pages.unionAll(hot).repartition(3), pages.unionAll(hot).orderBy(warc.F.desc("page_id")).coalesce(2), hot.unionAll(pages).repartition(17))):
+        spark.conf.set("spark.sql.adaptive.enabled", str(k != 1).lower())
+        manifest = warc.write_archives(df, f"file://{tmp_path}/{k}", roll_bytes=100_000, parts=5)
+        found.append(sorted(map(tuple, manifest.collect())))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == {*range(5)} and sum(r[3] for r in found[0]) == 13_000
+    by_part = [sum(r[3] for r in found[0] if r[0] == p) for p in range(5)]
+    assert max(by_part) < 2 * 13_000 / 5  # one page_id with a quarter of all rows doesn't fill a range
+
+
 def test_empty_table_and_damaged_archives(spark, tmp_path):
     df = spark.createDataFrame([(*x, "d", 1) for x in case()], SCHEMA)
     folder = f"file://{tmp_path}/none"
