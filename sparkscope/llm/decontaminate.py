@@ -1,9 +1,10 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items, one scan of every text.
 
 The automaton's symbols are words: A-Z in lower case, words of ASCII letters, digits and anything outside ASCII. It holds
-every window of 13 consecutive words of an item, or all of a shorter item. Items come to the tasks in parts of at most
-MOST_WORDS words, an automaton each; with more items than fit one part the parts are scanned one after the other in the
-same pass over the rows, without a shuffle, so what is broadcast stays bounded.
+every window of 13 consecutive words of an item, or all of a shorter item. Items lie in the shared folder in parts of about
+MOST_WORDS words, and a task reads the part it needs. One part is the usual case: one automaton, one scan. With more, a task
+puts its rows into a file beside the parts and runs over them once a part, one automaton after the other, in the same pass over
+the table and without a shuffle: memory is that of one automaton, however large the benchmark, and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ import math
 import re
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyarrow import dataset
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, table
+from .common import fresh_path, map_batches, table
+from .files import opened
 
 WINDOW = 13
 #: Words of items in one automaton, about 150 MB in a task.
@@ -79,7 +84,57 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_scanners: dict[str, Scanner] = {}
+_last: tuple[tuple[str, int], Scanner] | None = None
+
+
+def _scanner(folder: str, part: int, window: int) -> Scanner:
+    """The automaton of a part; a worker keeps the one it used last."""
+    global _last
+    if _last is None or _last[0] != (folder, part):
+        _last = None
+        store, path = opened(f"{folder}/part={part}")
+        some = dataset.dataset(path, filesystem=store, format="parquet").to_table().to_pylist() if store.get_file_info(path).type == FileType.Directory else []
+        _last = (folder, part), Scanner([(r["item_id"], r["text"]) for r in some], window)
+    return _last[1]
+
+
+def _found(batches: Iterator[pa.RecordBatch], folder: str, parts: int, window: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Batches, with (number of words, runs, items) of each row over all parts. With more parts than one the rows wait in the shared folder."""
+    store, path = opened(f"{folder}/_rows-{uuid.uuid4().hex}")
+    known: dict[int, tuple[list, set]] = {}
+    try:
+        for part in range(parts):
+            scanner, row, last, file, writer = _scanner(folder, part, window), 0, part == parts - 1, None, None
+            if part:
+                file = store.open_input_stream(path)
+            for b in pa.ipc.open_stream(file) if part else batches:
+                if not part and not last:
+                    file = file or store.open_output_stream(path)
+                    writer = writer or pa.ipc.new_stream(file, b.schema)
+                    writer.write_batch(b)
+                out = []
+                for text in b.column(1).to_pylist():
+                    found = words(text)
+                    runs, hit = scanner.scan(found)
+                    if before := known.pop(row, None):
+                        runs, hit = _merged([*before[0], *runs]), before[1] | hit
+                    if last:
+                        out.append((len(found), runs, hit))
+                    elif runs:
+                        known[row] = runs, hit
+                    row += 1
+                if last:
+                    yield b, out
+            if writer:
+                writer.close()
+            if file:
+                file.close()
+            elif not last:
+                return  # a task without rows
+    finally:
+        if store.get_file_info(path).type == FileType.File:
+            store.delete_file(path)
+
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
 
@@ -91,52 +146,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     whose id is null marks words but counts in no n_items; items that repeat an id count once. A document is contaminated
     if it has hits and at least a twentieth of its words are hit. Without items nothing is hit; without documents there are no rows.
     """
-    sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    bytes_in = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(bytes_in / (7 * most_words)))
-    own = [f"_runs{uuid.uuid4().hex[:6]}", f"_items{uuid.uuid4().hex[:6]}"]
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, folder = max(1, math.ceil(size / (7 * most_words))), fresh_path(docs.sparkSession, "benchmark")
+    items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))).write.partitionBy("part").parquet(folder)
     carried = [F.struct(*[docs[c] for c in carry]).alias("carried")] if carry else []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<int>").alias(own[0]), F.lit(None).cast("array<string>").alias(own[1]), *carried)
-    id_type = docs.schema[id_col].dataType
-    for part in range(parts):
-        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        sent, key = sc.broadcast([(r.item_id, r.text) for r in mine.collect()]), uuid.uuid4().hex
-        last = part == parts - 1
-
-        def run(batches, sent=sent, key=key, last=last):
-            if key not in _scanners:
-                _scanners.clear()
-                _scanners[key] = Scanner(sent.value, window)
-            scanner = _scanners[key]
-            for b in batches:
-                out: list[list] = [[] for _ in range(6 if last else 2)]
-                for text, before, had in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                    found = words(text)
-                    runs, hit = scanner.scan(found)
-                    if before:
-                        runs = _merged([*zip(before[::2], before[1::2]), *runs])
-                    hit |= {*(had or ())}
-                    if not last:
-                        out[0].append([x for r in runs for x in r])
-                        out[1].append(sorted(hit, key=lambda x: (x is None, x)))
-                        continue
-                    ids, n_hit, spans = sorted(x for x in hit if x is not None), sum(e - s for s, e in runs), []
-                    if runs:
-                        places = [m.span() for m in _WORD.finditer(text)]
-                        spans = [{"start": places[s][0], "end": places[e - 1][1]} for s, e in runs]
-                    for o, v in zip(out, (len(found), n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= len(found), spans)):
-                        o.append(v)
-                if last:
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-                    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-                    yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out, types), *b.columns[4:]], ["id", *names, *b.schema.names[4:]])
-                else:
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.string())), *b.columns[4:]], ["id", "text", *own, *b.schema.names[4:]])
-
-        fields = T.StructType.fromDDL(RESULT if last else f"text string, {own[0]} array<int>, {own[1]} array<string>").fields
-        rows = map_batches(rows, run, T.StructType([T.StructField("id", id_type), *fields, *([rows.schema["carried"]] if carry else [])]))
-    return rows.withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carried)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+
+    def run(batches):
+        for b, found in _found(batches, folder, parts, window):
+            out: list[list] = [[] for _ in names]
+            for text, (n, runs, hit) in zip(b.column(1).to_pylist(), found):
+                ids, n_hit, spans = sorted(x for x in hit if x is not None), sum(e - s for s, e in runs), []
+                if runs:
+                    places = [m.span() for m in _WORD.finditer(text)]
+                    spans = [{"start": places[s][0], "end": places[e - 1][1]} for s, e in runs]
+                for o, v in zip(out, (n, n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n, spans)):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out, types), *b.columns[2:]], ["id", *names, *b.schema.names[2:]])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL(RESULT).fields, *([rows.schema["carried"]] if carry else [])])
+    return map_batches(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
