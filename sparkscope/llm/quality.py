@@ -3,13 +3,15 @@
 Every line of a text gets features (lengths, capitals, symbols, bars, repetition) cut into bins; the score of a line being
 good adds a weight for each bin of its own, the previous and the next line's features, and transitions tie neighbours. The
 field is trained by its log-likelihood on lines that carry their document's label, over at most SAMPLE labelled documents of the
-folds that are not held out, chosen by a hash of doc_id. Forward-backward gives each line's marginal; the mean of the
+folds that are not held out, chosen by a hash of doc_id; of a longer document it is trained on SAMPLE_LINES lines in a row, at a
+place given by the text's hash. Every line of every document is scored. Forward-backward gives each line's marginal; the mean of the
 marginals, weighted by the lines' lengths, is calibrated to the document's score.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from .toxicity import kept_where, scored, training_rows
 
 #: Labelled documents used for training at most, and those the smallest useful training set has.
 SAMPLE, LEAST_SAMPLE = 6_000, 20
+#: Lines of a document used for training at most.
+SAMPLE_LINES = 200
 FOLDS, HELD_OUT = 3, 1
 BINS, ROUNDS, RATE, PENALTY = 8, 120, 0.1, 1e-3
 
@@ -53,6 +57,11 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, dtype=np.float64).reshape(-1, len(FEATURES)), np.array([len(x) for x in lines], dtype=np.float64)
 
 
+def _some_lines(x: np.ndarray, n: np.ndarray, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    at = crc32((text or "").encode()) % max(1, len(x) - SAMPLE_LINES + 1)
+    return x[at : at + SAMPLE_LINES], n[at : at + SAMPLE_LINES]
+
+
 class Chains:
     """Line sequences of some documents laid out by step, longest first, so that one numpy call serves all at a step."""
 
@@ -177,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
 
     def make(batches):
         for b in batches:
-            made = [line_features(t) for t in b.column(0).to_pylist()]
+            made = [_some_lines(*line_features(t), t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.ravel() for x, _ in made], pa.list_(pa.float64())), pa.array([n for _, n in made], pa.list_(pa.float64())), b.column(1)], ["x", "n", "y"])
 
     made = map_batches(rows, make, "x array<double>, n array<double>, y int").toPandas()

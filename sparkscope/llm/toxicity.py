@@ -26,8 +26,8 @@ SAMPLE, LEAST_SAMPLE = 12_000, 20
 FOLDS, HELD_OUT = 5, 0
 #: Terms kept in the learned lexicon, toxic documents that must hold one, least log-odds, lengths of word beginnings.
 TERMS, LEAST_DOCS, LEAST_WEIGHT, STEMS = 3000, 3, 1.5, (4, 5, 6, 7)
-#: Words whose weights a worker keeps.
-KEPT = 300_000
+#: Bytes of words whose weights a worker keeps; each entry counts ENTRY more.
+KEPT, ENTRY = 40 << 20, 100
 
 # Common English insults and second-person words of four languages.
 INSULTS = "clown coward creep disgusting dumb dumbass fool freak garbage hate idiot imbecile jerk kill liar loser lunatic moron moronic pathetic pig psycho retard scum scumbag shut sick stupid trash ugly vermin vile worthless".split()
@@ -58,6 +58,7 @@ class Lexicon:
     def __init__(self, counts: dict[bytes, tuple[int, int]], toxic: int, other: int):
         self.counts, self.toxic, self.other = counts, toxic, other
         self.known: dict[bytes, float] = {}
+        self.held = 0
 
     def weight(self, pos: int, neg: int, label: int | None) -> float:
         """label: of the document at hand where it is one of those counted."""
@@ -74,8 +75,10 @@ class Lexicon:
             return max((self.weight(*c, label) for t in terms(word) if (c := self.counts.get(t))), default=0.0)
         w = self.known.get(word)
         if w is None:
-            if len(self.known) >= KEPT:
+            self.held += len(word) + ENTRY
+            if self.held >= KEPT:
                 self.known.clear()
+                self.held = len(word) + ENTRY
             w = self.known[word] = max((self.weight(*c, None) for t in terms(word) if (c := self.counts.get(t))), default=0.0)
         return w
 
@@ -135,10 +138,13 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, folds: int, held_out: int, most: int) -> DataFrame:
-    """(text, y) of at most that many labelled documents outside the held-out fold, by a hash of doc_id; ids with several labels take the largest."""
+    """(text, y) of at most that many labelled documents outside the held-out fold, by a hash of doc_id.
+
+    Ids with several labels take the largest; of several documents with one id the smallest text counts, so no more rows than ids come out.
+    """
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & (fold_of("_id", folds) != held_out)).groupBy("_id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most)  # most rows of two numbers: small enough to broadcast
-    return docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "y")
+    return docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE) -> Model:
