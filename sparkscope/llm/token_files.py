@@ -1,13 +1,14 @@
 """Token identifiers in binary files, compressed by a Re-Pair grammar for each shard.
 
 Documents are tokenised where they lie; the identifiers, not the texts, are range-sorted by doc_id and written as shards of
-about SHARD_TOKENS tokens. In a shard the most frequent pairs of adjacent symbols are replaced by new symbols, again and
-again, until a round hardly shortens them; pairs never cross the end of a document. The file stores the rules, the expanded
-length of each, the symbols, and for each document where its symbols and its tokens begin, so that one document is decoded
-from its own symbols alone. Shards get their names only when complete; a written manifest lists them.
-
-File: magic, the header's length (4 bytes, little-endian), the header in JSON (dtypes and counts), then arrays in this order:
-rules (two symbols each), expanded lengths, doc_ids, flags of null doc_ids, first symbols, first tokens, symbols.
+about SHARD_TOKENS tokens. In a shard frequent pairs of adjacent symbols are replaced by new symbols, again and again, until no
+pair is left that occurs LEAST_USES times; pairs never cross the end of a document. The file stores the shard's distinct
+identifiers, which are its first symbols, the rules, the expanded length of each, the symbols, and for each document where its
+symbols and its tokens begin, so that one document is decoded from its own symbols and the rules they name. Shards get their
+names only when complete; a written manifest lists them.
+
+File: magic, the header's length (4 bytes, little-endian), the header in JSON (dtype and counts), then arrays in this order:
+identifiers, rules (two symbols each), expanded lengths, doc_ids, flags of null doc_ids, first symbols, first tokens, symbols.
 """
 
 from __future__ import annotations
@@ -30,62 +31,90 @@ MAGIC = b"RPTK"
 END_ID = 2
 SHARD_TOKENS = 1_000_000
 #: Uses from which a rule is shorter than what it replaces.
-LEAST_USES = 8
-#: Pairs replaced in a round; the rounds end when one shortens the symbols by less than this share. They bound the effort, not what is stored.
-PAIRS_A_ROUND, LEAST_GAIN = 4096, 0.01
-_BITS = 20
+LEAST_USES = 5
+_BITS = 18
+
+
+def _half(kind) -> np.integer:
+    return kind(4 * np.dtype(kind).itemsize)
 
 
-def repair(symbols: np.ndarray, last: np.ndarray, base: int, top: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, last, rules): last marks the final symbol of each document, new symbols count from base and stay under top.
+def repair(symbols: np.ndarray, last: np.ndarray, base: int, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, last, rules): last marks the final symbol of each document; symbols are below base, new ones count from it.
 
-    A round counts adjacent pairs by hash and replaces the most frequent ones. Pairs that share a hash with another wait for a later round.
+    The symbols are a linked list. A round counts the pairs that may still be frequent and replaces, of those that are, every
+    occurrence that overlaps with none of a more frequent pair. Pairs of old symbols only get rarer, so a rare one is looked at
+    again only where a new symbol appears. The rounds end when no pair has `least` occurrences that don't overlap.
     """
-    wide = top > 1 << 16
-    seq, last, rules, n_rules = symbols.astype(np.uint32), last.copy(), [], 0
-    kind, half = (np.uint64, np.uint64(32)) if wide else (np.uint32, np.uint32(16))
-    factor, down = kind(0x9E3779B97F4A7C15 if wide else 0x9E3779B1), kind(8 * np.dtype(kind).itemsize - _BITS)
-    while len(seq) > 1 and base + n_rules < top:
-        keys = seq[:-1].astype(kind, copy=False) << half
-        keys |= seq[1:]
-        slot = ((keys * factor) >> down).astype(np.int32)
-        slot[last[:-1]] = 1 << _BITS
-        counts = np.bincount(slot, minlength=(1 << _BITS) + 1)
-        counts[-1] = 0
-        at = np.flatnonzero((counts >= LEAST_USES)[slot])
-        of, pair = slot[at], keys[at]
-        chosen = np.zeros((1 << _BITS) + 1, dtype=kind)
-        chosen[of] = pair
-        same = chosen[of] == pair
-        at, of = at[same], of[same]
-        uses = np.bincount(of, minlength=(1 << _BITS) + 1)
-        frequent = np.flatnonzero(uses >= LEAST_USES)
-        if not len(frequent):
-            break
-        most = min(PAIRS_A_ROUND, top - base - n_rules)
-        if len(frequent) > most:
-            frequent = np.sort(frequent[np.argsort(-uses[frequent], kind="stable")[:most]])
-        number = np.full((1 << _BITS) + 1, -1, dtype=np.int32)
-        number[frequent] = np.arange(len(frequent), dtype=np.int32)
-        number = number[of]
-        at, number = at[number >= 0], number[number >= 0]
-        # Of places that overlap, every other one is replaced, counted from the first.
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
-        since = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-        at, number = at[since % 2 == 0], number[since % 2 == 0]
-        used = np.bincount(number, minlength=len(frequent)) > 0
-        pairs = chosen[frequent[used]]
-        rules.append(np.stack((pairs >> half, pairs & kind((1 << int(half)) - 1)), axis=1).astype(np.uint32))
-        seq[at] = (base + n_rules - 1 + np.cumsum(used))[number]
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), dtype=bool)
-        keep[at + 1] = False
-        gain = len(at) / len(seq)
-        seq, last = seq[keep], last[keep]
-        n_rules += int(used.sum())
-        if gain < LEAST_GAIN:
-            break
-    return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
+    n = len(symbols)
+    seq, last = np.append(symbols, 0).astype(np.uint32), np.append(last, True)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    before[0] = n
+    alive, open_, weight = np.ones(n, dtype=bool), ~last, np.zeros(n + 2, dtype=np.int64)
+    rules, n_rules, rounds = [], 0, 0
+    while True:
+        rounds += 1
+        live = np.flatnonzero(open_).astype(np.int32)
+        kind = np.uint32 if base + n_rules <= 1 << 16 else np.uint64
+        keys = seq[live].astype(kind, copy=False) << _half(kind)
+        keys |= seq[after[live]]
+        slot = _slots(keys, rounds)
+        kept = (np.bincount(slot, minlength=1 << _BITS) >= least)[slot]
+        live, keys, slot = live[kept], keys[kept], slot[kept]
+        open_[:] = False
+        open_[live] = True
+        apart = _apart(live, keys, after)
+        # One pair for each hash; others with the same hash wait, as the next round's hash parts them.
+        pairs = np.zeros(1 << _BITS, dtype=kind)
+        pairs[slot] = keys
+        ok = (pairs[slot] == keys) & apart
+        at, of = live[ok], slot[ok]
+        uses = np.bincount(of, minlength=1 << _BITS)
+        if uses.max() < least:
+            pairs, of = np.unique(keys[apart], return_inverse=True)
+            at, uses = live[apart], np.bincount(of)
+            if uses.max(initial=0) < least:
+                break
+        frequent = (uses >= least)[of]
+        at, of = at[frequent], of[frequent]
+        own = (uses[of] << np.int64(_BITS + 3)) + of + 1
+        weight[at] = own
+        first = (weight[after[at]] <= own) & (weight[before[at]] <= own)
+        weight[at] = 0
+        at, of = at[first], of[first]
+        good = np.flatnonzero(np.bincount(of, minlength=len(uses)) >= least)
+        number = np.full(len(uses), -1, dtype=np.int32)
+        number[good] = np.arange(len(good), dtype=np.int32)
+        at, of = at[number[of] >= 0], number[of[number[of] >= 0]]
+        made = pairs[good]
+        rules.append(np.stack((made >> _half(kind), made & kind((1 << int(_half(kind))) - 1)), axis=1).astype(np.uint32))
+        gone = after[at]
+        seq[at] = base + n_rules + of
+        last[at], after[at] = last[gone], after[gone]
+        before[after[at]] = at
+        alive[gone] = open_[gone] = False
+        open_[at] = ~last[at]
+        open_[before[at]] = ~last[before[at]]
+        n_rules += len(good)
+    return seq[:n][alive], last[:n][alive], np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
+
+
+def _slots(keys: np.ndarray, rounds: int) -> np.ndarray:
+    """A hash of each pair, another one every round."""
+    kind, bits = keys.dtype.type, 8 * keys.dtype.itemsize
+    factor = ((0x9E3779B97F4A7C15 >> 64 - bits) + 2 * 0x5851F42D * rounds | 1) & (1 << bits) - 1
+    return ((keys * kind(factor)) >> kind(bits - _BITS)).astype(np.int32)
+
+
+def _apart(at: np.ndarray, keys: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Marks of the occurrences that count: of those of a doubled symbol that overlap every other one, from the first."""
+    ok, half = np.ones(len(at), dtype=bool), _half(keys.dtype.type)
+    doubled = np.flatnonzero(keys >> half == keys & keys.dtype.type((1 << int(half)) - 1))
+    if len(doubled):
+        p = at[doubled]
+        starts = np.flatnonzero(np.concatenate(([True], after[p[:-1]] != p[1:])))
+        ok[doubled] = (np.arange(len(p)) - np.repeat(starts, np.diff(np.append(starts, len(p))))) % 2 == 0
+    return ok
 
 
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
@@ -101,21 +130,27 @@ def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def unfolded(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The first symbols that symbols stand for: all rules among them are replaced at once, a level at a time. Only rules that they name are read."""
+    flat = symbols.astype(np.uint32)
+    while (folded := flat >= base).any():
+        ends = np.cumsum(1 + folded)
+        wider, at = np.empty(int(ends[-1]), dtype=np.uint32), ends[folded] - 2
+        wider[ends[~folded] - 1] = flat[~folded]
+        pair = rules[flat[folded] - base]
+        wider[at], wider[at + 1] = pair[:, 0], pair[:, 1]
+        flat = wider
+    return flat
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
-    """The tokens of symbols. The expansions of the rules are laid out once, all of a depth at a time, and then copied."""
+    """As unfolded, for many symbols: what the rules stand for is laid out once and then copied."""
     lengths = lengths_of(rules, base) if lengths is None else lengths
     many = symbols >= base
     if not many.any():
         return symbols.astype(np.uint32)
     needed = int(symbols.max()) - base + 1  # a rule names earlier rules only
-    flat = np.arange(base, base + needed, dtype=np.uint32)
-    while (open_ := flat >= base).any():
-        ends = np.cumsum(1 + open_)
-        wider, at = np.empty(int(ends[-1]), dtype=np.uint32), ends[open_] - 2
-        wider[ends[~open_] - 1] = flat[~open_]
-        pair = rules[flat[open_] - base]
-        wider[at], wider[at + 1] = pair[:, 0], pair[:, 1]
-        flat = wider
+    flat = unfolded(np.arange(base, base + needed, dtype=np.uint32), rules, base)
     begins = np.concatenate(([0], np.cumsum(lengths[:needed].astype(np.int64))))
     size = np.ones(len(symbols), dtype=np.int64)
     rule = symbols[many].astype(np.int64) - base
@@ -130,18 +165,22 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarra
     return out
 
 
-def shard_bytes(docs: list[tuple[int | None, np.ndarray]], base: int) -> tuple[bytes, dict]:
-    """The file of some (doc_id, tokens), each with at least one token, and its counts."""
+def shard_bytes(docs: list[tuple[int | None, np.ndarray]], vocabulary: int) -> tuple[bytes, dict]:
+    """The file of some (doc_id, tokens below vocabulary), each with at least one token, and its counts."""
     n_tokens = np.array([len(t) for _, t in docs], dtype=np.int64)
     last = np.zeros(int(n_tokens.sum()), dtype=bool)
     last[np.cumsum(n_tokens) - 1] = True
-    top = 1 << 16 if base < 1 << 16 else 1 << 31
-    seq, last, rules = repair(np.concatenate([t for _, t in docs]), last, base, top)
+    tokens = np.concatenate([t for _, t in docs])
+    used = np.zeros(vocabulary, dtype=bool)
+    used[tokens] = True
+    identifiers, symbol = np.flatnonzero(used), (np.cumsum(used) - 1).astype(np.uint32)
+    seq, last, rules = repair(symbol[tokens], last, len(identifiers))
+    base = len(identifiers)
     dtype = "<u2" if base + len(rules) <= 1 << 16 else "<u4"
     header = {"base": base, "symbols": len(seq), "rules": len(rules), "docs": len(docs), "tokens": int(n_tokens.sum()), "dtype": dtype}
     head = json.dumps(header).encode()
     arrays = [
-        rules.astype("<u4"), lengths_of(rules, base).astype("<u4"), np.array([d or 0 for d, _ in docs], dtype="<i8"), np.array([d is None for d, _ in docs], dtype="u1"),
+        identifiers.astype("<u4"), rules.astype(dtype), lengths_of(rules, base).astype("<u4"), np.array([d or 0 for d, _ in docs], dtype="<i8"), np.array([d is None for d, _ in docs], dtype="u1"),
         np.concatenate(([0], np.flatnonzero(last)[:-1] + 1)).astype("<i8"), np.concatenate(([0], np.cumsum(n_tokens)[:-1])).astype("<i8"), seq.astype(dtype),
     ]
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *(a.tobytes() for a in arrays)]), header
@@ -156,20 +195,20 @@ class Shard:
         n = int.from_bytes(raw[4:8], "little")
         h = self.header = json.loads(raw[8 : 8 + n])
         at, arrays = 8 + n, []
-        for dtype, count in (("<u4", 2 * h["rules"]), ("<u4", h["rules"]), ("<i8", h["docs"]), ("u1", h["docs"]), ("<i8", h["docs"]), ("<i8", h["docs"]), (h["dtype"], h["symbols"])):
+        for dtype, count in (("<u4", h["base"]), (h["dtype"], 2 * h["rules"]), ("<u4", h["rules"]), ("<i8", h["docs"]), ("u1", h["docs"]), ("<i8", h["docs"]), ("<i8", h["docs"]), (h["dtype"], h["symbols"])):
             arrays.append(np.frombuffer(raw, dtype=dtype, count=count, offset=at))
             at += arrays[-1].nbytes
         if at != len(raw):
             raise ValueError("the token file is cut short")
-        rules, self.lengths, self.doc_ids, self.null, self.first_symbol, self.first_token, self.symbols = arrays
+        self.identifiers, rules, self.lengths, self.doc_ids, self.null, self.first_symbol, self.first_token, self.symbols = arrays
         self.rules = rules.reshape(-1, 2)
 
     def tokens(self, i: int) -> np.ndarray:
         end = self.first_symbol[i + 1] if i + 1 < len(self.doc_ids) else len(self.symbols)
-        return expand(self.symbols[self.first_symbol[i] : end], self.rules, self.header["base"], self.lengths)
+        return self.identifiers[unfolded(self.symbols[self.first_symbol[i] : end], self.rules, self.header["base"])]
 
     def all_tokens(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.header["base"], self.lengths)
+        return self.identifiers[expand(self.symbols, self.rules, self.header["base"], self.lengths)]
 
     def token_at(self, place: int) -> int:
         """The shard's token at a place, by the expanded lengths of the symbols before it."""
@@ -185,7 +224,7 @@ class Shard:
                 s = left
             else:
                 s, place = right, place - n
-        return s
+        return int(self.identifiers[s])
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
