@@ -11,8 +11,10 @@ from tokenizers import Tokenizer
 from .token_counts import byte_symbols
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Words whose identifiers a worker keeps in each of two generations (about 150 MB each).
-KEPT = 1_000_000
+#: Bytes of words whose identifiers a worker keeps in each of two generations; each entry counts ENTRY more, for its objects.
+KEPT, ENTRY = 150 << 20, 140
+#: A longer word is not kept: texts without spaces are one word.
+LONGEST = 1000
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SYMBOLS = {i: c for i, c in byte_symbols().items() if chr(i) != c and i != 10}
@@ -23,12 +25,15 @@ class _Words(dict):
     """Identifiers by word; a word that isn't there is taken from the generation before, or asked of its owner."""
 
     def __init__(self, owner: Encoder, before: dict[str, bytes]):
-        self.owner, self.before = owner, before
+        self.owner, self.before, self.held = owner, before, 0
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > LONGEST:
+            return self.owner.learned(word)
         found = self.before.pop(word, None)
         if found is None:
             found = self.owner.learned(word)
+        self.held += len(word) + len(found) + ENTRY
         self[word] = found
         return found
 
@@ -72,7 +77,9 @@ class Encoder:
         # Letters and nothing else, then marks: two pieces, of which only the first begins with the space.
         tail = w[len(stem) :]
         if (end := self.marks.get(tail)) is None:
-            end = self.marks[tail] = self._whole(tail)
+            end = self._whole(tail)
+            if len(tail) <= LONGEST and len(self.marks) < 100_000:
+                self.marks[tail] = end
         return self.known[stem] + end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -82,7 +89,7 @@ class Encoder:
                 continue
             parts = t.split() if self.cuts else []
             if self.cuts and " ".join(parts) == (t.replace("\n", " ") if (lines := "\n" in t) else t) and not any(s in t for s in self.special):
-                if len(self.known) > KEPT:
+                if self.known.held > KEPT:
                     self.known = _Words(self, dict(self.known))
                     self.marks.clear()
                 head, *rest = t.replace("\n", " \n").split(" ") if lines else parts

@@ -3,7 +3,7 @@
 A text is cut where the vocabulary's library cuts it: at the strings of special tokens, each one token, and else into pieces
 by the pattern. Within a piece the symbols are a linked list, all adjacent pairs with a rank are in a heap, and the lowest
 rank, leftmost first, is popped and merged until none is left. The count is the initial symbols less the merges; no
-identifiers are made. Pieces repeat, so each worker keeps the counts of those it has met, up to KEPT of them.
+identifiers are made. Pieces repeat, so each worker keeps the counts of those it has met, up to KEPT bytes of them.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .common import batch, map_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 1024
-#: Pieces and words whose counts a worker keeps; beyond that it starts anew.
-KEPT = 400_000
+#: Bytes of pieces, and of words, whose counts a worker keeps (each entry counts ENTRY more); beyond that it starts anew.
+KEPT, ENTRY = 48 << 20, 100
 
 
 def byte_symbols() -> dict[int, str]:
@@ -33,6 +33,22 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Kept(dict):
+    """Counts by string, which hold at most a number of bytes."""
+
+    held = 0
+
+    def keep(self, text: str, n: int) -> int:
+        size = len(text) + ENTRY
+        if self.held + size > KEPT:
+            self.clear()
+            self.held = 0
+        if size <= KEPT:
+            self.held += size
+            self[text] = n
+        return n
+
+
 class Counter:
     """Counts the tokens of texts as the vocabulary file's library does."""
 
@@ -46,8 +62,7 @@ class Counter:
         self.first = [vocab[c] for _, c in sorted(byte_symbols().items())]
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"])))) if spec["added_tokens"] else None
-        self.known: dict[str, int] = {}
-        self.words: dict[str, int] = {}
+        self.known, self.words = Kept(), Kept()
 
     def piece(self, text: str) -> int:
         """Tokens of one piece."""
@@ -81,17 +96,12 @@ class Counter:
         for p in self.pieces.findall(text):
             n = known.get(p)
             if n is None:
-                if len(known) >= KEPT:
-                    known.clear()
-                n = known[p] = self.piece(p)
+                n = known.keep(p, self.piece(p))
             total += n
         return total
 
     def _word(self, word: str) -> int:
-        if len(self.words) >= KEPT:
-            self.words.clear()
-        n = self.words[word] = self._pieces(word)
-        return n
+        return self.words.keep(word, self._pieces(word))
 
     def _plain(self, text: str) -> int:
         # Where white space is single spaces and line feeds between other characters, no piece crosses the place before
@@ -129,7 +139,7 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) for each row; null and empty texts have none of either. Nothing is shuffled; repeated rows repeat."""
+    """(id, n_bytes, n_tokens, over_limit) for each row; null and empty texts have none of either. Nothing is shuffled; repeated rows repeat, null ids stay, other columns play no part, an empty table gives no rows."""
     schema = pa.schema([("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
