@@ -31,8 +31,10 @@ from .components import connected_components
 COSINE = 0.93
 #: Vectors on which centroids and code books are fitted, whatever the size of the table.
 SAMPLE = 20_000
-#: Rows a list should have, lists at most, rows of a list or of its queries in a task.
-LIST_ROWS, MOST_LISTS, BLOCK = 512, 4096, 2048
+#: Rows a list should have, rows of a list or of its queries in a task. A centroid is the mean of at least LEAST_OF_LIST sample vectors on average, so the sample bounds the lists.
+LIST_ROWS, BLOCK, LEAST_OF_LIST = 512, 2048, 4
+#: Rows whose distances to all centroids are held at once.
+CHUNK = 512
 SUBSPACES, CODES = 8, 256
 #: Deviations, R / (2 sqrt(dimension)) each, that the margin has at most; without a bound every partner is found.
 SPREAD = math.inf
@@ -50,7 +52,7 @@ def _means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """k-means; a centre that loses all its rows stays where it is."""
     centres = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near, _ = _nearest(x, centres)
+        near = np.concatenate([_nearest(x[s : s + CHUNK], centres)[0] for s in range(0, len(x), CHUNK)])
         n = np.bincount(near, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, near, x)
@@ -63,10 +65,9 @@ class Quantiser:
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.centres = _means(sample, min(lists, len(sample)), 8, 1)
-        residual = sample - self.centres[_nearest(sample, self.centres)[0]]
+        residual = sample - self.centres[np.concatenate([_nearest(sample[s : s + CHUNK], self.centres)[0] for s in range(0, len(sample), CHUNK)])]
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.books = [_means(residual[:, a:b], min(CODES, len(sample)), 5, 2 + i) for i, (a, b) in enumerate(zip(self.cuts, self.cuts[1:]))]
-        self.apart = np.sqrt(_nearest(self.centres, self.centres)[1])
 
     def code(self, x: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, length of the quantisation error) of rows in the lists near."""
@@ -78,7 +79,7 @@ class Quantiser:
     def probes(self, near: np.ndarray, d: np.ndarray, margin: float) -> list[np.ndarray]:
         """Lists whose cells come within the margin of each row."""
         gap = d - d[np.arange(len(d)), near][:, None]
-        apart = self.apart[near]
+        apart = np.sqrt(_nearest(self.centres[near], self.centres)[1])
         ok = gap <= 2 * (margin + SLACK) * apart + SLACK
         ok[np.arange(len(d)), near] = True
         return [np.flatnonzero(r) for r in ok]
@@ -112,7 +113,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         sample = of.where(F.pmod(F.xxhash64("rep", "v"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("rep", "v")).limit(SAMPLE).select("v", "norm").toPandas()
         if not len(sample):
             sample = of.limit(SAMPLE).select("v", "norm").toPandas()
-        quantiser = spark.sparkContext.broadcast(Quantiser(np.stack(sample["v"]) / sample["norm"].to_numpy()[:, None], max(1, min(MOST_LISTS, n // list_rows))))
+        quantiser = spark.sparkContext.broadcast(Quantiser(np.stack(sample["v"]) / sample["norm"].to_numpy()[:, None], max(1, min(n // list_rows, len(sample) // LEAST_OF_LIST))))
         found.append(_links(of, quantiser, cosine, reach, reach / 2 * min(1.0, spread / math.sqrt(dim)), block))
     if not found:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -136,9 +137,7 @@ def _links(reps: DataFrame, quantiser, cosine: float, reach: float, margin: floa
 
     def file(batches):
         q = quantiser.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (b.iloc[s : s + CHUNK] for b in batches for s in range(0, len(b), CHUNK)):
             x = np.stack(pdf["v"]) / pdf["norm"].to_numpy()[:, None]
             near, d = _nearest(x, q.centres)
             codes, error = q.code(x, near)

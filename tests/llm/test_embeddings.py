@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from sparkscope.llm import embedding_dedup
 from sparkscope.llm.embedding_dedup import SPREAD, embedding_components
 from tests.llm.test_simhash import components
 
@@ -54,7 +55,8 @@ def test_unsound_vectors_stand_alone(spark):
 
 
 @pytest.mark.parametrize("list_rows", [1, 40])
-def test_low_rank_vectors_over_thousands_of_lists_lose_no_link(spark, list_rows):
+def test_low_rank_vectors_over_thousands_of_lists_lose_no_link(spark, list_rows, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAST_OF_LIST", 1)
     r = np.random.default_rng(3)
     x = r.normal(size=(2200, 4)) @ r.normal(size=(4, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
