@@ -26,10 +26,10 @@ _MARKUP = re.compile(
     re.S | re.I,
 )
 _MARKED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]{2,}(?![a-z])")
 # Elements that have an input of their own.
 TAGS = "html body div section article main nav header footer aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 table tr td th thead tbody caption figure figcaption blockquote pre address details summary dialog menu center".split()
-MARKER_SLOTS = 256
+MARKER_SLOTS = 1024
 _TAG = {t: i for i, t in enumerate(TAGS)}
 
 
@@ -58,7 +58,7 @@ def element(name: str, rest: str) -> frozenset[int]:
     if found is None:
         if len(_elements) > 20_000:
             _elements.clear()
-        markers = {p.lower() for m in _MARKED.finditer(rest) for p in _PARTS.findall(m[1] or m[2] or m[3] or "")}
+        markers = {p.lower() for m in _MARKED.finditer(rest) for p in _PARTS.findall(m[1] or m[2] or m[3] or "") if len(p) > 1}
         found = _elements[key] = frozenset([*([_TAG[name]] if name in _TAG else []), *(len(TAGS) + crc32(p.encode()) % MARKER_SLOTS for p in markers)])
     return found
 
@@ -118,7 +118,8 @@ def blocks(html: str | None) -> list[Block]:
         while names and (names[-1] == "p" or (names[-1] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"))):
             close_element()
         # What a head may hold is raw or void, so text and other elements come after it, with or without its end tag.
-        if name in VOID or name == "head" or m["rest"].endswith("/"):
+        # A slash before the end of a start tag means nothing in HTML.
+        if name in VOID or name == "head":
             continue
         own, above = element(name, m["rest"]), path[-1]
         names.append(name)

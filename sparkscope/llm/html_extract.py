@@ -2,7 +2,8 @@
 
 A page becomes its sequence of leaf blocks. A bidirectional LSTM reads for each block the path of tags and markers above it and
 hashed words of its text, and labels it with regard to the whole page; blocks of the main text are joined. The network is
-trained on made-up pages of many layouts, so it needs no labels from the table.
+trained on made-up pages of many layouts, so it needs no labels from the table. It is trained once, on the driver; the weights stay
+in the shared folder for later sessions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import map_batches, shared_dir, table
 from .html_blocks import blocks
 from .html_lstm import Labeller, trained
 
@@ -30,8 +31,8 @@ def main_texts(htmls: list[str | None], labeller: Labeller) -> list[str]:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; null and empty html give an empty text, repeated rows alike. Nothing is shuffled."""
-    sent = pages.sparkSession.sparkContext.broadcast(trained())
+    """(page_id, url, text, n_chars) of every row; null and empty html give an empty text, repeated rows alike. Null ids and urls stay null, other columns play no part, an empty table gives no rows. Nothing is shuffled."""
+    sent = pages.sparkSession.sparkContext.broadcast(trained(folder=f"{shared_dir(pages.sparkSession)}/sparkscope/models"))
 
     def run(batches):
         for b in batches:
