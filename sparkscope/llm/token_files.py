@@ -29,10 +29,12 @@ from .packing import part_starts, tokenised
 
 MAGIC = b"RPTK"
 END_ID = 2
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 500_000
 #: Uses from which a rule is shorter than what it replaces.
 LEAST_USES = 5
-_BITS = 18
+#: While a round shortens the symbols by this share, rounds run over all of them.
+MUCH = 0.04
+_BITS = 17
 
 
 def _half(kind) -> np.integer:
@@ -42,16 +44,18 @@ def _half(kind) -> np.integer:
 def repair(symbols: np.ndarray, last: np.ndarray, base: int, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last, rules): last marks the final symbol of each document; symbols are below base, new ones count from it.
 
-    The symbols are a linked list. A round counts the pairs that may still be frequent and replaces, of those that are, every
-    occurrence that overlaps with none of a more frequent pair. Pairs of old symbols only get rarer, so a rare one is looked at
-    again only where a new symbol appears. The rounds end when no pair has `least` occurrences that don't overlap.
+    A round counts pairs and replaces, of the frequent ones, every occurrence that overlaps with none of a more frequent pair.
+    First rounds run over all symbols. Then the symbols are a linked list, and a round looks only at pairs that may still be
+    frequent: pairs of old symbols only get rarer, so a rare one is looked at again only where a new symbol appears. The rounds
+    end when no pair has `least` occurrences that don't overlap.
     """
-    n = len(symbols)
-    seq, last = np.append(symbols, 0).astype(np.uint32), np.append(last, True)
+    seq, last, rules = _dense_rounds(symbols.astype(np.uint32), last, base, least)
+    n = len(seq)
+    seq, last = np.append(seq, np.uint32(0)), np.append(last, True)
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     before[0] = n
     alive, open_, weight = np.ones(n, dtype=bool), ~last, np.zeros(n + 2, dtype=np.int64)
-    rules, n_rules, rounds = [], 0, 0
+    n_rules, rounds = sum(map(len, rules)), 1000
     while True:
         rounds += 1
         live = np.flatnonzero(open_).astype(np.int32)
@@ -63,7 +67,7 @@ def repair(symbols: np.ndarray, last: np.ndarray, base: int, least: int = LEAST_
         live, keys, slot = live[kept], keys[kept], slot[kept]
         open_[:] = False
         open_[live] = True
-        apart = _apart(live, keys, after)
+        apart = _apart(live, keys, after[live])
         # One pair for each hash; others with the same hash wait, as the next round's hash parts them.
         pairs = np.zeros(1 << _BITS, dtype=kind)
         pairs[slot] = keys
@@ -75,19 +79,13 @@ def repair(symbols: np.ndarray, last: np.ndarray, base: int, least: int = LEAST_
             at, uses = live[apart], np.bincount(of)
             if uses.max(initial=0) < least:
                 break
-        frequent = (uses >= least)[of]
-        at, of = at[frequent], of[frequent]
-        own = (uses[of] << np.int64(_BITS + 3)) + of + 1
+        own = _ranks(uses, least)[of]
+        at, of, own = at[own > 0], of[own > 0], own[own > 0]
         weight[at] = own
         first = (weight[after[at]] <= own) & (weight[before[at]] <= own)
         weight[at] = 0
-        at, of = at[first], of[first]
-        good = np.flatnonzero(np.bincount(of, minlength=len(uses)) >= least)
-        number = np.full(len(uses), -1, dtype=np.int32)
-        number[good] = np.arange(len(good), dtype=np.int32)
-        at, of = at[number[of] >= 0], number[of[number[of] >= 0]]
-        made = pairs[good]
-        rules.append(np.stack((made >> _half(kind), made & kind((1 << int(_half(kind))) - 1)), axis=1).astype(np.uint32))
+        at, of, made = _numbered(at[first], of[first], pairs, least)
+        rules.append(made)
         gone = after[at]
         seq[at] = base + n_rules + of
         last[at], after[at] = last[gone], after[gone]
@@ -95,24 +93,74 @@ def repair(symbols: np.ndarray, last: np.ndarray, base: int, least: int = LEAST_
         alive[gone] = open_[gone] = False
         open_[at] = ~last[at]
         open_[before[at]] = ~last[before[at]]
-        n_rules += len(good)
+        n_rules += len(made)
     return seq[:n][alive], last[:n][alive], np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
+def _dense_rounds(seq: np.ndarray, last: np.ndarray, base: int, least: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(symbols, last, rules) after the rounds that shorten the symbols much."""
+    rules, n_rules, rounds = [], 0, 0
+    while len(seq) > 1:
+        rounds += 1
+        kind = np.uint32 if base + n_rules <= 1 << 16 else np.uint64
+        keys = seq[:-1].astype(kind, copy=False) << _half(kind)
+        keys |= seq[1:]
+        slot = _slots(keys, rounds)
+        pairs = np.zeros(1 << _BITS, dtype=kind)
+        pairs[slot] = keys
+        own = _ranks(np.bincount(slot, minlength=1 << _BITS), least)[slot]
+        own[last[:-1] | (pairs[slot] != keys)] = 0
+        doubled = np.flatnonzero(seq[:-1] == seq[1:])
+        doubled = doubled[own[doubled] > 0]
+        own[doubled[~_apart(doubled, keys[doubled], doubled + 1)]] = 0
+        first = own > 0
+        first[1:] &= own[1:] >= own[:-1]
+        first[:-1] &= own[:-1] >= own[1:]
+        at = np.flatnonzero(first)
+        at, of, made = _numbered(at, slot[at], pairs, least)
+        if not len(made):
+            break
+        rules.append(made)
+        seq[at] = base + n_rules + of
+        last = last.copy() if rounds == 1 else last
+        last[at] = last[at + 1]
+        keep = np.ones(len(seq), dtype=bool)
+        keep[at + 1] = False
+        seq, last, n_rules = seq[keep], last[keep], n_rules + len(made)
+        if len(at) < MUCH * len(seq):
+            break
+    return seq, last, rules
+
+
+def _ranks(uses: np.ndarray, least: int) -> np.ndarray:
+    """Different numbers that grow with the uses, for those that reach least; 0 for the others."""
+    return np.where(uses >= least, uses * len(uses) + np.arange(len(uses)), 0)
+
+
+def _numbered(at: np.ndarray, of: np.ndarray, pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of each place's rule, rules) of the pairs with at least that many places; of names pairs."""
+    good = np.flatnonzero(np.bincount(of, minlength=len(pairs)) >= least)
+    number = np.full(len(pairs), -1, dtype=np.int32)
+    number[good] = np.arange(len(good), dtype=np.int32)
+    of = number[of]
+    made, kind = pairs[good], pairs.dtype.type
+    return at[of >= 0], of[of >= 0], np.stack((made >> _half(kind), made & kind((1 << int(_half(kind))) - 1)), axis=1).astype(np.uint32)
+
+
 def _slots(keys: np.ndarray, rounds: int) -> np.ndarray:
     """A hash of each pair, another one every round."""
     kind, bits = keys.dtype.type, 8 * keys.dtype.itemsize
     factor = ((0x9E3779B97F4A7C15 >> 64 - bits) + 2 * 0x5851F42D * rounds | 1) & (1 << bits) - 1
-    return ((keys * kind(factor)) >> kind(bits - _BITS)).astype(np.int32)
+    return ((keys * kind(factor)) >> kind(bits - _BITS)).astype(np.intp)
 
 
 def _apart(at: np.ndarray, keys: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Marks of the occurrences that count: of those of a doubled symbol that overlap every other one, from the first."""
+    """Marks of the occurrences that count: of those of a doubled symbol that overlap every other one, from the first. after: the place behind each."""
     ok, half = np.ones(len(at), dtype=bool), _half(keys.dtype.type)
     doubled = np.flatnonzero(keys >> half == keys & keys.dtype.type((1 << int(half)) - 1))
     if len(doubled):
         p = at[doubled]
-        starts = np.flatnonzero(np.concatenate(([True], after[p[:-1]] != p[1:])))
+        starts = np.flatnonzero(np.concatenate(([True], after[doubled[:-1]] != p[1:])))
         ok[doubled] = (np.arange(len(p)) - np.repeat(starts, np.diff(np.append(starts, len(p))))) % 2 == 0
     return ok
 
@@ -143,26 +191,19 @@ def unfolded(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return flat
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
-    """As unfolded, for many symbols: what the rules stand for is laid out once and then copied."""
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None, identifiers: np.ndarray | None = None) -> np.ndarray:
+    """As unfolded, for many symbols: what each symbol stands for is laid out once, as identifiers if given, and then copied."""
     lengths = lengths_of(rules, base) if lengths is None else lengths
-    many = symbols >= base
-    if not many.any():
-        return symbols.astype(np.uint32)
-    needed = int(symbols.max()) - base + 1  # a rule names earlier rules only
-    flat = unfolded(np.arange(base, base + needed, dtype=np.uint32), rules, base)
-    begins = np.concatenate(([0], np.cumsum(lengths[:needed].astype(np.int64))))
-    size = np.ones(len(symbols), dtype=np.int64)
-    rule = symbols[many].astype(np.int64) - base
-    size[many] = lengths[rule]
-    ends = np.cumsum(size)
-    out = np.empty(int(ends[-1]), dtype=np.uint32)
-    starts = ends - size
-    out[starts[~many]] = symbols[~many]
-    n = size[many]
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(starts[many], n) + within] = flat[np.repeat(begins[rule], n) + within]
-    return out
+    first = np.arange(base, dtype=np.uint32) if identifiers is None else identifiers
+    flat = np.concatenate((first, first[unfolded(np.arange(base, base + len(rules), dtype=np.uint32), rules, base)]))
+    size = np.concatenate((np.ones(base, dtype=np.int32), lengths.astype(np.int32)))
+    begins = np.cumsum(size) - size
+    n = size[symbols]
+    ends = np.cumsum(n)
+    # Place i of the result is a fixed distance from its place in flat, the same for all that a symbol stands for.
+    places = np.repeat(begins[symbols] - (ends - n), n)
+    places += np.arange(len(places))
+    return flat[places]
 
 
 def shard_bytes(docs: list[tuple[int | None, np.ndarray]], vocabulary: int) -> tuple[bytes, dict]:
@@ -208,7 +249,7 @@ class Shard:
         return self.identifiers[unfolded(self.symbols[self.first_symbol[i] : end], self.rules, self.header["base"])]
 
     def all_tokens(self) -> np.ndarray:
-        return self.identifiers[expand(self.symbols, self.rules, self.header["base"], self.lengths)]
+        return expand(self.symbols, self.rules, self.header["base"], self.lengths, self.identifiers)
 
     def token_at(self, place: int) -> int:
         """The shard's token at a place, by the expanded lengths of the symbols before it."""
