@@ -45,11 +45,18 @@ def datepart(part: str, d: Column) -> Column:
 
 
 def datediff(part: str, a: Column, b: Column) -> Column:
-    """Boundaries of the part between a and b."""
+    """Boundaries of the part between a and b: year, quarter, month, week (from Monday), day, hour, minute or second."""
     if part == "day":
         return F.datediff(b, a).cast("long")
-    month = lambda d: F.year(d) * 12 + F.month(d)
-    return {"month": lambda: month(b) - month(a), "quarter": lambda: F.year(b) * 4 + F.quarter(b) - F.year(a) * 4 - F.quarter(a), "year": lambda: F.year(b) - F.year(a)}[part]().cast("long")
+    if part in ("week", "hour", "minute", "second"):
+        seconds = {"week": 7 * 86400, "hour": 3600, "minute": 60, "second": 1}[part]
+        # The first second of the epoch was a Thursday, so weeks are counted from the Monday before.
+        at = lambda d: F.floor((F.unix_seconds(d.cast("timestamp")) + (3 * 86400 if part == "week" else 0)) / seconds)
+        return (at(b) - at(a)).cast("long")
+    months = {"month": lambda d: F.year(d) * 12 + F.month(d), "quarter": lambda d: F.year(d) * 4 + F.quarter(d), "year": F.year}
+    if part not in months:
+        raise ValueError(f"no such part of a date: {part}")
+    return (months[part](b) - months[part](a)).cast("long")
 
 
 def divide(a: Column, b: Column, other: object = None) -> Column:

@@ -120,3 +120,34 @@ def split_field(name: str) -> tuple[str, str]:
 def references(formula: Column) -> Column:
     """Distinct [names] of a formula, in order."""
     return F.array_distinct(F.regexp_extract_all(formula, F.lit(r"\[([^\]]+)\]"), F.lit(1)))
+
+
+def with_captions(formula: Column, captions: dict[str, str]) -> Column:
+    """A formula with the ids of calculations in brackets replaced by their captions."""
+    for name, caption in captions.items():
+        formula = F.replace(formula, F.lit(f"[{name}]"), F.lit(f"[{caption}]"))
+    return formula
+
+
+def unresolved(formula: Column) -> Column:
+    """Whether a formula still names a calculation by its id, so that a person must look at it."""
+    return formula.rlike(r"Calculation_\d+")
+
+
+def number_format(text: Column) -> Column:
+    """The format of numbers that comes nearest to a workbook's: millions, percents, whole numbers, two places, else as it is."""
+    return (
+        F.when(text.contains("M") & text.contains("0"), '#,##0,," M"').when(text.contains("%"), "0.00%").when(text.contains("#,##0"), "#,##0").when(text.contains("0.00"), "#,##0.00").otherwise(text)
+    )
+
+
+def slice_key(dims: list[str]) -> Column:
+    """The values of a slice in the order of their dimensions' names, joined by bars; None for nulls."""
+    return F.concat_ws("|", *[F.coalesce(F.col(d).cast("string"), F.lit("None")) for d in sorted(dims)])
+
+
+def field_tables(formula: Column) -> Column:
+    """(field, table) of every [Field (Table)] in a formula, in order, each once."""
+    found = F.array_distinct(F.regexp_extract_all(formula, F.lit(r"(\[[^\[\]]+ \([^()]+\)\])"), F.lit(1)))
+    pattern = r"^\[(.+) \(([^()]+)\)\]$"
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("field"), F.regexp_extract(x, pattern, 2).alias("table")))

@@ -12,27 +12,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalized, words
-from .profile import as_text, generic_type, scalar_columns
+from .profile import as_text, frequencies, generic_type, scalar_columns
 
 SAME_CONTENT, SIMILAR_NAMES, RELATIVE = 0.95, 0.85, 1e-3
 
 
 def pair_measures(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(column1, column2, identical, similarity): rows equal with nulls in the same places and the same type; share of rows alike, within a thousandth for numbers. All pairs in one scan."""
+    """(column1, column2, identical, similarity) of pairs of columns.
+
+    Identical are columns of one type with equal rows, nulls in the same places. Numbers are as similar as the share of rows
+    within a thousandth, all pairs in one scan; other pairs by the share of distinct values in common, all in one shuffle.
+    """
+    numeric = lambda c: generic_type(df.schema[c].dataType) == "NUMERIC"
 
     def one(a: str, b: str):
         x, y, both = F.col(f"`{a}`"), F.col(f"`{b}`"), F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
         same_type = df.schema[a].dataType == df.schema[b].dataType
-        if generic_type(df.schema[a].dataType) == generic_type(df.schema[b].dataType) == "NUMERIC":
+        alike = F.lit(None).cast("double")
+        if numeric(a) and numeric(b):
             p, q = x.cast("double"), y.cast("double")
-            alike = F.abs(p - q) < RELATIVE * F.greatest(F.abs(p), F.abs(q), F.lit(1.0))
-        else:
-            alike = as_text(df, a) == as_text(df, b)
+            near = F.abs(p - q) < RELATIVE * F.greatest(F.abs(p), F.abs(q), F.lit(1.0))
+            alike = F.coalesce(F.avg(F.when(both, near.cast("int"))), F.lit(0.0))
         equal = F.count_if(~x.eqNullSafe(y)) == 0 if same_type else F.lit(False)
-        return F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), equal.alias("identical"), F.round(F.coalesce(F.avg(F.when(both, alike.cast("int"))), F.lit(0.0)), 6).alias("similarity"))
+        return F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), equal.alias("identical"), alike.alias("rows_alike"))
 
     wide = df.agg(*[one(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
+    made = wide.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
+    others = sorted({c for a, b in pairs if not (numeric(a) and numeric(b)) for c in (a, b)})
+    if not others:
+        return made.select("column1", "column2", "identical", F.round("rows_alike", 6).alias("similarity"))
+    shared = made.join(F.broadcast(jaccards(df, others)), ["column1", "column2"], "left")
+    return shared.select("column1", "column2", "identical", F.round(F.coalesce("rows_alike", "jaccard", F.lit(0.0)), 6).alias("similarity"))
+
+
+def jaccards(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column1, column2, jaccard) of all ordered pairs of columns that share a value: distinct values in common among all of both."""
+    at = frequencies(df, columns).where("value is not null").groupBy("value").agg(F.collect_set("column").alias("at"))
+    both = at.select("at", F.explode("at").alias("column1")).select("column1", F.explode("at").alias("column2")).groupBy("column1", "column2").agg(F.count("*").alias("n"))
+    size = both.where("column1 = column2")
+    sides = [F.broadcast(size.select(F.col("column1").alias(f"column{k}"), F.col("n").alias(f"n{k}"))) for k in "12"]
+    pairs = both.where("column1 <> column2").join(sides[0], "column1").join(sides[1], "column2")
+    return pairs.select("column1", "column2", (F.col("n") / (F.col("n1") + F.col("n2") - F.col("n"))).alias("jaccard"))
 
 
 def jaccard(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -84,6 +104,14 @@ def duplicate_columns(df: DataFrame, validator: Callable[[str, str], bool] | Non
     return groups
 
 
+def ambiguous_pairs(df: DataFrame, most: int = 10) -> list[dict]:
+    """The pairs of columns most alike in spelling, between 0.6 and 0.9, best first: candidates for a person or a validator. Metadata: a pair of names each."""
+    ratio = lambda a, b: SequenceMatcher(None, normalized(a), normalized(b)).ratio()
+    found = [(ratio(a, b), a, b) for a, b in combinations(scalar_columns(df), 2)]
+    best = sorted(((r, a, b) for r, a, b in found if 0.6 <= r <= 0.9), key=lambda x: (-x[0], x[1], x[2]))[:most]
+    return [{"column1": a, "column2": b, "ratio": round(r, 6)} for r, a, b in best]
+
+
 def recommendation(group: dict) -> str:
     keep, *rest = group["columns"]
     if all(group["identical"]):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tablecalc import row_numbers
+
 EPSILON = 1e-4
 
 
@@ -17,6 +20,20 @@ def measured(df: DataFrame, dims: list[str], measure: Column, name: str = "truth
     return out.orderBy(*dims).limit(limit) if limit else out
 
 
+def measured_text(df: DataFrame, dims: list[str], text: str, name: str = "truth_value") -> DataFrame:
+    """A measure given as SQL text by dims; no rows where the text still names a calculation by its id."""
+    if re.search(r"Calculation_\d+", text):
+        return measured(df, dims, F.count("*"), name).limit(0)
+    return measured(df, dims, F.expr(text), name)
+
+
+def in_context(df: DataFrame, dims: list[str], kept: list[str], measure: Column, name: str = "candidate_value") -> DataFrame:
+    """A measure that ignores all filters but those on the kept dimensions, for each slice of dims: it is the same for slices that agree on them."""
+    total = df.groupBy(*kept).agg(measure.cast("double").alias(name))
+    slices = df.select(*dims).distinct()
+    return slices.join(F.broadcast(total), kept) if kept else slices.join(F.broadcast(total))  # one row without kept dimensions
+
+
 def compare(truth: DataFrame, candidate: DataFrame, dims: list[str], epsilon: float = EPSILON, keep_extra: bool = False) -> DataFrame:
     """Each slice of truth with truth_value, candidate_value, delta, relative_error, passed and error_category.
 
@@ -93,5 +110,7 @@ def expired(rows: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
 
 
 def history(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """Rows with their number within a key by time."""
-    return rows.withColumn("attempt", F.row_number().over(Window.partitionBy(key).orderBy(ts)))
+    """Rows with their number within a key by time, ties in some order. Rows are numbered along a range sort and a key's first number is taken off, so a busy key is no task's alone."""
+    numbered = row_numbers(rows, [key, ts], "_number")
+    first = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_number").alias("_first"))
+    return numbered.join(first, F.col(key).eqNullSafe(F.col("_key"))).select(*rows.columns, (F.col("_number") - F.col("_first") + 1).alias("attempt"))

@@ -52,10 +52,9 @@ def all_of(df: DataFrame, predicates: list[str]) -> DataFrame:
 
 def last_days(df: DataFrame, ts: str, days: int, anchor: Column | None = None) -> DataFrame:
     """Rows within so many days before the anchor, by default the latest row."""
-    if anchor is not None:
-        return df.where(F.col(ts) > anchor - F.make_dt_interval(F.lit(days)))
-    latest = df.agg(F.max(ts).alias("_latest"))  # one row
-    return df.join(F.broadcast(latest), F.col(ts) > F.col("_latest") - F.make_dt_interval(F.lit(days))).drop("_latest")
+    if anchor is None:
+        anchor = F.lit(df.agg(F.max(ts)).first()[0])  # one value, so that the filter reaches the scan
+    return df.where(F.col(ts) > anchor - F.make_dt_interval(F.lit(days)))
 
 
 def top_n(df: DataFrame, dim: str, measure: Column, n: int) -> DataFrame:
@@ -94,3 +93,18 @@ def what_if_of_list(values: list[float], current: float | None = None) -> dict:
 def selected_value(c: Column, default: Any) -> Column:
     """The one value chosen, else the default."""
     return F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.lit(default))
+
+
+# Kinds of filters by a workbook's classes.
+FILTER_KINDS = {"categorical": "BASIC", "quantitative": "ADVANCED", "relative-date": "RELATIVE_DATE", "top": "TOP_N"}
+
+
+def filter_kind(class_: Column) -> Column:
+    """BASIC, ADVANCED, RELATIVE_DATE or TOP_N of a workbook's filter class; BASIC for others."""
+    return F.coalesce(*[F.when(F.lower(class_) == c, k) for c, k in FILTER_KINDS.items()], F.lit("BASIC"))
+
+
+def numeric_parameter(datatype: Column, domain: Column, members: Column) -> Column:
+    """Whether a parameter is a numeric series: of a number's type, by range, or by a list of numbers only."""
+    number = F.lower(datatype).isin("integer", "real", "float", "double")
+    return number & ((domain == "range") | F.forall(members, lambda m: m.try_cast("double").isNotNull()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,6 @@ from ..functions.names import references
 TABLE_CALCS = r"(?i)\b(RUNNING_\w+|WINDOW_\w+|RANK\w*|LOOKUP|INDEX|FIRST|LAST|SIZE|TOTAL|PREVIOUS_VALUE)\s*\("
 AGGREGATES = r"(?i)\b(SUM|AVG|COUNT|COUNTD|MIN|MAX|MEDIAN|ATTR|STDEVP?|VARP?)\s*\("
 LOD = r"(?i)\{\s*(FIXED|INCLUDE|EXCLUDE)\b"
-MOST_LEVELS = 100
 
 
 def calc_kind(formula: Column) -> Column:
@@ -34,41 +35,62 @@ def edges(calcs: DataFrame) -> DataFrame:
 
 
 def levels(calcs: DataFrame) -> DataFrame:
-    """(name, level): 0 for a base field, else one over the highest of what it refers to; calculations on a cycle have null.
+    """(name, level): 0 for a base field, else one over the highest of what it refers to; calculations on or behind a cycle have null.
 
-    A calculation gets its level in the round after the last of its dependencies; there are as many rounds as levels.
+    The edges are metadata, a row a reference, and are read once.
     """
-    e = spark_table(edges(calcs))
-    names = calcs.select("name")
-    base = e.select(F.col("source").alias("name")).distinct().join(names, "name", "left_anti").select("name", F.lit(0).cast("long").alias("level"))
-    lone = names.join(e.select(F.col("target").alias("name")), "name", "left_anti").select("name", F.lit(1).cast("long").alias("level"))
-    done = spark_table(base.unionByName(lone))
-    for _ in range(MOST_LEVELS):
-        known = e.join(done.withColumnRenamed("name", "source"), "source", "left").groupBy("target").agg(F.count("*").alias("n"), F.count("level").alias("k"), F.max("level").alias("m"))
-        new = spark_table(known.where("n = k").select(F.col("target").alias("name"), (F.col("m") + 1).alias("level")).join(done.select("name"), "name", "left_anti"))
-        if new.isEmpty():
-            break
-        done = spark_table(done.unionByName(new))
-    rest = names.join(done.select("name"), "name", "left_anti").select("name", F.lit(None).cast("long").alias("level"))
-    return done.unionByName(rest)
-
-
-def spark_table(df: DataFrame) -> DataFrame:
-    """A small frame made once: a graph has a row a calculation."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    names, of = {r["name"] for r in calcs.select("name").collect()}, defaultdict(set)
+    for r in edges(calcs).collect():
+        of[r["target"]].add(r["source"])
+    level = {n: 0 for n in set().union(*of.values()) - names} if of else {}
+    waiting, behind = {n: len(of[n]) for n in names}, defaultdict(set)
+    for n in names:
+        for source in of[n]:
+            behind[source].add(n)
+    ready = [*level, *(n for n in names if not of[n])]
+    while ready:
+        n = ready.pop()
+        level.setdefault(n, 1 + max((level[s] for s in of[n]), default=0))
+        for target in behind[n]:
+            waiting[target] -= 1
+            if not waiting[target]:
+                ready.append(target)
+    rows = [(n, level.get(n)) for n in sorted(names | level.keys())]
+    return calcs.sparkSession.createDataFrame(rows, "name string, level long")
 
 
 def refined_kinds(calcs: DataFrame) -> DataFrame:
     """(name, kind): a column calculation that refers to a measure, through others too, is a measure."""
-    kinds = spark_table(calcs.select("name", calc_kind(F.col("formula")).alias("kind")))
-    e = spark_table(edges(calcs))
-    for _ in range(MOST_LEVELS):
-        up = e.join(kinds.where("kind <> 'COLUMN'").select(F.col("name").alias("source")), "source").select(F.col("target").alias("name")).distinct()
-        moved = kinds.where("kind = 'COLUMN'").join(up, "name", "left_semi")
-        if moved.isEmpty():
-            break
-        kinds = spark_table(kinds.join(moved.select("name", F.lit("MEASURE").alias("new")), "name", "left").select("name", F.coalesce("new", "kind").alias("kind")))
-    return kinds
+    kinds = {r["name"]: r["kind"] for r in calcs.select("name", calc_kind(F.col("formula")).alias("kind")).collect()}  # a row a calculation
+    behind = defaultdict(set)
+    for r in edges(calcs).collect():
+        behind[r["source"]].add(r["target"])
+    todo = [n for n, k in kinds.items() if k != "COLUMN"]
+    while todo:
+        for target in behind[todo.pop()]:
+            if kinds.get(target) == "COLUMN":
+                kinds[target] = "MEASURE"
+                todo.append(target)
+    return calcs.sparkSession.createDataFrame([*kinds.items()], "name string, kind string")
+
+
+def dependency_kinds(calcs: DataFrame, columns: DataFrame) -> DataFrame:
+    """(name, source, kind, aggregated) of every reference: CALCULATED_MEASURE, CALCULATED_COLUMN, BASE_COLUMN (of columns: column) or UNKNOWN."""
+    e = edges(calcs).select(F.col("target").alias("name"), "source")
+    of = refined_kinds(calcs).select(F.col("name").alias("source"), F.when(F.col("kind") == "MEASURE", "CALCULATED_MEASURE").otherwise("CALCULATED_COLUMN").alias("calculated"))
+    base = columns.select(F.col("column").alias("source"), F.lit("BASE_COLUMN").alias("base")).distinct()
+    kind = F.coalesce("calculated", "base", F.lit("UNKNOWN"))
+    return e.join(F.broadcast(of), "source", "left").join(F.broadcast(base), "source", "left").select("name", "source", kind.alias("kind"), (kind == "CALCULATED_MEASURE").alias("aggregated"))
+
+
+def dependents(calcs: DataFrame) -> DataFrame:
+    """(name, n, dependents): who refers to each name, in order."""
+    return edges(calcs).groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("target")), ",").alias("dependents"))
+
+
+def roots(calcs: DataFrame) -> DataFrame:
+    """(name) of calculations that refer to no other."""
+    return levels(calcs).where("level <= 1").join(calcs.select("name"), "name", "left_semi").select("name")
 
 
 def graph_stats(calcs: DataFrame) -> DataFrame:

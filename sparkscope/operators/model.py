@@ -99,3 +99,14 @@ def by_name_keywords(table: Column) -> Column:
 def rollup(df: DataFrame, levels: Sequence[str], measures: dict[str, Column]) -> DataFrame:
     """Totals along a drill path: one row for each level's groups, and the grand total."""
     return df.rollup(*levels).agg(F.grouping_id().alias("level_mask"), *[m.alias(n) for n, m in measures.items()])
+
+
+def with_calendar(fact: DataFrame, date: str, days: DataFrame) -> DataFrame:
+    """A fact with the calendar's columns of its date; rows without a date, or with one outside, keep nulls."""
+    return fact.join(F.broadcast(days), F.to_date(date) == F.col("Date"), "left")  # a row a day
+
+
+def totals(classes: DataFrame) -> DataFrame:
+    """One row: tables, rows, facts, dimensions of classified tables."""
+    kind = F.col("classification")
+    return classes.agg(F.count("*").alias("tables"), F.sum("row_count").alias("rows"), F.count_if(kind == "FACT").alias("facts"), F.count_if(kind == "DIMENSION").alias("dimensions"))

@@ -1,7 +1,7 @@
 """Profiles of columns and tables.
 
-Two jobs serve all columns of a table: one aggregate in a single scan, and one table of value frequencies from which distinct
-counts, duplicates, top values and patterns follow. Frequencies are pre-aggregated before they are shuffled.
+Two jobs profile all columns of a table: one aggregate in a single scan, and one table of values from which distinct counts,
+duplicates and sequences follow. Values are pre-aggregated before they are shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ TOP, SAMPLES = 20, 5
 MOSTLY_UNIQUE, FOREIGN_KEY, LEAST_CARDINALITY = 0.95, 0.70, 10
 # Date formats by their pattern.
 DATE_FORMATS = [(r"^\d{4}-\d{2}-\d{2}$", "%Y-%m-%d"), (r"^\d{2}/\d{2}/\d{4}$", "%m/%d/%Y"), (r"^\d{2}-\d{2}-\d{4}$", "%d-%m-%Y"), (r"^\d{4}/\d{2}/\d{2}$", "%Y/%m/%d"), (r"^\d{2}\.\d{2}\.\d{4}$", "%d.%m.%Y")]
+# Parts of names, and forms of values, that identifiers have.
 ID_WORDS = ["id", "key", "code", "number", "_no", "_num"]
 ID_PATTERNS = [r"^[A-Z]{2,4}\d+$", r"^\d{4,}$", r"^[A-Z]-\d+$"]
 
@@ -36,12 +37,12 @@ def generic_type(t: T.DataType) -> str:
 
 def as_text(df: DataFrame, c: str) -> Column:
     """A column's values as text; numbers go through double, so that 1 and 1.0 meet."""
-    t = df.schema[c].dataType
     q = F.col(f"`{c}`")
-    if isinstance(t, T.NumericType):
-        d = q.cast("double")
-        return F.when(d == F.floor(d), F.floor(d).cast("string")).otherwise(d.cast("string"))
-    return q.cast("string")
+    return _number_text(q.cast("double")) if isinstance(df.schema[c].dataType, T.NumericType) else q.cast("string")
+
+
+def _number_text(d: Column) -> Column:
+    return F.when(d == F.floor(d), F.floor(d).cast("string")).otherwise(d.cast("string"))
 
 
 def scalar_columns(df: DataFrame) -> list[str]:
@@ -165,24 +166,23 @@ def date_format(df: DataFrame, columns: list[str], share: float = 0.9) -> DataFr
     return per_column(df, columns, date_format=chain)
 
 
-def inferred_types(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, data_type): int, float, boolean, datetime, string or unknown by all values. Text whose values all are ISO-like dates is datetime; over 90 % numbers is int or float."""
+def _inferred_type(df: DataFrame, c: str) -> Column:
+    v, t = F.col(f"`{c}`"), generic_type(df.schema[c].dataType)
+    if t == "NUMERIC":
+        found = F.when(F.bool_and(v.cast("double") == F.floor(v.cast("double"))), "int").otherwise("float")
+    elif t == "STRING":
+        number = v.try_cast("double")
+        dates = F.bool_and(v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & v.try_cast("timestamp").isNotNull())
+        numbers = F.count(number) > 0.9 * F.count(v)
+        found = F.when(dates, "datetime").when(numbers & F.bool_and(number == F.floor(number)), "int").when(numbers, "float").otherwise("string")
+    else:
+        found = F.lit({"DATETIME": "datetime", "BOOLEAN": "boolean"}.get(t, "mixed"))
+    return F.when(F.count(v) > 0, found).otherwise("unknown")
 
-    def kind(c: str) -> Column:
-        v, t = F.col(f"`{c}`"), generic_type(df.schema[c].dataType)
-        some = F.count(v) > 0
-        if t == "NUMERIC":
-            found = F.when(F.bool_and(v.cast("double") == F.floor(v.cast("double"))), "int").otherwise("float")
-        elif t == "STRING":
-            number = v.try_cast("double")
-            dates = F.bool_and(v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & v.try_cast("timestamp").isNotNull())
-            numbers = F.count(number) > 0.9 * F.count(v)
-            found = F.when(dates, "datetime").when(numbers & F.bool_and(number == F.floor(number)), "int").when(numbers, "float").otherwise("string")
-        else:
-            found = F.lit({"DATETIME": "datetime", "BOOLEAN": "boolean"}.get(t, "mixed"))
-        return F.when(some, found).otherwise("unknown")
 
-    return per_column(df, columns, data_type=kind)
+def inferred_types(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, data_type): int, float, boolean, datetime, string or unknown by all values. Text whose values all are ISO-like dates is datetime; over 90 % numbers is int or float."""
+    return per_column(df, columns, data_type=lambda c: _inferred_type(df, c))
 
 
 def key_flags(profile: DataFrame, mostly_unique_pct: float = MOSTLY_UNIQUE, fk_pct: float = FOREIGN_KEY) -> DataFrame:
@@ -194,53 +194,157 @@ def key_flags(profile: DataFrame, mostly_unique_pct: float = MOSTLY_UNIQUE, fk_p
     )
 
 
-def name_hints(column: str) -> dict:
-    """What a column's name suggests."""
-    tokens = column.lower().replace("_", " ").replace("-", " ").split()
-    entities = {"Customer": ("customer", "client"), "Product": ("product", "item"), "Order": ("order",), "Transaction": ("transaction",)}
-    some = lambda *parts: any(p in t for t in tokens for p in parts)
-    return {
-        "tokens": tokens, "likely_entity": next((e for e, ws in entities.items() if any(w in tokens for w in ws)), "Unknown"), "looks_like_id": any(p in column.lower() for p in ID_WORDS), "looks_like_email": some("email", "mail"),
-        "looks_like_phone": some("phone", "tel"), "looks_like_address": some("address", "addr"), "looks_like_code": some("code"), "looks_like_name": some("name"),
-    }
+# What a name says about its column, as a pattern.
+HINTS = {"email": "e?mail", "phone": "phone|tel", "address": "addr", "code": "code", "name": "name"}
+SUBJECTS = {"Customer": "customer|client", "Product": "product|item", "Order": "order", "Transaction": "transaction"}
+
+
+def id_named(column: str) -> bool:
+    return any(w in column.lower() for w in ID_WORDS)
+
+
+def name_hints(columns: DataFrame, column: str = "column") -> DataFrame:
+    """Rows of column names with words, subject, and a flag for each of HINTS: what the names suggest. The first subject that is a word of its own counts, else Unknown."""
+    name = F.lower(F.regexp_replace(F.col(column), "[_-]", " "))
+    subject = F.coalesce(*[F.when(name.rlike(rf"(^|\s)({p})(\s|$)"), s) for s, p in SUBJECTS.items()], F.lit("Unknown"))
+    flags = {f"looks_like_{k}": name.rlike(p) for k, p in HINTS.items()}
+    return columns.withColumns({"words": F.filter(F.split(name, r"\s+"), lambda w: w != ""), "subject": subject, "looks_like_id": F.lower(column).rlike("|".join(ID_WORDS)), **flags})
 
 
 def id_like(df: DataFrame, columns: list[str], share: float = 0.8) -> DataFrame:
-    """(column, looks_like_id): by its name, or over 80 % of its values have the form of an identifier."""
+    """(column, looks_like_id): by its name, or over 80 % of its values have the form of an identifier, or whole numbers without a gap."""
     v = lambda c: as_text(df, c)
     some = lambda c: F.coalesce(reduce(lambda a, b: a | b, [F.avg(v(c).rlike(p).cast("int")) > share for p in ID_PATTERNS]), F.lit(False))
-    return per_column(df, columns, looks_like_id=lambda c: F.lit(True) if name_hints(c)["looks_like_id"] else some(c))
+    made = per_column(df, columns, looks_like_id=lambda c: F.lit(True) if id_named(c) else some(c))
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType) and not id_named(c)]
+    if not whole:
+        return made
+    return made.join(F.broadcast(sequential(df, whole).select("column", "is_sequential")), "column", "left").select("column", (F.col("looks_like_id") | F.coalesce("is_sequential", F.lit(False))).alias("looks_like_id"))
+
+
+def distinct_values(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, value, n, follows) of the distinct values of all columns of all tables, nulls too, as text; n rows have it.
+
+    One scan a table, one shuffle for all, pre-aggregated. A number also stands in the shuffle under its successor, so follows tells
+    whether the number before it is there.
+    """
+    parts = []
+    for t, df in tables.items():
+        row = lambda c, v, own: F.struct(F.lit(t).alias("table"), F.lit(c).alias("column"), v.alias("value"), F.lit(own).alias("own"))  # noqa: B023, E731
+        cols = scalar_columns(df)
+        later = [row(c, _number_text(F.col(f"`{c}`").cast("double") + 1), 0) for c in cols if generic_type(df.schema[c].dataType) == "NUMERIC"]
+        parts.append(df.select(F.inline(F.array(*[row(c, as_text(df, c), 1) for c in cols], *later))).where("own = 1 or value is not null"))
+    rows = reduce(DataFrame.unionByName, parts).groupBy("table", "column", "value").agg(F.sum(F.col("own").cast("long")).alias("n"), F.bool_or(F.col("own") == 0).alias("follows"))
+    return rows.where("n > 0")
+
+
+def profiles_from(tables: dict[str, DataFrame], values: DataFrame) -> DataFrame:
+    """Column profiles of tables by their distinct_values and one more scan of the numbers, for means and medians. A row a column: metadata, made on the driver."""
+    spark, v, n = values.sparkSession, F.col("value"), F.col("n")
+    known, number = v.isNotNull(), v.try_cast("double")
+    counts = values.groupBy("table", "column").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(known, n).otherwise(0)).alias("non_null"), F.count("value").alias("unique"), F.sum(F.when(v == "", n).otherwise(0)).alias("empty"), F.count_if(known & F.col("follows")).alias("units"),
+        F.sum(F.when(number.isNotNull(), n).otherwise(0)).alias("numbers"), F.bool_and(~known | (number == F.floor(number))).alias("whole"), F.bool_and(~known | (v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & v.try_cast("timestamp").isNotNull())).alias("dates"),
+    )
+    found = {(r["table"], r["column"]): r for r in counts.collect()}
+    moments = []
+    for t, df in tables.items():
+        cols = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+        d = lambda c: F.col(f"`{c}`").cast("double")
+        if cols:
+            of = per_column(df, cols, min=lambda c: F.min(d(c)), max=lambda c: F.max(d(c)), mean=lambda c: F.avg(d(c)), median=lambda c: F.percentile_approx(d(c), 0.5, 10_000), std=lambda c: F.stddev_samp(d(c)))
+            moments.append(of.select(F.lit(t).alias("table"), "*"))
+    stats = {(r["table"], r["column"]): r for r in reduce(DataFrame.unionByName, moments).collect()} if moments else {}
+    rows = []
+    for t, df in tables.items():
+        for i, c in enumerate(scalar_columns(df)):
+            r, m, kind = found.get((t, c)), stats.get((t, c)), generic_type(df.schema[c].dataType)
+            total, some, unique = (r["rows"], r["non_null"], r["unique"]) if r else (0, 0, 0)
+            if not some:
+                data_type = "unknown"
+            elif kind == "NUMERIC":
+                data_type = "int" if r["whole"] else "float"
+            elif kind == "STRING":
+                numbers = r["numbers"] > 0.9 * some
+                data_type = "datetime" if r["dates"] else "int" if numbers and r["whole"] else "float" if numbers else "string"
+            else:
+                data_type = {"DATETIME": "datetime", "BOOLEAN": "boolean"}.get(kind, "mixed")
+            percent = lambda x, y: round(x * 100.0 / y, 4) if y else 0.0
+            sequential_ = bool(r and r["whole"] and some > 1 and r["units"] > 0.95 * (some - 1)) if kind == "NUMERIC" else None
+            rows.append((
+                t, i, normalized(c), c, total, total - some, percent(total - some, total), r["empty"] if r and kind == "STRING" else 0, some, unique, percent(unique, some), some - unique, round(unique / total, 4) if total else 0.0, data_type,
+                *([m[k] for k in ("min", "max", "mean", "median", "std")] if m else [None] * 5), sequential_,
+            ))
+    schema = "table string, ordinal int, normalized_name string, column string, row_count long, null_count long, null_percent double, empty_count long, non_null long, unique_count long, unique_percent double, duplicate_count long, cardinality double, data_type string, min double, max double, mean double, median double, std double, is_sequential boolean"
+    return key_flags(spark.createDataFrame(rows, schema))
 
 
 def column_profiles(df: DataFrame, table: str) -> DataFrame:
-    """A row for each column of a table: counts, percents, key flags, and statistics by type."""
-    cols = scalar_columns(df)
-    numbers = [c for c in cols if generic_type(df.schema[c].dataType) == "NUMERIC"]
-    out = nulls(df, cols).join(uniqueness(df, cols), "column").join(inferred_types(df, cols), "column")
-    if numbers:
-        out = out.join(numeric_stats(df, numbers), "column", "left").join(sequential(df, numbers).select("column", "is_sequential"), "column", "left")
-    else:
-        out = out.select("*", *[F.lit(None).cast("double").alias(c) for c in ("min", "max", "mean", "median", "std")], F.lit(None).cast("boolean").alias("is_sequential"))
-    order = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-    names = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(normalized(c)))])
-    return key_flags(out).select(F.lit(table).alias("table"), F.element_at(order, F.col("column")).alias("ordinal"), F.element_at(names, F.col("column")).alias("normalized_name"), "*")
+    """A row for each column of a table: counts, percents, key flags, and statistics by type. Two jobs: one for all values, one for the numbers' moments."""
+    tables = {table: df}
+    return profiles_from(tables, distinct_values(tables))
+
+
+def numeric_pattern(profiles: DataFrame) -> DataFrame:
+    """Column profiles with numeric_pattern (SEQUENTIAL, UNIQUE_NUMERIC over 95 %, NON_UNIQUE_NUMERIC; null for other types) and key_kind (SURROGATE: whole numbers in a row, NATURAL: named like an identifier)."""
+    numeric = F.col("data_type").isin("int", "float") & F.col("min").isNotNull()
+    pattern = F.when(numeric, F.when(F.coalesce("is_sequential", F.lit(False)), "SEQUENTIAL").when(F.col("unique_percent") > 95, "UNIQUE_NUMERIC").otherwise("NON_UNIQUE_NUMERIC"))
+    kind = F.when((F.col("data_type") == "int") & F.coalesce("is_sequential", F.lit(False)), "SURROGATE").when(F.lower("column").rlike("|".join(ID_WORDS)), "NATURAL")
+    return profiles.withColumns({"numeric_pattern": pattern, "key_kind": kind})
+
+
+def samples(df: DataFrame, columns: list[str] | None = None, k: int = SAMPLES) -> DataFrame:
+    """(column, samples): the first k distinct non-null values in order, as text. Each task keeps k a column."""
+    values = unpivoted(df, columns).where("value is not null").distinct()
+    w = Window.partitionBy("column").orderBy("value")
+    return values.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+
+
+def preview(df: DataFrame, table: str, k: int = SAMPLES) -> DataFrame:
+    """(table, column, data_type, null_count, unique_count, samples) of every column."""
+    p = column_profiles(df, table).select("table", "column", "data_type", "null_count", "unique_count")
+    return p.join(samples(df, k=k), "column", "left").select("table", "column", "data_type", "null_count", "unique_count", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
+def table_summary(profiles: DataFrame) -> DataFrame:
+    """(table, row_count, column_count, numeric_columns, key_candidates, null_cells, columns): a row a table."""
+    return profiles.groupBy("table").agg(
+        F.max("row_count").alias("row_count"), F.count("*").alias("column_count"), F.count_if(F.col("data_type").isin("int", "float")).alias("numeric_columns"), F.count_if("primary_key_candidate").alias("key_candidates"),
+        F.sum("null_count").alias("null_cells"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column"))), lambda x: x["column"]), ",").alias("columns"),
+    )
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """(json) of each row: NaN and infinite numbers are null, dates and times ISO text, nulls written out."""
+    safe = lambda c, t: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) if t in ("double", "float") else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if t.startswith("timestamp") else c
+    return df.select(F.to_json(F.struct(*[safe(F.col(f"`{c}`"), t).alias(c) for c, t in df.dtypes]), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def composite_keys(df: DataFrame, columns: list[str] | None = None, most: int = 10) -> DataFrame:
     """(columns, size): pairs of columns without duplicate rows, or triples if there is no pair.
 
-    Columns come in with between 10 and 95 % distinct values, the first ten of them. A combination is dropped as soon as one
-    value of it repeats, so no combination is counted to the end for nothing.
+    Columns come in with between 10 and 95 % distinct values, the first ten of them. One aggregate of sketches drops the
+    combinations that are far from unique; those left are counted exactly, all in one shuffle of pre-aggregated keys.
     """
-    cols = columns
+    cols, spark = columns, df.sparkSession
     if cols is None:
         cardinality = {r["column"]: r["cardinality"] for r in uniqueness(df).select("column", "cardinality").collect()}
         cols = [c for c in scalar_columns(df) if 0.1 < cardinality[c] < 0.95][:most]
+    key = lambda of: F.to_json(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in of]))
+    found: list[tuple[str, ...]] = []
     for size in (2, 3):
-        found = [c for c in combinations(cols, size) if df.groupBy(*[f"`{x}`" for x in c]).count().where("count > 1").isEmpty()]
+        ways = [*combinations(cols, size)]
+        if not ways:
+            continue
+        row = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.xxhash64(*[F.col(f"`{c}`") for c in of]), 0.01).alias(f"w{i}") for i, of in enumerate(ways)]).first()
+        near = [(i, of) for i, of in enumerate(ways) if row[f"w{i}"] >= 0.95 * row["n"]]
+        if near:
+            keys = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("way"), key(of).alias("key")) for i, of in near])))
+            repeated = {r["way"] for r in keys.groupBy("way", "key").count().groupBy("way").agg(F.max("count").alias("most")).where("most > 1").collect()}
+            found = [of for i, of in near if i not in repeated]
         if found:
             break
-    return df.sparkSession.createDataFrame([(list(c), len(c)) for c in found], "columns array<string>, size int")
+    return spark.createDataFrame([(list(c), len(c)) for c in found], "columns array<string>, size int")
 
 
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -10,21 +10,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import token_ratio, variations
-from .overlap import fuzzy_matches, overlap, pair_overlaps, values_of
-from .profile import as_text, column_profiles, scalar_columns
+from ..sources.shared import written
+from .overlap import fuzzy_matches, overlap, pair_overlaps
+from .profile import as_text, distinct_values, profiles_from, scalar_columns
 
 HIGH, MEDIUM, LOW = 80, 60, 40
+HALF, SURE = 50, 60
 MOST_NULLS = MOST_ORPHANS = 5.0
 FORMAT_NAMES, SEMANTIC_NAMES = 0.7, 0.6
 # Prefixes of codes that one side of a pair may lack.
 PREFIXES = ["CUST-", "PROD-", "ORD-", "INV-"]
 # Business entities by parts of table names, in this order.
-ENTITIES = [("customer", "customer|client|account"), ("product", "product|item|part|sku"), ("order", "order|purchase"), ("transaction", "transaction|payment|lineitem"), ("employee", "employee|agent|staff"), ("supplier", "supplier|vendor"), ("location", "location|region|nation|country|store"), ("event", "event|log")]
+ENTITIES = [
+    ("Master Data - People/Entities", "customer|client|user|member|patient|employee|contact"), ("Master Data - Products/Items", "product|item|sku|inventory|catalog|part"), ("Master Data - Locations", "location|store|warehouse|facility|branch"),
+    ("Master Data - Partners", "supplier|vendor|partner|agent|broker"), ("Transaction - Sales/Orders", "order|sale|purchase|transaction|booking"), ("Transaction - Financial", "payment|invoice|billing|revenue|premium"),
+    ("Transaction - Service/Claims", "claim|incident|case|ticket|issue"), ("Transaction - Operations", "shipment|delivery|fulfillment|logistics"), ("Event - Activity/Engagement", "visit|session|activity|interaction|event|log"),
+    ("Relationship - Junction Table", "assignment|mapping|link|association"), ("Reference - Lookup/Codes", "status|type|category|code|lookup|reference"),
+]
 
 
 def profiles_of(tables: dict[str, DataFrame]) -> DataFrame:
-    """Column profiles of all tables."""
-    return reduce(DataFrame.unionByName, [column_profiles(df, t) for t, df in tables.items()])
+    """Column profiles of all tables, their values shuffled together once."""
+    return profiles_from(tables, distinct_values(tables))
 
 
 def cardinality(unique1: Column, unique2: Column) -> tuple[Column, Column]:
@@ -67,16 +74,87 @@ def candidates(profiles: DataFrame, overlaps: DataFrame, names: DataFrame, valid
     return out if validator is None else out.where(~F.col("requires_validation")).unionByName(validator(out.where("requires_validation")))
 
 
-def discover(tables: dict[str, DataFrame], validator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Relationships of all tables, best first, with ids in that order."""
+def _changes(value: Column) -> dict[str, tuple[str, Column]]:
+    """Changes of format by a key: (transformation, the value after it)."""
+    stripped = {f"PREFIX_MISMATCH{i}": (f"STRIP_PREFIX('{p}')", F.regexp_replace(value, f"^{p}", "")) for i, p in enumerate(PREFIXES)}
+    return {"CASE_MISMATCH": ("LOWER() or UPPER()", F.lower(value)), **stripped, "PARTIAL_MATCH": ("SUBSTRING or EXTRACT", F.regexp_extract(value, r"([^-_/ ]+)$", 1))}
+
+
+def format_pairs(values: DataFrame, overlaps: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of similarly named columns that meet only after a change of format: pair_overlaps' columns, kind and transformation.
+
+    The raw overlap is below MEDIUM, that after the change reaches it; the first such change counts. The changed values of all columns
+    go through one more table of values and one count of pairs.
+    """
+    near = names.where(F.col("similarity") >= FORMAT_NAMES)
+    sides = near.select(F.explode(F.array(F.struct(F.col("table1").alias("table"), F.col("column1").alias("column")), F.struct(F.col("table2").alias("table"), F.col("column2").alias("column")))).alias("s")).select("s.*").distinct()
+    changes = _changes(F.col("value"))
+    each = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("value")) for i, (_, v) in enumerate(changes.values())])
+    changed = values.join(F.broadcast(sides), ["table", "column"]).select("table", "column", F.inline(each)).where("value <> ''").groupBy("table", "column", "i", "value").agg(F.lit(1).alias("n"))
+    apart = changed.select("table", F.concat_ws("\x01", "column", "i").alias("column"), F.concat_ws("\x01", "i", "value").alias("value"), "n")
+    cut = lambda c, k: F.element_at(F.split(c, "\x01"), k)
+    met = pair_overlaps(apart).withColumn("i", cut("column1", 2).cast("int")).withColumn("column1", cut("column1", 1)).withColumn("column2", cut("column2", 1)).where(F.col("overlap_percent") >= MEDIUM)
+    on = ["table1", "column1", "table2", "column2"]
+    raw = overlaps.where(F.col("overlap_percent") >= MEDIUM).select(*on)
+    first = met.join(F.broadcast(near.select(*on)), on).join(F.broadcast(raw), on, "left_anti").groupBy(*on).agg(F.min_by(F.struct(*[c for c in met.columns if c not in on]), "i").alias("f")).select(*on, "f.*")
+    kinds = F.array(*[F.lit(k.rstrip("0123456789")) for k in changes])
+    texts = F.array(*[F.lit(t) for t, _ in changes.values()])
+    return first.withColumns({"kind": F.element_at(kinds, F.col("i") + 1), "transformation": F.element_at(texts, F.col("i") + 1)}).drop("i")
+
+
+def discover(tables: dict[str, DataFrame], validator: Callable[[DataFrame], DataFrame] | None = None, overlap_validator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Relationships of all tables, best first, with ids in that order.
+
+    Rules in order: equal names, variations, changes of format, high overlap of unlike names, similar names. The fourth needs
+    overlap_validator: it gets pairs of one type with at least half of the values in common and returns those it confirms with
+    confidence (0 to 100). All distinct values are written once, for the profiles and the overlaps; pairs are counted only of columns
+    whose names can meet a rule.
+    """
     spark = next(iter(tables.values())).sparkSession
     cols = {t: scalar_columns(df) for t, df in tables.items()}
-    names = spark.createDataFrame(name_pairs(cols), "table1 string, column1 string, table2 string, column2 string, equal boolean, variant boolean, similarity double")
-    found = candidates(profiles_of(tables), pair_overlaps(values_of(tables)), names, validator)
-    w = Window.orderBy(F.desc("confidence_score"), "source_table", "source_column", "target_table", "target_column")  # a row a relationship: metadata
+    pairs = name_pairs(cols)
+    if overlap_validator is None:
+        pairs = [p for p in pairs if p[4] or p[5] or p[6] >= SEMANTIC_NAMES]
+    names = spark.createDataFrame(pairs, "table1 string, column1 string, table2 string, column2 string, equal boolean, variant boolean, similarity double")
+    ends = sorted({(p[k], p[k + 1]) for p in pairs for k in (0, 2)})
+    values = written(distinct_values(tables), "values")
+    profiles = profiles_from(tables, values)
+    used = spark.createDataFrame(ends, "table string, column string")
+    known = values.where("value is not null").join(F.broadcast(used), ["table", "column"], "left_semi").select("table", "column", "value", "n")
+    overlaps = written(pair_overlaps(known), "overlaps")
+    changed = format_pairs(known, overlaps, names)
+    on = [F.col("source_table") == F.col("table1"), F.col("source_column") == F.col("column1"), F.col("target_table") == F.col("table2"), F.col("target_column") == F.col("column2")]
+    named = candidates(profiles, overlaps, names, None).withColumn("transformation", F.lit(None).cast("string"))
+    sure = named.where(~F.col("requires_validation"))
+    changed = changed.join(F.broadcast(sure), on, "left_anti")
+    formats = changed.select(
+        F.col("table1").alias("source_table"), F.col("column1").alias("source_column"), F.col("table2").alias("target_table"), F.col("column2").alias("target_column"), F.lit("FORMAT_MISMATCH").alias("relationship_type"), F.lit("MEDIUM").alias("confidence_level"),
+        F.lit(75).cast("long").alias("confidence_score"), F.col("kind").alias("detection_method"), "overlap_percent", "exact_matches", F.col("orphans1").alias("orphans_in_source"), F.col("orphans2").alias("orphans_in_target"), F.lit("UNKNOWN").alias("cardinality"),
+        F.array().cast("array<string>").alias("warnings"), F.lit(False).alias("requires_validation"), "transformation",
+    )
+    ends = ["source_table", "source_column", "target_table", "target_column"]
+    found = sure.unionByName(formats)
+    if overlap_validator is not None:
+        found = found.unionByName(_high_overlaps(profiles, overlaps, overlap_validator).join(F.broadcast(found.select(*ends)), ends, "left_anti"))
+    similar = named.where("requires_validation").join(F.broadcast(found.select(*ends)), ends, "left_anti")
+    found = found.unionByName(similar if validator is None else validator(similar))
+    w = Window.orderBy(F.desc("confidence_score"), *ends)  # a row a relationship: metadata
     return found.select(F.format_string("REL_%03d", F.row_number().over(w)).alias("relationship_id"), "*")
 
 
+def _high_overlaps(profiles: DataFrame, overlaps: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs of one type that share at least half of their values, as far as confirm returns them with a confidence of 60 or more."""
+    side = lambda k: profiles.select(F.col("table").alias(f"table{k}"), F.col("column").alias(f"column{k}"), F.col("data_type").alias(f"type{k}"))
+    p = overlaps.where(F.col("overlap_percent") >= HALF).join(F.broadcast(side(1)), ["table1", "column1"]).join(F.broadcast(side(2)), ["table2", "column2"]).where("type1 = type2")
+    score = F.floor((F.col("overlap_percent") + F.col("confidence")) / 2).cast("long")
+    return confirm(p).where(F.col("confidence") >= SURE).select(
+        F.col("table1").alias("source_table"), F.col("column1").alias("source_column"), F.col("table2").alias("target_table"), F.col("column2").alias("target_column"), F.lit("VALIDATED_OVERLAP").alias("relationship_type"),
+        F.when(score >= HIGH, "HIGH").when(score >= MEDIUM, "MEDIUM").otherwise("LOW").alias("confidence_level"), score.alias("confidence_score"), F.lit("HIGH_OVERLAP_VALIDATION").alias("detection_method"), "overlap_percent", "exact_matches",
+        F.col("orphans1").alias("orphans_in_source"), F.col("orphans2").alias("orphans_in_target"), F.lit("UNKNOWN").alias("cardinality"), F.array().cast("array<string>").alias("warnings"), F.lit(False).alias("requires_validation"),
+        F.lit(None).cast("string").alias("transformation"),
+    )
+
+
 def format_mismatch(a: DataFrame, column1: str, b: DataFrame, column2: str) -> DataFrame:
     """(kind, transformation, overlap_percent) of the change of format that gives two text columns the largest overlap of at least MEDIUM; none if the raw values have it already.
 
@@ -99,14 +177,33 @@ def fuzzy_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return one.select("exact_matches", "fuzzy_matches", F.round((F.col("exact_matches") + F.col("fuzzy_matches")) * 100.0 / F.least("n1", "n2"), 4).alias("overlap_percent"))
 
 
-def entity(table: Column) -> Column:
-    """The business entity that a table's name suggests."""
-    out = F.when(F.lower(table).rlike(ENTITIES[0][1]), ENTITIES[0][0])
-    for name, pattern in ENTITIES[1:]:
-        out = out.when(F.lower(table).rlike(pattern), name)
-    return out.otherwise("unknown")
+def entity(table: Column, columns: Column | None = None) -> Column:
+    """The business entity that a table's name suggests, else what its columns' names do: identifiers with dates and amounts are transactions, identifiers without dates master data."""
+    out, name = None, F.lower(table)
+    for kind, pattern in ENTITIES:
+        out = F.when(name.rlike(pattern), kind) if out is None else out.when(name.rlike(pattern), kind)
+    if columns is not None:
+        some = lambda p: F.exists(columns, lambda c: F.lower(c).rlike(p))
+        ids, dates = some("_id|id$"), some("date|time")
+        out = out.when(ids & dates & some("amount|price|value"), "Transaction - Unknown Type").when(ids & ~dates, "Master Data - Unknown Type")
+    return out.otherwise("Unknown Entity Type")
 
 
 def report(relationships: DataFrame) -> DataFrame:
     """(confidence_level, n, warnings): relationships and warnings by level."""
     return relationships.groupBy("confidence_level").agg(F.count("*").alias("n"), F.sum(F.size("warnings")).alias("warnings"))
+
+
+def business_summary(profiles: DataFrame, relationships: DataFrame) -> DataFrame:
+    """(table, entity, key_columns, links): the entity of each table, its key candidates in order, and its relationships of HIGH or MEDIUM confidence."""
+    of = profiles.groupBy("table").agg(F.array_sort(F.collect_list(F.when(F.col("primary_key_candidate"), F.col("column")))).alias("keys"), F.collect_list("column").alias("columns"))
+    ends = relationships.where(F.col("confidence_level").isin("HIGH", "MEDIUM")).select(F.explode(F.array("source_table", "target_table")).alias("table"))
+    links = ends.groupBy("table").agg(F.count("*").alias("links"))
+    return of.join(F.broadcast(links), "table", "left").select("table", entity(F.col("table"), F.col("columns")).alias("entity"), F.array_join("keys", ",").alias("key_columns"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def suggested(joins: DataFrame, logical: DataFrame) -> DataFrame:
+    """(source_table, source_column, target_table, target_column, detection_method) of a workbook's joins and logical relationships, each once."""
+    a = joins.select(F.col("left_table").alias("source_table"), F.col("left_column").alias("source_column"), F.col("right_table").alias("target_table"), F.col("right_column").alias("target_column"))
+    b = logical.select(F.col("from_table").alias("source_table"), F.col("from_column").alias("source_column"), F.col("to_table").alias("target_table"), F.col("to_column").alias("target_column"))
+    return a.unionByName(b).distinct().withColumn("detection_method", F.lit("WORKBOOK"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def addressed(partition: list[str], order: list[str]) -> WindowSpec:
     """Restarting for each combination of partition, going along order."""
@@ -65,8 +69,16 @@ def month_before(view: DataFrame, month: str, x: str, keys: list[str], out: str)
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
-    """A global index from 1 along order, without a window over one task: rows are range-sorted, counted by partition, and offset."""
-    ordered = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row a partition
-    return ordered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
+    """df with a global index from 1 along order, without a window over one task.
+
+    Rows are range-sorted and written once, each with its partition and its place there; the partitions' sizes, a row each, then
+    give the offsets. Counting and numbering read the same written rows, so they agree however the sort was planned. Rows with
+    equal order get neighbouring numbers in some order; nulls come first; an empty table stays empty.
+    """
+    part, at, start = (f"_{k}_{uuid.uuid4().hex[:8]}" for k in ("part", "at", "start"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    tagged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumns({part: F.spark_partition_id(), at: place})
+    rows = written(tagged, "row-numbers")
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
+    starts = sizes.select(F.col(part), (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(start))  # a row a partition
+    return rows.join(F.broadcast(starts), part).withColumn(name, F.col(start) + F.col(at) + 1).drop(part, at, start)

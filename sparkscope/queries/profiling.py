@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
@@ -65,7 +65,7 @@ def profile_prefix(spark, d):
 
 def profile_shape(spark, d):
     df = table(spark, d, "customer").select(F.concat(F.lit("AB-"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("code"), "c_mktsegment")
-    return P.shapes(df, ["code", "c_mktsegment"]).where("column = 'code'")
+    return P.shapes(df, ["code", "c_mktsegment"])
 
 
 def profile_date_format(spark, d):
@@ -86,11 +86,13 @@ def type_inference(spark, d):
 
 
 def composite_keys(spark, d):
-    return P.composite_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_suppkey"]).select(F.array_join("columns", ",").alias("columns"), F.col("size").cast("long").alias("size"))
+    li = table(spark, d, "lineitem").withColumn("l_slot", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    return P.composite_keys(li, ["l_orderkey", "l_slot", "l_suppkey"]).select(F.array_join("columns", ",").alias("columns"), F.col("size").cast("long").alias("size"))
 
 
 def cross_table_columns(spark, d):
-    made = P.shared_names({"a": ["Cust_ID", "name"], "b": ["custid", "Order ID"], "c": ["CUST-ID", "order_id"]})
+    o, li = table(spark, d, "orders").columns, table(spark, d, "lineitem").columns
+    made = P.shared_names({"orders": o, "lineitem": [c.replace("l_", "o_") for c in li], "upper": [c.upper() for c in o]})
     return spark.createDataFrame([(n, t, c) for n, at in made.items() for t, c in at], "normalized string, table string, column string")
 
 
@@ -138,7 +140,7 @@ QUERIES = {
 ORACLE_SQL = {
     "scan_limit_ordered": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100",
     "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in STAR),
-    "schema_types": "SELECT * FROM (VALUES ('customer', 0::BIGINT, 'c_custkey', 'NUMERIC'), ('customer', 1, 'c_name', 'STRING'), ('customer', 2, 'c_nationkey', 'NUMERIC'), ('customer', 3, 'c_acctbal', 'NUMERIC'), ('customer', 4, 'c_mktsegment', 'STRING')) v(\"table\", ordinal, \"column\", generic_type)",
+    "schema_types": "SELECT 'customer' AS \"table\", row_number() OVER () - 1 AS ordinal, column_name AS \"column\", CASE WHEN regexp_matches(column_type, 'INT|DOUBLE|FLOAT|DECIMAL') THEN 'NUMERIC' WHEN column_type = 'VARCHAR' THEN 'STRING' WHEN regexp_matches(column_type, 'DATE|TIMESTAMP') THEN 'DATETIME' WHEN column_type = 'BOOLEAN' THEN 'BOOLEAN' ELSE 'UNKNOWN' END AS generic_type FROM (DESCRIBE customer)",
     "profile_nulls": f"WITH t AS ({_ORDERS_NULLS}) " + _each(["o_orderkey", "o_custkey", "o_orderstatus"], "SELECT '{c}' AS \"column\", count(*) AS row_count, count(*) - count({c}) AS null_count, round((count(*) - count({c})) * 100.0 / count(*), 4) AS null_percent, count(*) FILTER (CAST({c} AS VARCHAR) = '') AS empty_count FROM t"),
     "profile_uniqueness": _each(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], _UNIQUE),
     "profile_numeric_stats": _each(["l_quantity", "l_extendedprice", "l_discount"], "SELECT '{c}' AS \"column\", min({c}) AS min, max({c}) AS max, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std FROM lineitem"),
@@ -146,17 +148,17 @@ ORACLE_SQL = {
     "profile_date_range": "SELECT 'o_orderdate' AS \"column\", CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS min_date, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS max_date, date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS days FROM orders",
     "profile_topk_values": _TOP.replace("{k}", "20").replace("{src}", _each(["o_orderstatus", "o_orderpriority", "o_custkey"], "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM orders")),
     "profile_sequential": _each(["o_orderkey", "o_custkey"], _SEQ),
-    "profile_case_pattern": "SELECT * FROM (VALUES ('up', 'UPPER'), ('low', 'LOWER'), ('title', 'TITLE'), ('mixed', 'MIXED')) v(\"column\", case_pattern)",
+    "profile_case_pattern": "WITH t AS (SELECT upper(c_mktsegment) AS up, lower(c_mktsegment) AS low, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS title, lower(c_mktsegment) || 'X' AS mixed FROM customer) " + _each(["up", "low", "title", "mixed"], "SELECT '{c}' AS \"column\", CASE WHEN bool_and({c} = upper({c})) THEN 'UPPER' WHEN bool_and({c} = lower({c})) THEN 'LOWER' WHEN bool_and(NOT regexp_matches({c}, '(^|[^A-Za-z])[a-z]') AND NOT regexp_matches({c}, '[A-Za-z][A-Z]')) THEN 'TITLE' ELSE 'MIXED' END AS case_pattern FROM t"),
     "profile_prefix": "WITH v AS (SELECT c_name AS value, 'c_name' AS \"column\" FROM customer UNION ALL SELECT 'CUST-' || c_custkey, 'code' FROM customer UNION ALL SELECT c_mktsegment, 'c_mktsegment' FROM customer), n AS (SELECT \"column\", count(*) AS total FROM v GROUP BY 1), k AS (SELECT \"column\", i, left(value, i) AS p, count(*) AS c FROM v, range(1, 10) r(i) WHERE length(value) >= i GROUP BY ALL), b AS (SELECT k.\"column\", arg_max(p, i) AS prefix FROM k JOIN n USING (\"column\") WHERE c > 0.9 * total GROUP BY 1) SELECT n.\"column\", coalesce(prefix, '') AS prefix, prefix IS NOT NULL AS has_prefix FROM n LEFT JOIN b USING (\"column\")",
-    "profile_shape": "SELECT 'code' AS \"column\", 'AA-999999' AS shape, 1.0::DOUBLE AS share",
-    "profile_date_format": "SELECT * FROM (VALUES ('iso', '%Y-%m-%d'), ('us', '%m/%d/%Y'), ('dots', '%d.%m.%Y'), ('none', NULL)) v(\"column\", date_format)",
+    "profile_shape": "WITH t AS (SELECT 'AB-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, c_mktsegment FROM customer), v AS (SELECT 'code' AS \"column\", code AS v FROM t UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM t), n AS (SELECT \"column\", regexp_replace(regexp_replace(regexp_replace(v, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '9', 'g') AS shape, count(*) AS n FROM v GROUP BY 1, 2), b AS (SELECT \"column\", arg_max(shape, (n, shape)) AS shape, max(n) / sum(n) AS part FROM n GROUP BY 1) SELECT \"column\", CASE WHEN part > 0.8 THEN shape END AS shape, round(part, 6) AS share FROM b",
+    "profile_date_format": "WITH t AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%m/%d/%Y') AS us, strftime(o_orderdate, '%d.%m.%Y') AS dots, o_orderstatus AS none FROM orders) " + _each(["iso", "us", "dots", "none"], "SELECT '{c}' AS \"column\", CASE WHEN avg(CAST(regexp_full_match({c}, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS INT)) > 0.9 THEN '%Y-%m-%d' WHEN avg(CAST(regexp_full_match({c}, '[0-9]{2}/[0-9]{2}/[0-9]{4}') AS INT)) > 0.9 THEN '%m/%d/%Y' WHEN avg(CAST(regexp_full_match({c}, '[0-9]{2}[.][0-9]{2}[.][0-9]{4}') AS INT)) > 0.9 THEN '%d.%m.%Y' END AS date_format FROM t"),
     "profile_key_flags": _each(["o_orderkey", "o_custkey", "o_orderstatus"], "SELECT '{c}' AS \"column\", count(DISTINCT {c}) * 100.0 / count({c}) >= 99.9 AS is_unique, count(DISTINCT {c}) * 100.0 / count({c}) >= 0.95 AS is_mostly_unique, count(DISTINCT {c}) * 100.0 / count({c}) >= 99.9 AND count(DISTINCT {c}) >= 10 AND count({c}) > 0.99 * count(*) AS primary_key_candidate, round(count(DISTINCT {c}) * 100.0 / count({c}), 4) >= 0.7 AND count(DISTINCT {c}) >= 10 AS foreign_key_candidate FROM orders"),
-    "type_inference": "SELECT * FROM (VALUES ('text_int', 'int'), ('text_float', 'float'), ('p_retailprice', 'float'), ('p_partkey', 'int'), ('p_name', 'string'), ('text_date', 'datetime'), ('nothing', 'unknown'), ('flag', 'boolean')) v(\"column\", data_type)",
-    "composite_keys": "WITH p AS (SELECT 'l_orderkey,l_linenumber' AS columns, 2::BIGINT AS size, count(*) = count(DISTINCT (l_orderkey, l_linenumber)) AS ok FROM lineitem UNION ALL SELECT 'l_orderkey,l_suppkey', 2, count(*) = count(DISTINCT (l_orderkey, l_suppkey)) FROM lineitem UNION ALL SELECT 'l_linenumber,l_suppkey', 2, count(*) = count(DISTINCT (l_linenumber, l_suppkey)) FROM lineitem), t AS (SELECT 'l_orderkey,l_linenumber,l_suppkey' AS columns, 3::BIGINT AS size, count(*) = count(DISTINCT (l_orderkey, l_linenumber, l_suppkey)) AS ok FROM lineitem) SELECT columns, size FROM p WHERE ok UNION ALL SELECT columns, size FROM t WHERE ok AND NOT EXISTS (SELECT 1 FROM p WHERE ok)",
-    "cross_table_columns": "SELECT * FROM (VALUES ('custid', 'a', 'Cust_ID'), ('custid', 'b', 'custid'), ('custid', 'c', 'CUST-ID'), ('orderid', 'b', 'Order ID'), ('orderid', 'c', 'order_id')) v(normalized, \"table\", \"column\")",
+    "type_inference": "WITH t AS (SELECT CAST(p_size AS VARCHAR) AS text_int, CAST(p_retailprice AS VARCHAR) AS text_float, CAST(p_retailprice AS VARCHAR) AS p_retailprice, CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, '2024-01-31' AS text_date, CAST(NULL AS VARCHAR) AS nothing FROM part) " + _each(["text_int", "text_float", "p_retailprice", "p_partkey", "p_name", "text_date", "nothing"], "SELECT '{c}' AS \"column\", CASE WHEN count({c}) = 0 THEN 'unknown' WHEN bool_and(regexp_matches({c}, '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') AND TRY_CAST({c} AS DATE) IS NOT NULL) THEN 'datetime' WHEN count(TRY_CAST({c} AS DOUBLE)) > 0.9 * count({c}) THEN CASE WHEN bool_and(TRY_CAST({c} AS DOUBLE) = floor(TRY_CAST({c} AS DOUBLE))) THEN 'int' ELSE 'float' END ELSE 'string' END AS data_type FROM t") + " UNION ALL SELECT 'flag', lower(any_value(typeof(p_size > 5))) FROM part",
+    "composite_keys": "WITH li AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS l_slot FROM lineitem), p AS (SELECT 'l_orderkey,l_slot' AS columns, 2::BIGINT AS size, count(*) = count(DISTINCT (l_orderkey, l_slot)) AS ok FROM li UNION ALL SELECT 'l_orderkey,l_suppkey', 2, count(*) = count(DISTINCT (l_orderkey, l_suppkey)) FROM li UNION ALL SELECT 'l_slot,l_suppkey', 2, count(*) = count(DISTINCT (l_slot, l_suppkey)) FROM li) SELECT columns, size FROM p WHERE ok",
+    "cross_table_columns": "WITH c AS (SELECT 'lineitem' AS \"table\", replace(column_name, 'l_', 'o_') AS c FROM (DESCRIBE lineitem) UNION ALL SELECT 'orders', column_name FROM (DESCRIBE orders) UNION ALL SELECT 'upper', upper(column_name) FROM (DESCRIBE orders)), n AS (SELECT *, lower(regexp_replace(c, '[^A-Za-z0-9]', '', 'g')) AS normalized FROM c) SELECT normalized, \"table\", c AS \"column\" FROM n WHERE normalized IN (SELECT normalized FROM n GROUP BY 1 HAVING count(DISTINCT \"table\") > 1)",
     "duplicate_rows": "WITH g AS (SELECT count(*) AS n FROM documents GROUP BY text, lang) SELECT CAST(sum(n) AS BIGINT) AS row_count, count(*) AS distinct_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_count, round((sum(n) - count(*)) * 100.0 / sum(n), 4) AS duplicate_rate, CASE WHEN round((sum(n) - count(*)) * 100.0 / sum(n), 4) < 1 THEN 'good' ELSE 'warning' END AS status FROM g",
     "data_quality_status": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", CAST((SELECT count(*) FROM {t}) AS BIGINT) AS row_count, round(((SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t}))) * 100.0 / (SELECT count(*) FROM {t}), 4) AS duplicate_rate, CASE WHEN ((SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t}))) * 100.0 / (SELECT count(*) FROM {t}) < 1 THEN 'good' ELSE 'warning' END AS status" for t in STAR),
     "test_slices": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders ORDER BY 1, 2 LIMIT 10",
     "json_props_profile": _TOP.replace("{k}", "5").replace("{src}", "SELECT 'k' AS \"column\", json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT 'event_type', event_type FROM events"),
-    "id_like_columns": "SELECT * FROM (VALUES ('c_custkey', true), ('c_name', false), ('c_nationkey', true), ('c_mktsegment', false)) v(\"column\", looks_like_id)",
+    "id_like_columns": "WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer) " + _each(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "SELECT '{c}' AS \"column\", regexp_matches('{c}', 'id|key|code|number|_no|_num') OR avg(CAST(regexp_matches({c}, '^[A-Z]{2,4}[0-9]+$') AS INT)) > 0.8 OR avg(CAST(regexp_matches({c}, '^[0-9]{4,}$') AS INT)) > 0.8 OR avg(CAST(regexp_matches({c}, '^[A-Z]-[0-9]+$') AS INT)) > 0.8 AS looks_like_id FROM t"),
 }

@@ -8,7 +8,7 @@ from ..functions.names import matcher_ratio_udf, normalized_col, token_ratio_udf
 from ..operators import duplicates as D
 from ..operators import overlap as O  # noqa: E741
 from ..operators import relationships as R
-from .common import star, table
+from .common import STAR, star, table
 
 #: Integer key columns of all star tables.
 KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "events": ["event_id", "user_id"]}
@@ -24,7 +24,9 @@ def overlap_all_pairs(spark, d):
 
 
 def orphans(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without a finished order that is urgent: keys that only one side has."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F' and o_custkey % 3 = 0")
+    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def jaccard_content(spark, d):
@@ -47,7 +49,10 @@ def rel_rules(spark, d):
 
 
 def rel_warnings(spark, d):
-    return R.discover(_two(spark, d)).select("source_column", "target_column", F.explode("warnings").alias("warning"))
+    """Nulls on one side and orphans on the other."""
+    a = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey")).alias("cust_id"), "c_name")
+    b = table(spark, d, "orders").where("o_custkey % 7 <> 0").select(F.col("o_custkey").alias("cust_id"), "o_orderkey")
+    return R.discover({"a": a, "b": b}).select("source_column", "target_column", F.explode("warnings").alias("warning"))
 
 
 def relationship_report(spark, d):
@@ -70,8 +75,10 @@ def rel_format(spark, d):
 
 
 def entity_typing(spark, d):
-    names = spark.createDataFrame([(t,) for t in [*star(spark, d), "client_list", "misc"]], "table string")
-    return names.select("table", R.entity(F.col("table")).alias("entity"))
+    """Entities of the star tables and of tables named after nations, the rest by their columns."""
+    of = [(t, table(spark, d, t).columns) for t in STAR] + [("misc", ["row_id", "start_date", "amount"]), ("other", ["row_id"]), ("none", ["x"])]
+    named = spark.createDataFrame(of, "table string, columns array<string>").unionByName(table(spark, d, "nation").select(F.concat(F.lower("n_name"), F.element_at(F.array(*map(F.lit, ["_payment", "_claim", "_branch"])), (F.col("n_nationkey") % 3 + 1).cast("int"))).alias("table"), F.array().cast("array<string>").alias("columns")))
+    return named.select("table", R.entity(F.col("table"), F.col("columns")).alias("entity"))
 
 
 def name_functions(spark, d):
@@ -83,15 +90,15 @@ def name_functions(spark, d):
 
 
 def _copies(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("C_CustKey_"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey")).alias("c_custkey_2"), "c_name", F.col("c_acctbal"), (F.col("c_acctbal") * 1.0005).alias("near"), (F.col("c_acctbal") * 1.01).alias("far"))
+    return table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("C_CustKey_"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey")).alias("c_custkey_2"), "c_name", F.col("c_acctbal"), (F.col("c_acctbal") * 1.0005).alias("near"), (F.col("c_acctbal") * 1.01).alias("far"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("x").alias("half"))
 
 
 def dup_columns_measures(spark, d):
-    return D.pair_measures(_copies(spark, d), [("c_custkey", "C_CustKey_"), ("c_custkey", "c_custkey_2"), ("c_acctbal", "near"), ("c_acctbal", "far")])
+    return D.pair_measures(_copies(spark, d), [("c_custkey", "C_CustKey_"), ("c_custkey", "c_custkey_2"), ("c_acctbal", "near"), ("c_acctbal", "far"), ("c_name", "half")])
 
 
 def dup_columns_groups(spark, d):
-    made = D.duplicate_columns(_copies(spark, d).drop("near", "far"))
+    made = D.duplicate_columns(_copies(spark, d).drop("near", "far", "half"))
     return spark.createDataFrame([(g["rule"], ",".join(g["columns"]), all(g["identical"]), D.recommendation(g)) for g in made], "rule string, columns string, identical boolean, recommendation string")
 
 
@@ -104,6 +111,14 @@ SELECT a.t AS table1, a.c AS column1, b.t AS table2, b.c AS column2, count(*) AS
 FROM v a JOIN v b ON a.v = b.v AND a.t < b.t JOIN n x ON x.t = a.t AND x.c = a.c JOIN n y ON y.t = b.t AND y.c = b.c GROUP BY a.t, a.c, b.t, b.c"""
 
 
+def _entity_sql() -> str:
+    cases = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p in R.ENTITIES)
+    cols = " UNION ALL ".join(f"SELECT '{t}' AS t, list(column_name) AS cs FROM (DESCRIBE {t})" for t in STAR)
+    some = lambda p: f"len(list_filter(cs, lambda x: regexp_matches(lower(x), '{p}'))) > 0"
+    return f"""SELECT t AS "table", CASE {cases} WHEN {some('_id|id$')} AND {some('date|time')} AND {some('amount|price|value')} THEN 'Transaction - Unknown Type' WHEN {some('_id|id$')} AND NOT {some('date|time')} THEN 'Master Data - Unknown Type' ELSE 'Unknown Entity Type' END AS entity
+FROM ({cols} UNION ALL SELECT * FROM (VALUES ('misc', ['row_id', 'start_date', 'amount']), ('other', ['row_id']), ('none', ['x'])) UNION ALL SELECT lower(n_name) || ['_payment', '_claim', '_branch'][n_nationkey % 3 + 1], [] FROM nation)"""
+
+
 QUERIES = {f.__name__: f for f in (overlap_pair, overlap_all_pairs, orphans, jaccard_content, fuzzy_overlap, rel_rules, rel_warnings, relationship_report, relationship_levels, rel_format, entity_typing, name_functions, dup_columns_measures, dup_columns_groups)}
 
 _COPIES = "SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS c2, c_acctbal, c_acctbal * 1.0005 AS near, c_acctbal * 1.01 AS far FROM customer"
@@ -112,10 +127,15 @@ _TOLERANT = "round(avg(CASE WHEN abs(c_acctbal - {x}) < 0.001 * greatest(abs(c_a
 ORACLE_SQL = {
     "overlap_pair": "WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_custkey IS NOT NULL), b AS (SELECT DISTINCT c_custkey AS v FROM customer), j AS (SELECT a.v AS x, b.v AS y FROM a FULL JOIN b ON a.v = b.v) SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS exact_matches, count(*) FILTER (y IS NULL) AS orphans1, count(*) FILTER (x IS NULL) AS orphans2, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) * 100.0 / least(count(x), count(y)), 4) AS overlap_percent, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) * 100.0 / count(*), 4) AS jaccard_percent FROM j",
     "overlap_all_pairs": _pairs_sql(),
-    "orphans": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "orphans": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_custkey % 3 = 0)",
     "jaccard_content": "WITH a AS (SELECT DISTINCT o_orderstatus AS v FROM orders), b AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 'F' ELSE 'Z' END AS v FROM orders) SELECT round((SELECT count(*) FROM a JOIN b USING (v)) * 1.0 / (SELECT count(*) FROM (SELECT v FROM a UNION SELECT v FROM b)), 6) AS jaccard",
     "rel_format": "SELECT * FROM (VALUES ('case', 'CASE_MISMATCH', 'LOWER() or UPPER()', 100.0::DOUBLE), ('prefix', 'PREFIX_MISMATCH', 'STRIP_PREFIX(''CUST-'')', 100.0), ('partial', 'PARTIAL_MATCH', 'SUBSTRING or EXTRACT', 100.0)) v(pair, kind, transformation, overlap_percent)",
-    "entity_typing": "SELECT t AS \"table\", CASE WHEN t LIKE '%customer%' OR t LIKE '%client%' OR t LIKE '%account%' THEN 'customer' WHEN regexp_matches(t, 'product|item|part|sku') THEN 'product' WHEN regexp_matches(t, 'order|purchase') THEN 'order' WHEN regexp_matches(t, 'supplier|vendor') THEN 'supplier' WHEN regexp_matches(t, 'location|region|nation|country|store') THEN 'location' WHEN regexp_matches(t, 'event|log') THEN 'event' ELSE 'unknown' END AS entity FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('client_list'), ('misc')) v(t)",
-    "dup_columns_measures": f"WITH t AS ({_COPIES}) SELECT 'c_custkey' AS column1, 'C_CustKey_' AS column2, true AS identical, 1.0::DOUBLE AS similarity UNION ALL SELECT 'c_custkey', 'c_custkey_2', count(*) FILTER (c_custkey IS DISTINCT FROM c2) = 0, 1.0 FROM t UNION ALL SELECT 'c_acctbal', 'near', count(*) FILTER (c_acctbal IS DISTINCT FROM near) = 0, {_TOLERANT.format(x='near')} FROM t UNION ALL SELECT 'c_acctbal', 'far', count(*) FILTER (c_acctbal IS DISTINCT FROM far) = 0, {_TOLERANT.format(x='far')} FROM t",
+    "entity_typing": _entity_sql(),
+    "dup_columns_measures": f"WITH t AS ({_COPIES}) SELECT 'c_custkey' AS column1, 'C_CustKey_' AS column2, true AS identical, 1.0::DOUBLE AS similarity UNION ALL SELECT 'c_custkey', 'c_custkey_2', count(*) FILTER (c_custkey IS DISTINCT FROM c2) = 0, 1.0 FROM t UNION ALL SELECT 'c_acctbal', 'near', count(*) FILTER (c_acctbal IS DISTINCT FROM near) = 0, {_TOLERANT.format(x='near')} FROM t UNION ALL SELECT 'c_acctbal', 'far', count(*) FILTER (c_acctbal IS DISTINCT FROM far) = 0, {_TOLERANT.format(x='far')} FROM t UNION ALL SELECT 'c_name', 'half', false, round((SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) * 1.0 / (SELECT count(*) + 1 FROM customer), 6)",
     "dup_columns_groups": "SELECT 'exact_name' AS rule, 'c_custkey,C_CustKey_' AS columns, true AS identical, 'keep c_custkey, delete C_CustKey_: the values are the same' AS recommendation",
+    "rel_rules": """WITH n AS (SELECT count(DISTINCT c_custkey) = count(*) AS u FROM customer), o AS (SELECT count(*) * 100.0 / least((SELECT count(*) FROM customer), (SELECT count(DISTINCT o_custkey) FROM orders)) AS p FROM (SELECT DISTINCT o_custkey AS v FROM orders) JOIN customer ON v = c_custkey)
+SELECT 'cust_id' AS source_column, t AS target_column, CASE WHEN u THEN 'PRIMARY_KEY -> FOREIGN_KEY' ELSE 'POTENTIAL_JOIN' END AS relationship_type, 'HIGH' AS confidence_level, s AS confidence_score, m AS detection_method, CASE WHEN u THEN '1:N' ELSE 'UNKNOWN' END AS cardinality
+FROM n, o, (VALUES ('cust_id', 95::BIGINT, 'EXACT_NAME_AND_TYPE_MATCH'), ('customer_id', 90, 'NAME_VARIATION_MATCH')) v(t, s, m) WHERE p >= 80""",
+    "rel_warnings": """WITH a AS (SELECT CASE WHEN c_custkey % 10 <> 0 THEN c_custkey END AS v FROM customer), b AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_custkey % 7 <> 0)
+SELECT 'cust_id' AS source_column, 'cust_id' AS target_column, 'nulls in a.cust_id' AS warning FROM a HAVING count(*) FILTER (v IS NULL) * 100.0 / count(*) > 5 UNION ALL SELECT 'cust_id', 'cust_id', 'orphans in a.cust_id' FROM a WHERE v IS NOT NULL HAVING count(*) FILTER (v NOT IN (SELECT v FROM b)) * 100.0 / count(*) > 5""",
 }

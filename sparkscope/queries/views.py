@@ -81,7 +81,7 @@ def win_month_before(spark, d):
 
 
 def row_index(spark, d):
-    return W.row_numbers(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_index")
+    return W.row_numbers(table(spark, d, "orders").repartition(7), ["o_orderdate", "o_orderkey"]).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 def hierarchy_rollup(spark, d):
@@ -112,6 +112,6 @@ ORACLE_SQL = {
     "win_differences": _V + "round(x - lag(x) OVER w, 2) AS difference, round(coalesce((x - lag(x) OVER w) / lag(x) OVER w, 0), 6) AS change, round(lead(x, 2) OVER w, 2) AS ahead, round(lag(x) OVER w, 2) AS behind" + _BY,
     "win_positions": _V + "row_number() OVER w AS index, count(*) OVER p AS size, 1 - row_number() OVER w AS first, count(*) OVER p - row_number() OVER w AS last" + _BY,
     "win_month_before": _V.replace("SELECT o_orderpriority, CAST(m", "SELECT v.o_orderpriority, CAST(v.m") + "round(b.x, 2) AS before FROM v LEFT JOIN v b ON b.o_orderpriority = v.o_orderpriority AND b.m + INTERVAL 1 MONTH = v.m",
-    "row_index": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_index FROM orders",
+    "row_index": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_index FROM orders",
     "hierarchy_rollup": "SELECT r_name, n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
 }

@@ -1,20 +1,30 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where spark.checkpoint.dir points; a local folder only where none is configured."""
+    """Where spark.checkpoint.dir points; a local folder only where none is configured and all tasks run on this machine."""
     global _own
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return f"{found.rstrip('/')}/sparkscope"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="sparkscope-")
     return _own
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written once: all that reads it sees the same rows, also after lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

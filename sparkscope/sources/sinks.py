@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,3 +51,62 @@ def entity_diagram(relationships: DataFrame) -> str:
     ends = {"OneToOne": "||--||", "OneToMany": "||--o{", "ManyToOne": "}o--||", "ManyToMany": "}o--o{"}
     rows = relationships.select("from_table", "to_table", "cardinality", "from_column").orderBy("from_table", "to_table").collect()
     return "\n".join(["erDiagram", *[f"    {r['from_table']} {ends[r['cardinality']]} {r['to_table']} : {r['from_column']}" for r in rows]])
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "csv") -> list[str]:
+    """A folder of files for each table; their paths in order."""
+    paths = [f"{folder.rstrip('/')}/{name}" for name in tables]
+    for (_, df), path in zip(tables.items(), paths):
+        df.write.mode("overwrite").option("header", True).format(kind).save(path)
+    return paths
+
+
+def workbook_report(sheets: dict[str, DataFrame], names: dict[str, str], folder: str) -> list[str]:
+    """Sheets as CSV folders, with raw names in text columns replaced by friendly ones, longest first, so that no name is cut by a shorter one."""
+
+    def friendly(df: DataFrame) -> DataFrame:
+        for raw, name in sorted(names.items(), key=lambda x: -len(x[0])):
+            df = df.withColumns({c: F.replace(F.col(f"`{c}`"), F.lit(raw), F.lit(name)) for c, t in df.dtypes if t == "string"})
+        return df
+
+    return write_tables({k: friendly(df) for k, df in sheets.items()}, folder)
+
+
+class ResultStore:
+    """Results of jobs as files of one folder a job: saved, read, replaced, tested for and deleted."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, job: str) -> str:
+        return f"{self.folder}/{job}"
+
+    def _at(self, job: str):
+        return fs.FileSystem.from_uri(self._path(job))
+
+    def save(self, job: str, df: DataFrame) -> str:
+        df.write.mode("overwrite").parquet(self._path(job))
+        return self._path(job)
+
+    def get(self, job: str) -> DataFrame:
+        return self.spark.read.parquet(self._path(job))
+
+    def has(self, job: str) -> bool:
+        store, path = self._at(job)
+        return store.get_file_info(path).type == fs.FileType.Directory
+
+    def delete(self, job: str) -> None:
+        store, path = self._at(job)
+        if self.has(job):
+            store.delete_dir(path)
+
+    def all(self) -> dict[str, DataFrame]:
+        """Every job's result by name."""
+        store, path = fs.FileSystem.from_uri(self.folder)
+        found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        return {f.base_name: self.get(f.base_name) for f in found if f.type == fs.FileType.Directory}
+
+
+def append_state(rows: DataFrame, folder: str) -> None:
+    """Adds rows to a state table; states are read by their last rows, so nothing is changed in place."""
+    rows.write.mode("append").parquet(folder)

@@ -107,3 +107,20 @@ def without(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
 
 def renamed(df: DataFrame, captions: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({c: n for c, n in captions.items() if c in df.columns})
+
+
+# Endings of files that may be loaded, and their largest size.
+ENDINGS, MOST_BYTES = (".csv", ".xlsx", ".xls", ".parquet", ".json"), 100 << 20
+
+
+def checked_uploads(spark: SparkSession, paths: list[str], most: int = MOST_BYTES) -> DataFrame:
+    """(path, bytes, problem) of files before they are loaded; problem is null where there is none."""
+    rows = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
+    known = F.lower("path").rlike("(" + "|".join(e.replace(".", "[.]") for e in ENDINGS) + ")$")
+    return rows.withColumn("problem", F.when(~known, "unknown kind of file").when(F.col("bytes") > most, "file too large").when(F.col("bytes") == 0, "file is empty"))
+
+
+def preview_rows(df: DataFrame, n: int, order: list[str]) -> tuple[DataFrame, int]:
+    """The first n rows with dates and times as text, and the number of all rows."""
+    text = [F.col(f"`{c}`").cast("string").alias(c) if t.startswith(("date", "timestamp")) else F.col(f"`{c}`") for c, t in df.dtypes]
+    return df.orderBy(*order).limit(n).select(*text), df.count()

@@ -32,9 +32,9 @@ def windowed_profile(events: DataFrame, ts: str, kind: str, value: str, every: s
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), kind, "n", "non_null", "min", "max", "mean")
 
 
-def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes") -> DataFrame:
-    """Rows of each key grouped where no gap is longer."""
-    return events.groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
+def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Rows of each key grouped where no gap is longer; with a stream the watermark lets closed sessions out and drops later rows."""
+    return _watermarked(events, ts, late).groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
 
 
 def first_seen(events: DataFrame, key: str, ts: str, late: str = "10 minutes") -> DataFrame:
