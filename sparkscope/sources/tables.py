@@ -114,8 +114,10 @@ ENDINGS, MOST_BYTES = (".csv", ".xlsx", ".xls", ".parquet", ".json"), 100 << 20
 
 
 def checked_uploads(spark: SparkSession, paths: list[str], most: int = MOST_BYTES) -> DataFrame:
-    """(path, bytes, problem) of files before they are loaded; problem is null where there is none."""
-    rows = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
+    """(path, bytes, problem) of files before they are loaded; problem is null where there is none. Spark reads no empty files, so what isn't read is empty."""
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+:)/+", "$1/")
+    read = spark.read.format("binaryFile").load(paths).select(plain(F.col("path")).alias("_path"), F.col("length").alias("bytes"))
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").join(F.broadcast(read), plain(F.col("path")) == F.col("_path"), "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"))
     known = F.lower("path").rlike("(" + "|".join(e.replace(".", "[.]") for e in ENDINGS) + ")$")
     return rows.withColumn("problem", F.when(~known, "unknown kind of file").when(F.col("bytes") > most, "file too large").when(F.col("bytes") == 0, "file is empty"))
 
