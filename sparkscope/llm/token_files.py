@@ -32,6 +32,8 @@ END_ID = 2
 SHARD_TOKENS = 500_000
 #: Uses from which a rule is shorter than what it replaces.
 LEAST_USES = 5
+#: Shards that a task writes or reads, one after the other, once there are tasks enough for all cores.
+SHARDS_A_TASK = 8
 #: While a round shortens the symbols by this share, rounds run over all of them.
 MUCH = 0.04
 _BITS = 17
@@ -276,7 +278,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     spark = docs.sparkSession
     tokens = tokenised(docs, id_col, text_col, vocabulary, end_id, "token-files")
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(1, round(total / (2 * shard_tokens)), min(spark.sparkContext.defaultParallelism, total // 100_000))
+    parts = max(1, round(total / (SHARDS_A_TASK * shard_tokens)), min(spark.sparkContext.defaultParallelism, total // 100_000))
     made_dir(folder)
 
     def run(batches):
@@ -326,8 +328,9 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    files = manifest.select("part", "file", "start")
-    return map_batches(files.repartition(max(1, manifest.count()), "file"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files, n = manifest.select("part", "file", "start"), manifest.count()
+    tasks = max(1, -(-n // SHARDS_A_TASK), min(n, 2 * manifest.sparkSession.sparkContext.defaultParallelism))
+    return map_batches(files.repartition(tasks, "file"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10(spark, sf_dir):
