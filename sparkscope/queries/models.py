@@ -217,6 +217,11 @@ r AS (SELECT *, CASE WHEN y IS NULL THEN 1.0 ELSE abs(x - y) / x END AS e FROM s
 k AS (SELECT o_orderstatus, o_orderpriority, y IS NOT NULL AND e <= 1e-4 AS passed, CASE WHEN y IS NULL THEN 'MISSING_VALUE' WHEN e <= 1e-4 THEN 'PERFECT_MATCH' WHEN y = 0 THEN 'NULL_HANDLING' WHEN p = '1' THEN 'SCALE_ERROR' WHEN e > 0.1 THEN 'CONTEXT_SHIFT' WHEN e > 0.05 THEN 'GRAIN_MISMATCH' ELSE 'AGGREGATION_MISMATCH' END AS error_category, round(e, 6) AS relative_error FROM r) """
 _NUMERIC = {"region": (2, 1), "nation": (3, 2), "customer": (5, 3), "supplier": (4, 3), "part": (6, 3), "orders": (6, 3), "lineitem": (11, 8), "events": (6, 3)}
 _REL = "SELECT '{x}' AS \"from\", '{y}' AS \"to\", CASE WHEN u AND v THEN 'OneToOne' WHEN u THEN 'OneToMany' WHEN v THEN 'ManyToOne' ELSE 'ManyToMany' END AS cardinality, CASE WHEN NOT u AND NOT v THEN 'Both' ELSE 'Single' END AS filter_direction FROM (SELECT (SELECT count({x}) = count(DISTINCT {x}) FROM {a}) AS u, (SELECT count({y}) = count(DISTINCT {y}) FROM {b}) AS v)"
+_ROWS = ", ".join("('" + n + "', '" + f.replace("'", "''") + "')" for n, f in CALCS)
+_TABLE, _LOD, _AGG = "(?i)(RUNNING_[A-Z]+|WINDOW_[A-Z]+|RANK[A-Z_]*|LOOKUP|INDEX|FIRST|LAST|SIZE|TOTAL)[(]", "(?i)[{] *(FIXED|INCLUDE|EXCLUDE)", "(?i)(SUM|AVG|COUNT|COUNTD|MIN|MAX|MEDIAN)[(]"
+_CALC_SQL = f"""WITH RECURSIVE c(name, formula) AS (VALUES {_ROWS}), e AS (SELECT name, unnest(regexp_extract_all(formula, '\\[([^\\]]+)\\]', 1)) AS source FROM c),
+r AS (SELECT name, CASE WHEN regexp_matches(formula, '{_TABLE}') THEN 'TABLE_CALCULATION' WHEN regexp_matches(formula, '{_LOD}') THEN 'LOD_EXPRESSION' WHEN regexp_matches(formula, '{_AGG}') THEN 'MEASURE' ELSE 'COLUMN' END AS raw_kind,
+CASE WHEN regexp_matches(formula, '{_TABLE}') THEN 'TABLE' WHEN regexp_matches(formula, '{_LOD}') OR regexp_matches(formula, '{_AGG}') THEN 'AGGREGATE' ELSE 'ROW' END AS granularity, nullif(upper(regexp_extract(formula, '{_LOD}', 1)), '') AS lod FROM c)"""
 _DAYS = "SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '{a}', DATE '{b}', INTERVAL 1 DAY) s(d)"
 
 ORACLE_SQL = {
@@ -245,4 +250,7 @@ ORACLE_SQL = {
     "progress_percent": "SELECT * FROM (VALUES ('LOADING', 1::BIGINT, 2::BIGINT, 5.0::DOUBLE), ('PROFILING', 2, 2, 35.0), ('DETECTING', 1, 2, 50.0), ('REPORTING', 5, 2, 100.0)) v(stage, items, total, percent)",
     "windowed_profile": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(value) AS non_null, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",
     "event_sessions": "WITH m AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w + INTERVAL 6 HOUR > ts THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m), g AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM g GROUP BY 1",
+    "graph_kinds": _CALC_SQL + """, m(name) AS (SELECT name FROM r WHERE raw_kind <> 'COLUMN' UNION SELECT e.name FROM m JOIN e ON e.source = m.name JOIN r ON r.name = e.name AND r.raw_kind = 'COLUMN')
+SELECT name, raw_kind, granularity, lod, CASE WHEN raw_kind = 'COLUMN' AND name IN (SELECT name FROM m) THEN 'MEASURE' ELSE raw_kind END AS kind FROM r""",
+    "model_recommendations": _CALC_SQL + " SELECT (SELECT bool_or(lod IS NOT NULL) FROM r) AS has_lod, (SELECT bool_or(granularity = 'TABLE') FROM r) AS needs_row_index, (SELECT bool_or(regexp_matches(lower(c), 'date|_dt$|time')) FROM (" + " UNION ALL ".join(f"SELECT column_name AS c FROM (DESCRIBE {t})" for t in STAR) + ")) AS needs_date_table",
 }
