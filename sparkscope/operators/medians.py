@@ -1,0 +1,33 @@
+"""Exact medians of any number of rows, by ranks over a range-partitioned table of values."""
+
+from __future__ import annotations
+
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..sources.shared import written
+
+
+def medians(df: DataFrame, keys: list[str], value: Column, name: str = "median") -> DataFrame:
+    """(keys, median): of each group the middle value, or the mean of the two middle ones.
+
+    Values are counted map-side, so a repeated value is one row, and range-sorted; the sizes of the ranges tell which of them
+    hold a group's middle ranks, and only these are summed up value by value. Null values don't count, a group of nothing else
+    has a null median; null keys are a group; NaN is greater than any number, as in Spark's own median.
+    """
+    own = [f"k{i}" for i in range(len(keys))]
+    counted = df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own)], value.cast("double").alias("v")).groupBy(*own, "v").agg(F.count("v").alias("n"))
+    ranges = written(counted.repartitionByRange(*own, "v").withColumn("part", F.spark_partition_id()), "medians")
+    sizes = ranges.groupBy(*own, "part").agg(F.sum("n").alias("size"))
+    group = Window.partitionBy(*own)  # a row a range
+    placed = sizes.select(*[F.col(o).alias(f"of_{o}") for o in own], F.col("part").alias("of_part"), "size", (F.sum("size").over(group.orderBy("part")) - F.col("size")).alias("start"), F.sum("size").over(group).alias("total"))
+    ends = [F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1]
+    middle = placed.where((F.col("start") < ends[1]) & (F.col("start") + F.col("size") >= ends[0]))
+    same = reduce(and_, [F.col(o).eqNullSafe(F.col(f"of_{o}")) for o in own], F.col("part") == F.col("of_part"))
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy(*own, "part").orderBy("v"))
+    ranked = ranges.join(middle, same).withColumn("upto", upto)
+    at = lambda rank: F.min(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), F.col("v")))
+    return ranked.groupBy(*own).agg(((at(ends[0]) + at(ends[1])) / 2).alias("m")).select(*[F.col(o).alias(k) for o, k in zip(own, keys)], F.col("m").alias(name))

@@ -11,6 +11,8 @@ from ..functions.names import token_ratio_udf
 from .profile import frequencies, scalar_columns
 
 FUZZY = 0.85
+# Characters from rare to frequent ones in names and codes; others come before them.
+RARE_FIRST = "9876543210qxjzvkwyfbghmpducltsnrioae- "
 
 
 def values_of(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
@@ -50,19 +52,36 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return n.select(F.col("m").alias("exact_matches"), (F.col("n1") - F.col("m")).alias("orphans1"), (F.col("n2") - F.col("m")).alias("orphans2"), percent("m", F.least("n1", "n2")).alias("overlap_percent"), percent("m", F.col("u")).alias("jaccard_percent"))
 
 
+def _rarest_first(s: Column) -> Column:
+    """Characters of a text, letters that are rare in names first, each with the number of equal ones before it in that order."""
+    letters = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))
+    ordered = F.array_sort(F.transform(letters, lambda c: F.struct(F.instr(F.lit(RARE_FIRST), F.lower(c)).alias("rank"), c.alias("c"))))
+    return F.transform(ordered, lambda x, i: F.concat_ws(":", x["c"], i - F.array_position(ordered, x)))
+
+
+def _meeting(df: DataFrame, text: str, n: str, other: str, least: float) -> DataFrame:
+    """df with a row for each length (other) that a partner may have and each character (gram) of which one must be in both texts."""
+    near = least / (2 - least)
+    out = df.withColumn(n, F.length(text)).withColumn("grams", F.when(F.col(n) > 0, _rarest_first(F.col(text))).otherwise(F.array(F.lit(""))))
+    out = out.withColumn(other, F.explode(F.sequence(F.floor(F.col(n) * near).cast("int"), F.ceil(F.col(n) / near).cast("int"))))
+    common = F.greatest(F.lit(1), F.ceil((F.col(n) + F.col(other)) * (least / 2) - 1e-6).cast("int"))
+    out = out.withColumn("few", F.greatest(F.col(n), F.lit(1)) - common + 1).where("few > 0")
+    return out.withColumn("gram", F.explode(F.slice("grams", 1, F.col("few")))).drop("grams", "few")
+
+
 def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = FUZZY) -> DataFrame:
     """Values of a, not in b, for which b has an unmatched value more alike than least, each once.
 
-    A likeness over least bounds both lengths and the edit distance, so values meet by length, the JVM drops pairs that are
-    too far apart by an early-ending edit distance, and only the rest is compared by common subsequence.
+    A likeness over least bounds both lengths and sets how many characters two texts have in common at least, repeats counted;
+    so of each text's characters, in one fixed order, a few of the first are enough for one of them to be in both. Values meet
+    by lengths and such a character, the JVM drops pairs that are too far apart by an early-ending edit distance, and only the
+    rest is compared by common subsequence. Lengths with many values are split by the join itself.
     """
     left, right = a.join(b, "value", "left_anti"), b.join(a, "value", "left_anti")
     tokens = lambda c: F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda t: t != "")), " ")
-    left = left.select("value", tokens(F.col("value")).alias("s")).withColumn("n", F.length("s"))
-    right = right.select(F.col("value").alias("other"), tokens(F.col("value")).alias("t")).withColumn("m", F.length("t"))
-    near = least / (2 - least)
-    left = left.select("value", "s", F.explode(F.sequence(F.floor(F.col("n") * near).cast("int"), F.ceil(F.col("n") / near).cast("int"))).alias("m"))
-    most = ((1 - least) * (F.length("s") + F.col("m"))).cast("int")
+    left = _meeting(left.select("value", tokens(F.col("value")).alias("s")), "s", "n", "m", least)
+    right = _meeting(right.select(F.col("value").alias("other"), tokens(F.col("value")).alias("t")), "t", "m", "n", least)
+    most = ((1 - least) * (F.col("n") + F.col("m"))).cast("int")
     # Half the edits suffice where letters are exchanged, so the edit distance never exceeds this bound.
-    close = left.join(right, "m").where(F.levenshtein("s", "t") <= most)
+    close = left.join(right, ["n", "m", "gram"]).where(F.levenshtein("s", "t") <= most)
     return close.where(token_ratio_udf("value", "other") > least).select("value").distinct()

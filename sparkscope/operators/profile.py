@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import normalized
+from .medians import medians
 
 TOP, SAMPLES = 20, 5
 MOSTLY_UNIQUE, FOREIGN_KEY, LEAST_CARDINALITY = 0.95, 0.70, 10
@@ -89,8 +90,13 @@ def uniqueness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def numeric_stats(df: DataFrame, columns: list[str], exact_median: bool = False) -> DataFrame:
     """(column, min, max, mean, median, std): the median by a sketch unless exact, std of the sample."""
     d = lambda c: F.col(f"`{c}`").cast("double")
-    median = (lambda c: F.median(d(c))) if exact_median else (lambda c: F.percentile_approx(d(c), 0.5, 10_000))
-    return per_column(df, columns, min=lambda c: F.min(d(c)), max=lambda c: F.max(d(c)), mean=lambda c: F.avg(d(c)), median=median, std=lambda c: F.stddev_samp(d(c)))
+    measures = {"min": lambda c: F.min(d(c)), "max": lambda c: F.max(d(c)), "mean": lambda c: F.avg(d(c)), "std": lambda c: F.stddev_samp(d(c))}
+    if exact_median:
+        values = df.select(F.inline(F.array(*[_pair(c, d(c)) for c in columns])))
+        found = per_column(df, columns, **measures).join(medians(values, ["column"], F.col("value")), "column", "left")
+    else:
+        found = per_column(df, columns, **measures, median=lambda c: F.percentile_approx(d(c), 0.5, 10_000))
+    return found.select("column", "min", "max", "mean", "median", "std")
 
 
 def text_lengths(df: DataFrame, columns: list[str]) -> DataFrame:

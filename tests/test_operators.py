@@ -114,3 +114,56 @@ def test_stream_profile_equals_the_batch_one(spark, sf_dir, tmp_path):
     want = I.windowed_profile(events, "ts", "event_type", "value", "1 day")
     text = lambda df: sorted(map(tuple, df.withColumns({c: F.col(c).cast("string") for c in ("window_start", "window_end")}).collect()))
     assert text(spark.table("profiles")) == text(want)
+
+
+def test_medians_of_groups_with_nulls_ties_and_many_ranges(spark):
+    import math
+    import random
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from sparkscope.operators.medians import medians
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, rng.gauss(0, 9), float(rng.randrange(5))])) for _ in range(900)]
+    rows += [("hot", float(rng.randrange(3))) for _ in range(500)] + [("none", None), ("one", 4.0), ("two", 1.0), ("two", 2.0), ("nan", math.nan)]
+    df = spark.createDataFrame(rows, "v string, n double").repartition(7)
+    want = {}
+    for k, x in rows:
+        want.setdefault(k, []).extend([] if x is None else [x])
+    want = {k: statistics.median(x) if x else None for k, x in want.items()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r["v"]: r["median"] for r in medians(df, ["v"], F.col("n")).collect()}
+        whole = medians(df.where("v = 'a'"), [], F.col("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert math.isnan(found.pop("nan")) and math.isnan(want.pop("nan"))
+    assert found == want
+    assert [r["median"] for r in whole] == [want["a"]]
+    assert medians(df.limit(0), ["v"], F.col("n")).collect() == []
+
+
+def test_fuzzy_matches_are_those_of_all_pairs(spark):
+    import random
+
+    from sparkscope.functions.names import token_ratio
+    from sparkscope.operators.overlap import FUZZY, fuzzy_matches
+
+    rng = random.Random(3)
+    base = ["Anna Maria Lopez", "CUST-001", "C", "  ", "Müller GmbH", "aaaaaaaaaa", "x y z"] + ["".join(rng.choice("abcde 19") for _ in range(rng.randrange(1, 25))) for _ in range(60)]
+
+    def bent(s):
+        out = list(s)
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(out) + 1)
+            out[at : at + rng.randrange(2)] = rng.choice(["", "q", "a", " "])
+        return "".join(out)
+
+    left, right = sorted(set(base)), sorted({bent(s) for s in base for _ in range(3)})
+    mine, theirs = set(left) - set(right), set(right) - set(left)
+    want = {a for a in mine if any(token_ratio(a, b) > FUZZY for b in theirs)}
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "value string")
+    found = [r["value"] for r in fuzzy_matches(frame(left), frame(right)).collect()]
+    assert len(want) > 20 and sorted(found) == sorted(want)
