@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .clusters import OP11_SQL, op11
 from .decontaminate import OP3_SQL, op3
 from .embedding_dedup import OP7_SQL, op7
 from .html_extract import op5
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_warc": op8,
     "op9_simhash_near_dedup": op9,
     "op10_token_files": op10,
+    "op11_centroid_clusters": op11,
 }
 
 ORACLE_SQL = {
     "op3_benchmark_decontamination": OP3_SQL,
     "op7_embedding_near_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op11_centroid_clusters": OP11_SQL,
 }
