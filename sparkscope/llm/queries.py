@@ -6,6 +6,7 @@ from .clusters import OP11_SQL, op11
 from .decontaminate import OP3_SQL, op3
 from .embedding_dedup import OP7_SQL, op7
 from .html_extract import op5
+from .line_dedup import OP12_SQL, op12
 from .packing import op2
 from .quality import op6
 from .simhash import op9
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_simhash_near_dedup": op9,
     "op10_token_files": op10,
     "op11_centroid_clusters": op11,
+    "op12_line_dedup": op12,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op7_embedding_near_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op11_centroid_clusters": OP11_SQL,
+    "op12_line_dedup": OP12_SQL,
 }
