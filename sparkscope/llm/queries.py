@@ -9,6 +9,7 @@ from .html_extract import op5
 from .line_dedup import OP12_SQL, op12
 from .packing import op2
 from .quality import op6
+from .search import OP13_SQL, op13
 from .simhash import op9
 from .token_counts import op4
 from .token_files import op10
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_token_files": op10,
     "op11_centroid_clusters": op11,
     "op12_line_dedup": op12,
+    "op13_ranked_search": op13,
 }
 
 ORACLE_SQL = {
@@ -36,4 +38,5 @@ ORACLE_SQL = {
     "op8_warc": OP8_SQL,
     "op11_centroid_clusters": OP11_SQL,
     "op12_line_dedup": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
