@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import normalized
+from ..functions.typed import as_text, whole_number
 from .medians import medians
 
 TOP, SAMPLES = 20, 5
@@ -36,16 +37,6 @@ def generic_type(t: T.DataType) -> str:
     return "BOOLEAN" if isinstance(t, T.BooleanType) else "UNKNOWN"
 
 
-def as_text(df: DataFrame, c: str) -> Column:
-    """A column's values as text; numbers go through double, so that 1 and 1.0 meet."""
-    q = F.col(f"`{c}`")
-    return _number_text(q.cast("double")) if isinstance(df.schema[c].dataType, T.NumericType) else q.cast("string")
-
-
-def _number_text(d: Column) -> Column:
-    return F.when(d == F.floor(d), F.floor(d).cast("string")).otherwise(d.cast("string"))
-
-
 def scalar_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
 
@@ -120,17 +111,29 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP) ->
 def sequential(df: DataFrame, columns: list[str], share: float = 0.95) -> DataFrame:
     """(column, steps, unit_steps, is_sequential): steps between the sorted values, duplicates included, and those of exactly one.
 
-    For whole numbers a unit step ends at every distinct value whose predecessor is there, so no global sort is needed;
-    columns with other values aren't sequential.
+    For whole numbers a unit step ends at every distinct value whose predecessor is there, so no global sort is needed; numbers
+    of any size are exact. Columns with other values, or whole numbers beyond 38 digits, aren't sequential.
     """
-    values = df.select(F.inline(F.array(*[_pair(c, F.col(f"`{c}`").cast("double")) for c in columns]))).where("value is not null")
+    of = {c: whole_number(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns}
+    if all(isinstance(df.schema[c].dataType, T.IntegralType) for c in columns):
+        of = {c: F.col(f"`{c}`").cast("long") for c in columns}
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), of[c].alias("value"), F.col(f"`{c}`").isNotNull().alias("some")) for c in columns]))).where("some")
     f = values.groupBy("column", "value").agg(F.count("*").alias("n"))
-    after = f.select("column", (F.col("value") + 1).alias("value"), F.lit(1).alias("unit"))
-    stats = f.join(after, ["column", "value"], "left").groupBy("column").agg(F.sum("n").alias("rows"), F.count("unit").alias("unit_steps"), F.bool_and(F.col("value") == F.floor("value")).alias("whole"))
+    after = f.select("column", F.try_add(F.col("value"), F.lit(1).cast(f.schema["value"].dataType)).cast(f.schema["value"].dataType).alias("value"), F.lit(1).alias("unit")).where("value is not null")
+    stats = f.join(after, ["column", "value"], "left").groupBy("column").agg(F.sum("n").alias("rows"), F.count("unit").alias("unit_steps"), F.bool_and(F.col("value").isNotNull()).alias("whole"))
     steps = F.col("rows") - 1
     return stats.select("column", steps.alias("steps"), "unit_steps", (F.col("whole") & (steps > 0) & (F.col("unit_steps") > share * steps)).alias("is_sequential"))
 
 
+def surely_sequential(rows: int, unique: int, low: int, high: int, share: float = 0.95) -> bool | None:
+    """What the counts and the ends of a column of whole numbers tell of its unit steps; None if only the values can."""
+    steps, missing = rows - 1, high - low + 1 - unique
+    if steps <= 0 or unique - 1 - (missing > 0) <= share * steps:
+        return False
+    # Each missing number ends one run of numbers at most.
+    return True if unique - 1 - missing > share * steps else None
+
+
 def case_pattern(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, case_pattern): UPPER, LOWER, TITLE or MIXED, if every value has it."""
     v = lambda c: F.col(f"`{c}`")
@@ -228,58 +231,68 @@ def id_like(df: DataFrame, columns: list[str], share: float = 0.8) -> DataFrame:
     return made.join(F.broadcast(sequential(df, whole).select("column", "is_sequential")), "column", "left").select("column", (F.col("looks_like_id") | F.coalesce("is_sequential", F.lit(False))).alias("looks_like_id"))
 
 
-def distinct_values(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, column, value, n, follows) of the distinct values of all columns of all tables, nulls too, as text; n rows have it.
+def distinct_values(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """(table, column, value, n) of the distinct values of the columns of all tables, nulls too, as exact text; n rows have it.
 
-    One scan a table, one shuffle for all, pre-aggregated. A number also stands in the shuffle under its successor, so follows tells
-    whether the number before it is there.
+    One scan a table, one shuffle for all, pre-aggregated. Tables without columns have no rows.
     """
-    parts = []
-    for t, df in tables.items():
-        row = lambda c, v, own: F.struct(F.lit(t).alias("table"), F.lit(c).alias("column"), v.alias("value"), F.lit(own).alias("own"))  # noqa: B023, E731
-        cols = scalar_columns(df)
-        later = [row(c, _number_text(F.col(f"`{c}`").cast("double") + 1), 0) for c in cols if generic_type(df.schema[c].dataType) == "NUMERIC"]
-        parts.append(df.select(F.inline(F.array(*[row(c, as_text(df, c), 1) for c in cols], *later))).where("own = 1 or value is not null"))
-    rows = reduce(DataFrame.unionByName, parts).groupBy("table", "column", "value").agg(F.sum(F.col("own").cast("long")).alias("n"), F.bool_or(F.col("own") == 0).alias("follows"))
-    return rows.where("n > 0")
+    row = lambda t, df, c: F.struct(F.lit(t).alias("table"), F.lit(c).alias("column"), as_text(df, c).alias("value"))
+    wanted = {t: scalar_columns(df) if columns is None else columns.get(t, []) for t, df in tables.items()}
+    parts = [df.select(F.inline(F.array(*[row(t, df, c) for c in wanted[t]]))) for t, df in tables.items() if wanted[t]]
+    return reduce(DataFrame.unionByName, parts).groupBy("table", "column", "value").agg(F.count("*").alias("n"))
+
+
+def data_type_of(kind: str, some: int, whole: bool, numbers: int, dates: bool) -> str:
+    """int, float, boolean, datetime, string, mixed or unknown, by a column's generic type and what its values are."""
+    if not some:
+        return "unknown"
+    if kind == "NUMERIC":
+        return "int" if whole else "float"
+    if kind == "STRING":
+        return "datetime" if dates else ("int" if whole else "float") if numbers > 0.9 * some else "string"
+    return {"DATETIME": "datetime", "BOOLEAN": "boolean"}.get(kind, "mixed")
 
 
 def profiles_from(tables: dict[str, DataFrame], values: DataFrame) -> DataFrame:
-    """Column profiles of tables by their distinct_values and one more scan of the numbers, for means and medians. A row a column: metadata, made on the driver."""
+    """Column profiles of tables by their distinct_values and one more scan of the numbers, for ends, means and medians. A row a column: metadata, made on the driver.
+
+    Whether whole numbers stand in a row follows from their ends and counts for nearly all columns; the others are counted.
+    """
     spark, v, n = values.sparkSession, F.col("value"), F.col("n")
     known, number = v.isNotNull(), v.try_cast("double")
     counts = values.groupBy("table", "column").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(known, n).otherwise(0)).alias("non_null"), F.count("value").alias("unique"), F.sum(F.when(v == "", n).otherwise(0)).alias("empty"), F.count_if(known & F.col("follows")).alias("units"),
+        F.sum("n").alias("rows"), F.sum(F.when(known, n).otherwise(0)).alias("non_null"), F.count("value").alias("unique"), F.sum(F.when(v == "", n).otherwise(0)).alias("empty"),
         F.sum(F.when(number.isNotNull(), n).otherwise(0)).alias("numbers"), F.bool_and(~known | (number == F.floor(number))).alias("whole"), F.bool_and(~known | (v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & v.try_cast("timestamp").isNotNull())).alias("dates"),
     )
     found = {(r["table"], r["column"]): r for r in counts.collect()}
-    moments = []
+    moments, in_a_row = [], {}
     for t, df in tables.items():
         cols = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
         d = lambda c: F.col(f"`{c}`").cast("double")
+        w = lambda c: whole_number(F.col(f"`{c}`"), df.schema[c].dataType)  # noqa: B023, E731
         if cols:
-            of = per_column(df, cols, min=lambda c: F.min(d(c)), max=lambda c: F.max(d(c)), mean=lambda c: F.avg(d(c)), median=lambda c: F.percentile_approx(d(c), 0.5, 10_000), std=lambda c: F.stddev_samp(d(c)))
+            of = per_column(
+                df, cols, min=lambda c: F.min(d(c)), max=lambda c: F.max(d(c)), mean=lambda c: F.avg(d(c)), median=lambda c: F.percentile_approx(d(c), 0.5, 10_000), std=lambda c: F.stddev_samp(d(c)),
+                low=lambda c: F.min(w(c)), high=lambda c: F.max(w(c)), whole=lambda c: F.bool_and(F.col(f"`{c}`").isNull() | w(c).isNotNull()),
+            )
             moments.append(of.select(F.lit(t).alias("table"), "*"))
     stats = {(r["table"], r["column"]): r for r in reduce(DataFrame.unionByName, moments).collect()} if moments else {}
+    for t, df in tables.items():
+        for c in (c for s, c in stats if s == t):
+            r, m = found.get((t, c)), stats[t, c]
+            in_a_row[t, c] = bool(r and r["non_null"] and m["whole"]) and surely_sequential(r["non_null"], r["unique"], int(m["low"]), int(m["high"]))
+        if unsure := [c for (s, c), x in in_a_row.items() if s == t and x is None]:
+            in_a_row |= {(t, r["column"]): r["is_sequential"] for r in sequential(df, unsure).collect()}
     rows = []
     for t, df in tables.items():
         for i, c in enumerate(scalar_columns(df)):
             r, m, kind = found.get((t, c)), stats.get((t, c)), generic_type(df.schema[c].dataType)
             total, some, unique = (r["rows"], r["non_null"], r["unique"]) if r else (0, 0, 0)
-            if not some:
-                data_type = "unknown"
-            elif kind == "NUMERIC":
-                data_type = "int" if r["whole"] else "float"
-            elif kind == "STRING":
-                numbers = r["numbers"] > 0.9 * some
-                data_type = "datetime" if r["dates"] else "int" if numbers and r["whole"] else "float" if numbers else "string"
-            else:
-                data_type = {"DATETIME": "datetime", "BOOLEAN": "boolean"}.get(kind, "mixed")
+            data_type = data_type_of(kind, some, bool(r and r["whole"]), r["numbers"] if r else 0, bool(r and r["dates"]))
             percent = lambda x, y: round(x * 100.0 / y, 4) if y else 0.0
-            sequential_ = bool(r and r["whole"] and some > 1 and r["units"] > 0.95 * (some - 1)) if kind == "NUMERIC" else None
             rows.append((
                 t, i, normalized(c), c, total, total - some, percent(total - some, total), r["empty"] if r and kind == "STRING" else 0, some, unique, percent(unique, some), some - unique, round(unique / total, 4) if total else 0.0, data_type,
-                *([m[k] for k in ("min", "max", "mean", "median", "std")] if m else [None] * 5), sequential_,
+                *([m[k] for k in ("min", "max", "mean", "median", "std")] if m else [None] * 5), in_a_row.get((t, c)),
             ))
     schema = "table string, ordinal int, normalized_name string, column string, row_count long, null_count long, null_percent double, empty_count long, non_null long, unique_count long, unique_percent double, duplicate_count long, cardinality double, data_type string, min double, max double, mean double, median double, std double, is_sequential boolean"
     return key_flags(spark.createDataFrame(rows, schema))

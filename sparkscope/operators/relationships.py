@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import token_ratio, variations
-from ..sources.shared import written
+from ..functions.typed import as_text
+from ..sources.shared import discard, written
 from .overlap import fuzzy_matches, overlap, pair_overlaps
-from .profile import as_text, distinct_values, profiles_from, scalar_columns
+from .profile import data_type_of, distinct_values, profiles_from, scalar_columns
+from .sketches import can_reach, column_facts, estimated
 
 HIGH, MEDIUM, LOW = 80, 60, 40
 HALF, SURE = 50, 60
 MOST_NULLS = MOST_ORPHANS = 5.0
 FORMAT_NAMES, SEMANTIC_NAMES = 0.7, 0.6
+RELATIONSHIP = "relationship_id string, source_table string, source_column string, target_table string, target_column string, relationship_type string, confidence_level string, confidence_score long, detection_method string, overlap_percent double, exact_matches long, orphans_in_source long, orphans_in_target long, cardinality string, warnings array<string>, requires_validation boolean, transformation string"
 # Prefixes of codes that one side of a pair may lack.
 PREFIXES = ["CUST-", "PROD-", "ORD-", "INV-"]
 # Business entities by parts of table names, in this order.
@@ -74,10 +79,21 @@ def candidates(profiles: DataFrame, overlaps: DataFrame, names: DataFrame, valid
     return out if validator is None else out.where(~F.col("requires_validation")).unionByName(validator(out.where("requires_validation")))
 
 
+def _unprefixed(value: Column, prefix: str) -> Column:
+    return F.when(value.startswith(prefix), F.substring(value, len(prefix) + 1, 1 << 30)).otherwise(value)
+
+
 def _changes(value: Column) -> dict[str, tuple[str, Column]]:
     """Changes of format by a key: (transformation, the value after it)."""
-    stripped = {f"PREFIX_MISMATCH{i}": (f"STRIP_PREFIX('{p}')", F.regexp_replace(value, f"^{p}", "")) for i, p in enumerate(PREFIXES)}
-    return {"CASE_MISMATCH": ("LOWER() or UPPER()", F.lower(value)), **stripped, "PARTIAL_MATCH": ("SUBSTRING or EXTRACT", F.regexp_extract(value, r"([^-_/ ]+)$", 1))}
+    stripped = {f"PREFIX_MISMATCH{i}": (f"STRIP_PREFIX('{p}')", _unprefixed(value, p)) for i, p in enumerate(PREFIXES)}
+    last = F.substring_index(F.translate(value, "-_/", "   "), " ", -1)
+    return {"CASE_MISMATCH": ("LOWER() or UPPER()", F.lower(value)), **stripped, "PARTIAL_MATCH": ("SUBSTRING or EXTRACT", last)}
+
+
+def _forms(value: Column, t: T.DataType) -> list[Column]:
+    """The changed values that a sketch is kept of. Texts of whole numbers, dates and times have neither letters nor prefixes."""
+    made = [F.when(v != "", v) for _, v in _changes(value).values()]
+    return [*[value] * (len(made) - 1), made[-1]] if isinstance(t, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)) else made
 
 
 def format_pairs(values: DataFrame, overlaps: DataFrame, names: DataFrame) -> DataFrame:
@@ -102,27 +118,86 @@ def format_pairs(values: DataFrame, overlaps: DataFrame, names: DataFrame) -> Da
     return first.withColumns({"kind": F.element_at(kinds, F.col("i") + 1), "transformation": F.element_at(texts, F.col("i") + 1)}).drop("i")
 
 
+def _named(pairs: list[tuple]) -> DataFrame:
+    return SparkSession.getActiveSession().createDataFrame(pairs, "table1 string, column1 string, table2 string, column2 string, equal boolean, variant boolean, similarity double")
+
+
+@dataclass
+class Survivors:
+    """What a first scan leaves: pairs of columns whose values must be counted, pairs whose formats must be changed, and what is known of the columns."""
+
+    counted: list[tuple]
+    changed: list[tuple]
+    facts: dict[tuple[str, str], dict]
+
+    @property
+    def columns(self) -> dict[str, list[str]]:
+        found: dict[str, list[str]] = {}
+        for t, c in sorted({(p[k], p[k + 1]) for p in (*self.counted, *self.changed) for k in (0, 2)}):
+            found.setdefault(t, []).append(c)
+        return found
+
+
+def survivors(tables: dict[str, DataFrame], pairs: list[tuple], least: float = LOW) -> Survivors:
+    """The pairs of name_pairs that values must decide, by one scan of their columns and without a shuffle of values.
+
+    A pair of one type goes on if the ends of both columns meet and their sketches don't rule out an overlap of `least` percent. A pair
+    of similar names goes on to changes of format if some change doesn't rule out MEDIUM; whole numbers without a minus sign
+    are the same after every change. What is dropped can't meet a rule.
+    """
+    ends = lambda of: {(p[k], p[k + 1]) for p in of for k in (0, 2)}
+    columns: dict[str, list[str]] = {}
+    for t, c in sorted(ends(pairs)):
+        columns.setdefault(t, []).append(c)
+    if not columns:
+        return Survivors([], [], {})
+    made = written(column_facts(tables, columns, _forms, ends(p for p in pairs if p[6] >= FORMAT_NAMES)), "facts")
+    facts = {(r["table"], r["column"]): r.asDict() for r in made.drop("sketch", "forms").collect()}
+    for f in facts.values():
+        f["data_type"] = data_type_of(f["kind"], f["non_null"], f["whole"], f["numbers"], f["dates"])
+        f["nulls"] = round((f["rows"] - f["non_null"]) * 100.0 / f["rows"], 4) if f["rows"] else 0.0
+    estimates: dict[tuple, dict[int, tuple]] = {}
+    for r in estimated(made, _named(pairs).select("table1", "column1", "table2", "column2")).collect():  # a row a pair of columns and form
+        estimates.setdefault(tuple(r)[:4], {})[r["form"]] = (r["n1"], r["n2"], r["shared"])
+    discard(made)
+    counted, changed = [], []
+    for p in pairs:
+        a, b = facts.get(p[:2]), facts.get(p[2:4])
+        if not (a and b and a["non_null"] and b["non_null"]):
+            continue
+        meet = a["low"] <= b["high"] and b["low"] <= a["high"]
+        by_form = estimates[p[:4]]
+        if a["data_type"] == b["data_type"] and meet and can_reach(least, *by_form[0]):
+            counted.append(p)
+        plain = all(x["kind"] == "NUMERIC" and x["data_type"] == "int" and not x["negative"] for x in (a, b))
+        if p[6] >= FORMAT_NAMES and not plain and any(can_reach(MEDIUM, *e) for i, e in by_form.items() if i):
+            changed.append(p)
+    return Survivors(counted, changed, facts)
+
+
 def discover(tables: dict[str, DataFrame], validator: Callable[[DataFrame], DataFrame] | None = None, overlap_validator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Relationships of all tables, best first, with ids in that order.
 
     Rules in order: equal names, variations, changes of format, high overlap of unlike names, similar names. The fourth needs
     overlap_validator: it gets pairs of one type with at least half of the values in common and returns those it confirms with
-    confidence (0 to 100). All distinct values are written once, for the profiles and the overlaps; pairs are counted only of columns
-    whose names can meet a rule.
+    confidence (0 to 100). One scan with sketches drops the pairs of columns that can't meet a rule; only the distinct values of the other
+    columns are shuffled and counted, exactly.
     """
     spark = next(iter(tables.values())).sparkSession
-    cols = {t: scalar_columns(df) for t, df in tables.items()}
-    pairs = name_pairs(cols)
+    pairs = name_pairs({t: scalar_columns(df) for t, df in tables.items()})
     if overlap_validator is None:
         pairs = [p for p in pairs if p[4] or p[5] or p[6] >= SEMANTIC_NAMES]
-    names = spark.createDataFrame(pairs, "table1 string, column1 string, table2 string, column2 string, equal boolean, variant boolean, similarity double")
-    ends = sorted({(p[k], p[k + 1]) for p in pairs for k in (0, 2)})
-    values = written(distinct_values(tables), "values")
-    profiles = profiles_from(tables, values)
-    used = spark.createDataFrame(ends, "table string, column string")
-    known = values.where("value is not null").join(F.broadcast(used), ["table", "column"], "left_semi").select("table", "column", "value", "n")
+    left = survivors(tables, pairs)
+    if not left.columns:
+        return spark.createDataFrame([], RELATIONSHIP)
+    names = _named(pairs)
+    known = written(distinct_values(tables, left.columns).where("value is not null"), "values")
+    sizes = {(r["table"], r["column"]): r["unique"] for r in known.groupBy("table", "column").agg(F.count("*").alias("unique")).collect()}
+    rows = [(t, c, f["data_type"], round(sizes[t, c] * 100.0 / f["non_null"], 4) >= 99.9, f["nulls"]) for (t, c), f in left.facts.items() if (t, c) in sizes]
+    profiles = spark.createDataFrame(rows, "table string, column string, data_type string, is_unique boolean, null_percent double")
     overlaps = written(pair_overlaps(known), "overlaps")
-    changed = format_pairs(known, overlaps, names)
+    changing = _named(left.changed)
+    changed = format_pairs(known, overlaps, changing)
     on = [F.col("source_table") == F.col("table1"), F.col("source_column") == F.col("column1"), F.col("target_table") == F.col("table2"), F.col("target_column") == F.col("column2")]
     named = candidates(profiles, overlaps, names, None).withColumn("transformation", F.lit(None).cast("string"))
     sure = named.where(~F.col("requires_validation"))

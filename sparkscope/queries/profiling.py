@@ -118,6 +118,19 @@ def id_like_columns(spark, d):
     return P.id_like(table(spark, d, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 
 
+def _wide_keys(spark, d):
+    """Orders with keys beyond 2**53 as bigint, as decimal(38,0), and far beyond any long."""
+    key = F.col("o_orderkey")
+    return table(spark, d, "orders").select((key + F.lit(1 << 60)).alias("big"), (key + F.lit(1 << 60)).cast("decimal(38,0)").alias("same"), (key.cast("decimal(38,0)") + F.lit("123456789012345678901234567890").cast("decimal(38,0)")).cast("decimal(38,0)").alias("huge"))
+
+
+def profile_wide_keys(spark, d):
+    """Exact counts, key flags and sequences of numbers that doubles can't tell apart."""
+    df = _wide_keys(spark, d)
+    p = P.column_profiles(df, "wide").select("column", "row_count", "unique_count", "unique_percent", "is_unique", "primary_key_candidate", "is_sequential")
+    return p.join(P.top_values(df, k=1).select("column", F.col("value").alias("least_value")), "column")
+
+
 _ORDERS_NULLS = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS o_orderstatus FROM orders"
 
 
@@ -133,11 +146,20 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_limit_ordered, row_counts, schema_types, profile_nulls, profile_uniqueness, profile_numeric_stats, profile_string_lengths, profile_date_range, profile_topk_values, profile_sequential, profile_case_pattern, profile_prefix, profile_shape,
-        profile_date_format, profile_key_flags, type_inference, composite_keys, cross_table_columns, duplicate_rows, data_quality_status, test_slices, json_props_profile, id_like_columns,
+        profile_date_format, profile_key_flags, type_inference, composite_keys, cross_table_columns, duplicate_rows, data_quality_status, test_slices, json_props_profile, id_like_columns, profile_wide_keys,
     )
 }
 
+_WIDE = {"big": "(o_orderkey + 1152921504606846976)", "same": "(o_orderkey + 1152921504606846976)", "huge": "(o_orderkey + 123456789012345678901234567890)"}
+_WIDE_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS row_count, count(DISTINCT v) AS unique_count, round(count(DISTINCT v) * 100.0 / count(*), 4) AS unique_percent, count(DISTINCT v) * 100.0 / count(*) >= 99.9 AS is_unique, count(DISTINCT v) * 100.0 / count(*) >= 99.9 AND count(DISTINCT v) >= 10 AS primary_key_candidate,
+    (SELECT count(*) FILTER (v - p = 1) FROM (SELECT v, lag(v) OVER (ORDER BY v) AS p FROM (SELECT DISTINCT {x} AS v FROM orders))) > 0.95 * (count(*) - 1) AS is_sequential,
+    (SELECT s FROM (SELECT CAST({x} AS VARCHAR) AS s, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, s LIMIT 1)) AS least_value FROM (SELECT {x} AS v FROM orders)"""
+    for c, x in _WIDE.items()
+)
+
 ORACLE_SQL = {
+    "profile_wide_keys": _WIDE_SQL,
     "scan_limit_ordered": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100",
     "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in STAR),
     "schema_types": "SELECT 'customer' AS \"table\", row_number() OVER () - 1 AS ordinal, column_name AS \"column\", CASE WHEN regexp_matches(column_type, 'INT|DOUBLE|FLOAT|DECIMAL') THEN 'NUMERIC' WHEN column_type = 'VARCHAR' THEN 'STRING' WHEN regexp_matches(column_type, 'DATE|TIMESTAMP') THEN 'DATETIME' WHEN column_type = 'BOOLEAN' THEN 'BOOLEAN' ELSE 'UNKNOWN' END AS generic_type FROM (DESCRIBE customer)",

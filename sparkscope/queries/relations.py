@@ -23,6 +23,14 @@ def overlap_all_pairs(spark, d):
     return O.pair_overlaps(O.values_of(star(spark, d, [*KEYS]), KEYS))
 
 
+def overlap_wide_keys(spark, d):
+    """All pairs of key columns beyond 2**53: a bigint, a decimal that is one less for every third key, and a double of small keys beside its bigint."""
+    big = F.lit(1 << 60)
+    o = table(spark, d, "orders").select((F.col("o_orderkey") + big).alias("big"), F.col("o_custkey").cast("double").alias("small"))
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") + big - (F.col("l_orderkey") % 3 == 0).cast("long")).cast("decimal(38,0)").alias("huge"), F.col("l_suppkey").alias("plain"))
+    return O.pair_overlaps(O.values_of({"a": o, "b": li}))
+
+
 def orphans(spark, d):
     """Customers without a finished order that is urgent: keys that only one side has."""
     urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F' and o_custkey % 3 = 0")
@@ -119,7 +127,7 @@ def _entity_sql() -> str:
 FROM ({cols} UNION ALL SELECT * FROM (VALUES ('misc', ['row_id', 'start_date', 'amount']), ('other', ['row_id']), ('none', ['x'])) UNION ALL SELECT lower(n_name) || ['_payment', '_claim', '_branch'][n_nationkey % 3 + 1], [] FROM nation)"""
 
 
-QUERIES = {f.__name__: f for f in (overlap_pair, overlap_all_pairs, orphans, jaccard_content, fuzzy_overlap, rel_rules, rel_warnings, relationship_report, relationship_levels, rel_format, entity_typing, name_functions, dup_columns_measures, dup_columns_groups)}
+QUERIES = {f.__name__: f for f in (overlap_pair, overlap_all_pairs, overlap_wide_keys, orphans, jaccard_content, fuzzy_overlap, rel_rules, rel_warnings, relationship_report, relationship_levels, rel_format, entity_typing, name_functions, dup_columns_measures, dup_columns_groups)}
 
 _COPIES = "SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS c2, c_acctbal, c_acctbal * 1.0005 AS near, c_acctbal * 1.01 AS far FROM customer"
 _TOLERANT = "round(avg(CASE WHEN abs(c_acctbal - {x}) < 0.001 * greatest(abs(c_acctbal), abs({x}), 1.0) THEN 1.0 ELSE 0.0 END), 6)"
@@ -127,6 +135,10 @@ _TOLERANT = "round(avg(CASE WHEN abs(c_acctbal - {x}) < 0.001 * greatest(abs(c_a
 ORACLE_SQL = {
     "overlap_pair": "WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_custkey IS NOT NULL), b AS (SELECT DISTINCT c_custkey AS v FROM customer), j AS (SELECT a.v AS x, b.v AS y FROM a FULL JOIN b ON a.v = b.v) SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS exact_matches, count(*) FILTER (y IS NULL) AS orphans1, count(*) FILTER (x IS NULL) AS orphans2, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) * 100.0 / least(count(x), count(y)), 4) AS overlap_percent, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) * 100.0 / count(*), 4) AS jaccard_percent FROM j",
     "overlap_all_pairs": _pairs_sql(),
+    "overlap_wide_keys": """WITH v AS (SELECT DISTINCT 'a' AS t, 'big' AS c, CAST(o_orderkey + 1152921504606846976 AS HUGEINT) AS v FROM orders UNION SELECT 'a', 'small', o_custkey FROM orders UNION SELECT 'b', 'huge', l_orderkey + 1152921504606846976 - (l_orderkey % 3 = 0)::INT FROM lineitem UNION SELECT 'b', 'plain', l_suppkey FROM lineitem),
+n AS (SELECT t, c, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL)
+SELECT 'a' AS table1, a.c AS column1, 'b' AS table2, b.c AS column2, count(*) AS exact_matches, any_value(x.n) AS cardinality1, any_value(y.n) AS cardinality2, round(count(*) * 100.0 / least(any_value(x.n), any_value(y.n)), 4) AS overlap_percent, any_value(x.n) - count(*) AS orphans1, any_value(y.n) - count(*) AS orphans2
+FROM v a JOIN v b ON a.v = b.v AND a.t < b.t JOIN n x ON x.t = a.t AND x.c = a.c JOIN n y ON y.t = b.t AND y.c = b.c GROUP BY a.c, b.c""",
     "orphans": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_custkey % 3 = 0)",
     "jaccard_content": "WITH a AS (SELECT DISTINCT o_orderstatus AS v FROM orders), b AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 'F' ELSE 'Z' END AS v FROM orders) SELECT round((SELECT count(*) FROM a JOIN b USING (v)) * 1.0 / (SELECT count(*) FROM (SELECT v FROM a UNION SELECT v FROM b)), 6) AS jaccard",
     "rel_format": "SELECT * FROM (VALUES ('case', 'CASE_MISMATCH', 'LOWER() or UPPER()', 100.0::DOUBLE), ('prefix', 'PREFIX_MISMATCH', 'STRIP_PREFIX(''CUST-'')', 100.0), ('partial', 'PARTIAL_MATCH', 'SUBSTRING or EXTRACT', 100.0)) v(pair, kind, transformation, overlap_percent)",

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_run = uuid.uuid4().hex[:12]
+_roots: set[str] = set()
+#: Where the rows of a frame made by written() lie.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,8 +29,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _own
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file system, whatever the store."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has ended, or the store is gone: nothing is lost
+        return
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written once: all that reads it sees the same rows, also after lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
+    """df, written once: all that reads it sees the same rows, also after lost executors. It goes by discard, or when the process ends."""
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/{_run}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(deleted, spark, root)
+    path = f"{root}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the rows of a frame that written() made and that nothing will read again."""
+    if path := _paths.pop(df, None):
+        deleted(df.sparkSession, path)
