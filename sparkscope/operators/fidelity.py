@@ -28,10 +28,12 @@ def measured_text(df: DataFrame, dims: list[str], text: str, name: str = "truth_
 
 
 def in_context(df: DataFrame, dims: list[str], kept: list[str], measure: Column, name: str = "candidate_value") -> DataFrame:
-    """A measure that ignores all filters but those on the kept dimensions, for each slice of dims: it is the same for slices that agree on them."""
-    total = df.groupBy(*kept).agg(measure.cast("double").alias(name))
+    """A measure that ignores all filters but those on the kept dimensions, for each slice of dims: it is the same for slices that agree on them. Nulls are slices and agree with each other."""
     slices = df.select(*dims).distinct()
-    return slices.join(F.broadcast(total), kept) if kept else slices.join(F.broadcast(total))  # one row without kept dimensions
+    if not kept:
+        return slices.join(F.broadcast(df.agg(measure.cast("double").alias(name))))  # one row
+    total = df.groupBy(*kept).agg(measure.cast("double").alias(name)).select(*[F.col(k).alias(f"_k_{k}") for k in kept], name)
+    return slices.join(total, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in kept])).select(*dims, name)
 
 
 def compare(truth: DataFrame, candidate: DataFrame, dims: list[str], epsilon: float = EPSILON, keep_extra: bool = False) -> DataFrame:

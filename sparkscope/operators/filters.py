@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,44 @@ def apply_filters(df: DataFrame, filters: list[Filter]) -> DataFrame:
     return df
 
 
+#: Why a filter is left out.
+NO_FIELD, NO_OPERATOR, NO_VALUE, NO_PREDICATE = "no such column", "no such operator", "the value doesn't fit the column", "not a predicate"
+
+
+def checked(df: DataFrame, filters: list[Filter]) -> tuple[list[Filter], DataFrame]:
+    """(filters that df can run, the others as rows of place, field, operator and reason).
+
+    Each filter is looked at alone, against the schema, and no row of df is read: the column must be there, the operator known, the
+    value (each of a list, each end of a range) one that the column's type can take, and the whole a predicate. A null value
+    fits no column. All values are cast in one row.
+    """
+    spark, types = df.sparkSession, {f.name: f.dataType for f in df.schema}
+    text = {"contains", "startswith", "endswith"}
+    reasons: dict[int, str] = {}
+    casts: list[Column] = []
+    for i, f in enumerate(filters):
+        if f.field not in types:
+            reasons[i] = NO_FIELD
+        elif f.operator not in OPERATORS and f.operator != "range":
+            reasons[i] = NO_OPERATOR
+        elif f.operator == "range" and not (isinstance(f.value, (tuple, list)) and len(f.value) == 2):
+            reasons[i] = NO_VALUE
+        elif f.operator in text and not (isinstance(f.value, str) and types[f.field].typeName() == "string"):
+            reasons[i] = NO_VALUE
+        else:
+            values = list(f.value) if isinstance(f.value, (list, tuple, set)) and f.operator in ("in", "not in", "range") else [f.value]
+            try:
+                fits = [F.lit(v).try_cast(types[f.field]).isNotNull() for v in values if not (v is None and f.operator == "range")]
+                df.where(f.predicate())
+                casts.append(reduce(lambda a, b: a & b, fits, F.lit(True)).alias(str(i)))
+            except (PySparkException, TypeError, ValueError):
+                reasons[i] = NO_PREDICATE
+    if casts:
+        reasons |= {int(i): NO_VALUE for i, ok in spark.range(1).select(*casts).first().asDict().items() if not ok}
+    bad = [(i, filters[i].field, filters[i].operator, reason) for i, reason in sorted(reasons.items())]
+    return [f for i, f in enumerate(filters) if i not in reasons], spark.createDataFrame(bad, "place long, field string, operator string, reason string")
+
+
 def equal_to(df: DataFrame, values: dict[str, Any]) -> DataFrame:
     """Equality by column; columns that df lacks are left out."""
     return apply_filters(df, [Filter(c, "=", v) for c, v in values.items() if c in df.columns])
@@ -58,8 +97,8 @@ def last_days(df: DataFrame, ts: str, days: int, anchor: Column | None = None) -
 
 
 def top_n(df: DataFrame, dim: str, measure: Column, n: int) -> DataFrame:
-    """Rows of the n values of dim with the largest measure, ties by dim. Only n rows are sent round."""
-    best = df.groupBy(F.col(dim).alias("_dim")).agg(measure.alias("_measure")).orderBy(F.desc("_measure"), "_dim").limit(n)
+    """Rows of the n values of dim with the largest measure, null measures last, ties by dim. Null is no value of dim. Only n rows are sent round."""
+    best = df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("_dim")).agg(measure.alias("_measure")).orderBy(F.desc_nulls_last("_measure"), "_dim").limit(n)
     return df.join(F.broadcast(best), df[dim] == best["_dim"], "left_semi")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import normalized
 from ..functions.typed import as_text, whole_number
-from .medians import medians
+from .quantiles import medians
 
 TOP, SAMPLES = 20, 5
 MOSTLY_UNIQUE, FOREIGN_KEY, LEAST_CARDINALITY = 0.95, 0.70, 10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +53,69 @@ def without_orphans(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return rows.join(parents.select(key), key, "left_semi")
 
 
+@dataclass(frozen=True)
+class Reference:
+    """Rows of child that name a row of parent by a column; what becomes of them when it is deleted: they go (cascade), lose the name (set null), or forbid it (restrict)."""
+
+    child: str
+    child_column: str
+    parent: str
+    parent_column: str
+    action: str = "cascade"
+
+
+def parents_first(tables: list[str], references: list[Reference]) -> list[str]:
+    """The tables so that each comes after all that it refers to. A ValueError names tables that refer to each other in a circle."""
+    left, out = list(tables), []
+    while left:
+        free = [t for t in left if not any(r.child == t and r.parent in left for r in references)]
+        if not free:
+            raise ValueError(f"circular references among {', '.join(left)}")
+        out += free
+        left = [t for t in left if t not in free]
+    return out
+
+
+def cascade(tables: dict[str, DataFrame], references: list[Reference], deleted: dict[str, Column]) -> dict[str, DataFrame]:
+    """What is left of each table when the rows of `deleted`, a condition a table, go with all that hangs on them.
+
+    The closure is taken parents first. Rows whose reference is null or names nobody stay; a null condition deletes nothing.
+    A table with several parents loses the rows of any. Each table has the columns it had. A ValueError says that a restricted reference
+    is in the way, or that references are circular.
+    """
+    gone: dict[str, DataFrame] = {}
+    left: dict[str, DataFrame] = {}
+    for t in parents_first([*tables], references):
+        df = tables[t].withColumn("_gone", F.coalesce(deleted.get(t, F.lit(False)), F.lit(False)))
+        for i, r in enumerate(r for r in references if r.child == t and r.parent in gone):
+            # Keys of deleted parents, each once, so that no row of the child is repeated.
+            keys = gone[r.parent].select(F.col(r.parent_column).alias(f"_key{i}")).where(f"_key{i} is not null").distinct()
+            df = df.join(keys, F.col(r.child_column) == F.col(f"_key{i}"), "left")
+            hit = F.col(f"_key{i}").isNotNull()
+            if r.action == "restrict" and not df.where(hit & ~F.col("_gone")).isEmpty():
+                raise ValueError(f"{t}.{r.child_column} still refers to {r.parent}")
+            if r.action == "set null":
+                df = df.withColumn(r.child_column, F.when(~hit, F.col(r.child_column)))
+            elif r.action == "cascade":
+                df = df.withColumn("_gone", F.col("_gone") | hit)
+            df = df.drop(f"_key{i}")
+        if t in deleted or any(r.child == t and r.parent in gone for r in references):
+            gone[t] = df.where("_gone").select(*tables[t].columns)
+        left[t] = df.where("not _gone").select(*tables[t].columns)
+    return left
+
+
+def of_status(rows: DataFrame, status: str, wanted: list[str]) -> DataFrame:
+    """(status, n): rows of each wanted status."""
+    return rows.where(F.col(status).isin(wanted)).groupBy(status).agg(F.count("*").alias("n"))
+
+
+def first_seen(rows: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    """(key, values): the values of each key, each once, in the order in which they first came; for few kinds of values."""
+    once = rows.groupBy(key, value).agg(F.min(at).alias("_at"))
+    return once.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias("values"))
+
+
 def kept_after(rows: DataFrame, ts: str, now: Column, days: int, ended: Column | None = None) -> DataFrame:
     """Rows that a clean-up leaves: those younger than so many days and those that haven't ended."""
     old = F.col(ts) < now - F.make_dt_interval(F.lit(days))

@@ -3,20 +3,36 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calc as C
 from ..operators import filters as X
+from ..operators.quantiles import medians, quantiles
 from .common import table
 
 
 def agg_basic(spark, d):
-    q = F.col("l_quantity")
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum(q), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("suppliers"), F.min(q).alias("min_qty"), F.max(q).alias("max_qty"), F.median(q).alias("median_qty")
-    )
+    """Measures by two dimensions; the median from ranks, not from a group's values in one task."""
+    li, q = table(spark, d, "lineitem"), F.col("l_quantity")
+    dims = ["l_returnflag", "l_linestatus"]
+    made = li.groupBy(*dims).agg(F.round(F.sum(q), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("suppliers"), F.min(q).alias("min_qty"), F.max(q).alias("max_qty"))
+    middle = medians(li, dims, q, "median_qty").select(*[F.col(k).alias(f"of_{k}") for k in dims], "median_qty")
+    return made.join(middle, reduce(and_, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in dims])).drop(*[f"of_{k}" for k in dims])
+
+
+def agg_percentiles(spark, d):
+    """Six orders of prices by ship mode of the year, interpolated, null dates among the groups."""
+    li = table(spark, d, "lineitem").withColumn("year", F.when(F.col("l_linenumber") != 3, F.year("l_shipdate")))
+    return quantiles(li, ["l_returnflag", "year"], F.col("l_extendedprice"), {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p90": 0.9, "p999": 0.999, "p100": 1.0})
+
+
+def agg_percentiles_discrete(spark, d):
+    """Values that rows have, of all rows and with nulls in the measure."""
+    v = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice"))
+    return quantiles(table(spark, d, "orders"), [], v, {"p1": 0.01, "p25": 0.25, "p75": 0.75, "p99": 0.99}, discrete=True)
 
 
 def agg_dispersion(spark, d):
@@ -101,6 +117,23 @@ def filter_top_n(spark, d):
     return X.top_n(table(spark, d, "orders"), "o_custkey", F.sum("o_totalprice"), 10).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+_MIXED = [("=", "o_orderstatus", "O"), (">", "o_totalprice", "much"), ("like", "o_clerk", "x"), ("range", "o_orderdate", ("1994-01-01", "1996-12-31 00:00:00")), ("in", "o_custkey", [1, "two"]), ("contains", "o_totalprice", "1"), ("<", "no_such", 3), ("range", "o_totalprice", (1000, None)), ("startswith", "o_orderpriority", "1"), ("~", "o_orderkey", 1)]
+
+
+def filter_checked(spark, d):
+    """Good and bad filters on orders: what the good ones leave together, and why the others were left out."""
+    o = table(spark, d, "orders")
+    good, bad = X.checked(o, [X.Filter(c, op, v) for op, c, v in _MIXED])
+    kept = X.apply_filters(o, good).agg(F.lit(-1).cast("long").alias("place"), F.lit("all").alias("field"), F.lit("and").alias("operator"), F.lit("").alias("reason"), F.count("*").alias("n"))
+    return kept.unionByName(bad.withColumn("n", F.lit(0).cast("long")))
+
+
+def filter_top_n_nulls(spark, d):
+    """The best three of a dimension with nulls, which are most of its rows."""
+    o = table(spark, d, "orders").withColumn("who", F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")))
+    return X.top_n(o, "who", F.sum("o_totalprice"), 3).groupBy("who").agg(F.count("*").alias("n"))
+
+
 def filter_predicates(spark, d):
     return X.all_of(table(spark, d, "orders"), ["o_totalprice > 100000", "o_orderstatus = 'O' OR o_orderstatus = 'P'"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
@@ -147,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         agg_basic, agg_dispersion, agg_ratio_safe, agg_global, agg_attr, formula_bands, formula_nulls, formula_text, formula_dates, shelf_date_parts, formula_divide, formula_calculate, formula_nested, filter_equality_map, filter_ops_all,
-        filter_relative_date, filter_top_n, filter_predicates, pagination, manual_sort, bins_groups_sets, whatif_series, slicer_values, slicer_selected, param_bound_query, set_operations,
+        filter_relative_date, filter_top_n, filter_top_n_nulls, filter_checked, agg_percentiles, agg_percentiles_discrete, filter_predicates, pagination, manual_sort, bins_groups_sets, whatif_series, slicer_values, slicer_selected, param_bound_query, set_operations,
     )
 }
 
@@ -157,7 +190,15 @@ _OPS = [
 ]
 _MONTHS = "(year({b}) * 12 + month({b}) - year({a}) * 12 - month({a}))"
 
+_GROUPS = "SELECT l_returnflag, CASE WHEN l_linenumber <> 3 THEN year(l_shipdate) END AS year, l_extendedprice AS v FROM lineitem"
+
 ORACLE_SQL = {
+    "agg_percentiles": f"SELECT l_returnflag, year, {', '.join(f'quantile_cont(v, {q}) AS {n}' for n, q in (('p0', 0.0), ('p5', 0.05), ('p50', 0.5), ('p90', 0.9), ('p999', 0.999), ('p100', 1.0)))} FROM ({_GROUPS}) GROUP BY ALL",
+    "agg_percentiles_discrete": f"SELECT {', '.join(f'quantile_disc(v, {q}) AS {n}' for n, q in (('p1', 0.01), ('p25', 0.25), ('p75', 0.75), ('p99', 0.99)))} FROM (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS v FROM orders)",
+    "filter_checked": """SELECT -1::BIGINT AS place, 'all' AS field, 'and' AS operator, '' AS reason, count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_orderdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1996-12-31' AND o_totalprice >= 1000 AND o_orderpriority LIKE '1%'
+UNION ALL SELECT 1, 'o_totalprice', '>', 'the value doesn''t fit the column', 0 UNION ALL SELECT 2, 'o_clerk', 'like', CASE WHEN (SELECT count(*) FROM (DESCRIBE orders) WHERE column_name = 'o_clerk') = 0 THEN 'no such column' ELSE 'no such operator' END, 0 UNION ALL SELECT 4, 'o_custkey', 'in', 'the value doesn''t fit the column', 0
+UNION ALL SELECT 5, 'o_totalprice', 'contains', 'the value doesn''t fit the column', 0 UNION ALL SELECT 6, 'no_such', '<', 'no such column', 0 UNION ALL SELECT 9, 'o_orderkey', '~', 'no such operator', 0""",
+    "filter_top_n_nulls": "SELECT o_custkey AS who, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 3) GROUP BY 1",
     "agg_basic": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, min(l_quantity) AS min_qty, max(l_quantity) AS max_qty, median(l_quantity) AS median_qty FROM lineitem GROUP BY ALL",
     "agg_dispersion": "SELECT c_mktsegment, round(var_samp(c_acctbal), 4) AS var, round(var_pop(c_acctbal), 4) AS varp, round(stddev_samp(c_acctbal), 4) AS stdev, round(stddev_pop(c_acctbal), 4) AS stdevp FROM customer GROUP BY 1",
     "agg_ratio_safe": "SELECT l_returnflag, round(CASE WHEN sum(l_tax) = 0 THEN 0.0 ELSE sum(l_discount) / sum(l_tax) END, 6) AS ratio, 0.0::DOUBLE AS by_zero FROM lineitem GROUP BY 1",

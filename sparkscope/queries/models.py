@@ -187,6 +187,19 @@ def workbook_joined(spark, d):
     return j.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("Revenue"))
 
 
+_TREE = [
+    ("inner", "orders", "o_custkey", "customer", "c_custkey"), ("left", "nation", "n_nationkey", "customer", "c_nationkey"), ("left", "nation", "n_regionkey", "region", "r_regionkey"), ("left", "customer", "c_nationkey", "region", "r_regionkey"), ("full", "sizes", "p_size", "nation", "n_nationkey"),
+]
+
+
+def workbook_join_tree(spark, d):
+    """A tree of five joins: a left join whose left table comes second, a full join from the new side, and a table used twice."""
+    joins = spark.createDataFrame(_TREE, "join_type string, left_table string, left_column string, right_table string, right_column string")
+    tables = star(spark, d, ["orders", "customer", "nation", "region"]) | {"sizes": table(spark, d, "part").select("p_size").distinct()}
+    j = B.joined_tables(tables, joins)
+    return j.groupBy("r_name", F.col("r_name (region2)").alias("other")).agg(F.count("*").alias("n"), F.count("o_orderkey").alias("orders"), F.count("p_size").alias("sizes"), F.countDistinct("n_nationkey").alias("nations"))
+
+
 def progress_percent(spark, d):
     done = spark.createDataFrame([("LOADING", 1, 2), ("PROFILING", 2, 2), ("DETECTING", 1, 2), ("REPORTING", 5, 2)], "stage string, items long, total long")
     return I.progress(I.stages(spark), done)
@@ -206,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         join_star, join_blend, join_m2m_safe, join_types, rel_cardinality_inferred, rel_ambiguity_prune, star_classification, likely_keys, calendar_dim, calendar_fiscal, fidelity_pass, fidelity_taxonomy, fidelity_stats, fidelity_breakdown, fidelity_failures,
-        fidelity_total, confidence_buckets, latest_state, attempt_history, graph_edges, graph_levels, graph_kinds, model_recommendations, workbook_fields, workbook_parameters, workbook_worksheets, workbook_filters, workbook_joined, progress_percent,
+        fidelity_total, confidence_buckets, latest_state, attempt_history, graph_edges, graph_levels, graph_kinds, model_recommendations, workbook_fields, workbook_parameters, workbook_worksheets, workbook_filters, workbook_joined, workbook_join_tree, progress_percent,
         windowed_profile, event_sessions,
     )
 }
@@ -246,6 +259,8 @@ ORACLE_SQL = {
     "attempt_history": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt FROM events",
     "graph_edges": "SELECT * FROM (VALUES ('price', 'Revenue'), ('cost', 'Cost'), ('Revenue', 'Profit'), ('Cost', 'Profit'), ('Profit', 'Margin'), ('Revenue', 'Margin'), ('Profit', 'Run'), ('cust', 'PerCust'), ('price', 'PerCust'), ('price', 'Band')) v(source, target)",
     "graph_levels": "WITH RECURSIVE e(s, t) AS (VALUES ('price', 'Revenue'), ('cost', 'Cost'), ('Revenue', 'Profit'), ('Cost', 'Profit'), ('Profit', 'Margin'), ('Revenue', 'Margin'), ('Profit', 'Run'), ('cust', 'PerCust'), ('price', 'PerCust'), ('price', 'Band')), r(name, level) AS (SELECT DISTINCT s, 0::BIGINT FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT t, level + 1 FROM r JOIN e ON s = name) SELECT name, max(level) AS level FROM r GROUP BY 1",
+    "workbook_join_tree": """SELECT r_name, other, count(*) AS n, count(o_orderkey) AS orders, count(p_size) AS sizes, count(DISTINCT n_nationkey) AS nations
+FROM (SELECT DISTINCT p_size FROM part) FULL JOIN (SELECT n_nationkey, o_orderkey, r.r_name, s.r_name AS other FROM nation LEFT JOIN (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey) ON n_nationkey = c_nationkey LEFT JOIN region r ON n_regionkey = r.r_regionkey LEFT JOIN region s ON c_nationkey = s.r_regionkey) ON p_size = n_nationkey GROUP BY 1, 2""",
     "workbook_joined": "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS Revenue FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "progress_percent": "SELECT * FROM (VALUES ('LOADING', 1::BIGINT, 2::BIGINT, 5.0::DOUBLE), ('PROFILING', 2, 2, 35.0), ('DETECTING', 1, 2, 50.0), ('REPORTING', 5, 2, 100.0)) v(stage, items, total, percent)",
     "windowed_profile": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(value) AS non_null, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",

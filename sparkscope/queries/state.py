@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,8 @@ from ..operators import patterns as L
 from ..operators import profile as P
 from ..operators import relationships as R
 from ..operators import state as S
+from ..sources.shared import shared_folder
+from ..sources.state_table import StateTable
 from .common import STAR, star, table
 
 
@@ -67,8 +70,21 @@ def state_clean_up(spark, d):
     return kept.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+def state_merged(spark, d):
+    """Customers as jobs, changed by their events in three merges, of which the second comes again: the last version, and how many rows each version has."""
+    jobs = StateTable(spark, f"{shared_folder(spark)}/state-{uuid.uuid4().hex[:12]}", ["id"], 16)
+    base = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1).cast("long").alias("at"), F.lit("new").alias("status"), F.col("c_acctbal").alias("value"))
+    jobs.merge(base, "at")
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("status"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("value"), ((F.col("event_id") % 11) == 5).alias("gone"))
+    half = e.agg(F.max("at")).first()[0] // 2
+    for part in (e.where(F.col("at") <= half), e.where(F.col("at") > half), e.where(F.col("at") <= half)):
+        jobs.merge(part, "at", "gone", partial=True)
+    sizes = [jobs.read(n).agg(F.lit(-n).cast("long").alias("id"), F.count("*").alias("at")).withColumns({"status": F.lit("version"), "value": F.lit(None).cast("double")}) for n in jobs.versions()]
+    return reduce(DataFrame.unionByName, [jobs.read(), *sizes])
+
+
 def state_of_status(spark, d):
-    return table(spark, d, "orders").where(F.col("o_orderstatus").isin("P", "F")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return S.of_status(table(spark, d, "orders"), "o_orderstatus", ["P", "F"])
 
 
 def state_flagged(spark, d):
@@ -86,8 +102,16 @@ def state_report(spark, d):
 
 def first_seen_lists(spark, d):
     """Kinds of each user's events, each once, in the order they first came."""
-    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("at"))
-    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_type"))), lambda x: x["event_type"]), ",").alias("kinds"))
+    return S.first_seen(table(spark, d, "events"), "user_id", "event_type", "event_id").select("user_id", F.array_join("values", ",").alias("kinds"))
+
+
+def state_cascade_tree(spark, d):
+    """What is left of five tables when some customers and some orders go: lines with their orders, orders and events with their customers; lines of deleted parts lose the part."""
+    tables = star(spark, d, ["lineitem", "orders", "customer", "events", "part"])
+    references = [S.Reference("lineitem", "l_orderkey", "orders", "o_orderkey"), S.Reference("orders", "o_custkey", "customer", "c_custkey"), S.Reference("events", "user_id", "customer", "c_custkey"), S.Reference("lineitem", "l_partkey", "part", "p_partkey", "set null")]
+    left = S.cascade(tables, references, {"customer": F.col("c_mktsegment") == "BUILDING", "orders": F.col("o_orderpriority") == "5-LOW", "part": F.col("p_size") > 40})
+    keys = {"lineitem": "l_partkey", "orders": "o_custkey", "customer": "c_custkey", "events": "user_id", "part": "p_partkey"}
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(t).alias("table"), F.count("*").alias("n"), F.count(keys[t]).alias("named"), F.sum(keys[t]).cast("long").alias("total")) for t, df in left.items()])
 
 
 def _patterns(spark, d):
@@ -159,6 +183,12 @@ def agg_sql_text(spark, d):
     return found.unionByName(V.measured_text(o, ["o_orderstatus"], "sum(Calculation_12)"))
 
 
+def fidelity_context_nulls(spark, d):
+    """Slices with nulls in kept and other dimensions."""
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("priority"), "o_totalprice")
+    return V.in_context(o, ["status", "priority"], ["status"], F.round(F.sum("o_totalprice"), 2))
+
+
 def fidelity_context(spark, d):
     """A measure by status and priority in the context of the status alone."""
     return V.in_context(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], F.round(F.sum("o_totalprice"), 2))
@@ -222,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         state_look_up, state_exists, state_joins, state_grouped_slices, state_current, state_cascade, state_clean_up, state_of_status, state_flagged, state_recent, state_report, first_seen_lists, patterns_summary, patterns_found, pattern_suggestions,
-        profile_numeric_pattern, sample_values, column_preview, table_summary, column_profile_all, json_rows, name_hints, agg_sql_text, fidelity_context, join_calendar, model_totals, business_summary, slice_keys, number_formats, caption_formulas, filter_kinds,
+        profile_numeric_pattern, sample_values, column_preview, table_summary, column_profile_all, json_rows, name_hints, agg_sql_text, fidelity_context, fidelity_context_nulls, state_cascade_tree, state_merged, join_calendar, model_totals, business_summary, slice_keys, number_formats, caption_formulas, filter_kinds,
         rel_formats, rel_high_overlap,
     )
 }
@@ -280,6 +310,17 @@ ORACLE_SQL = {
     "json_rows": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_id * 0.5 END::DOUBLE AS x, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type FROM events",
     "name_hints": f"SELECT \"table\", c AS \"column\", replace(lower(c), '_', ' ') AS words, CASE WHEN list_has_any(string_split(lower(c), '_'), ['customer', 'client']) THEN 'Customer' WHEN list_has_any(string_split(lower(c), '_'), ['product', 'item']) THEN 'Product' WHEN list_has_any(string_split(lower(c), '_'), ['order']) THEN 'Order' ELSE 'Unknown' END AS subject, regexp_matches(lower(c), 'id|key|code|number|_no|_num') AS looks_like_id, contains(lower(c), 'name') AS looks_like_name, regexp_matches(replace(lower(c), '_', ' '), 'phone|tel') AS looks_like_phone FROM ({_ALL})",
     "agg_sql_text": "SELECT o_orderstatus, CAST(round(sum(o_totalprice) / count(DISTINCT o_custkey), 4) AS DOUBLE) AS truth_value FROM orders GROUP BY 1",
+    "fidelity_context_nulls": "WITH t AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS priority, o_totalprice FROM orders) SELECT DISTINCT status, priority, round(sum(o_totalprice) OVER (PARTITION BY status), 2) AS candidate_value FROM t",
+    "state_merged": """WITH h AS (SELECT max(event_id) // 2 AS h FROM events), c AS (SELECT c_custkey AS id, -1 AS "at", 'new' AS status, c_acctbal AS value, false AS gone FROM customer
+UNION ALL SELECT user_id, event_id, CASE WHEN event_id % 3 <> 0 THEN event_type END, CASE WHEN event_id % 2 = 0 THEN value END, event_id % 11 = 5 FROM events),
+v AS (SELECT * FROM c, (SELECT 1 AS n, -1 AS upto UNION ALL SELECT 2, h FROM h UNION ALL SELECT unnest([3, 4]), max(event_id) FROM events) WHERE "at" <= upto),
+z AS (SELECT n, id, max("at") FILTER (gone) AS dead FROM v GROUP BY 1, 2),
+r AS (SELECT n, id, max("at") AS "at", arg_max(status, "at") AS status, arg_max(value, "at") AS value FROM v JOIN z USING (n, id) WHERE dead IS NULL OR "at" > dead GROUP BY 1, 2)
+SELECT CAST(id AS BIGINT) AS id, CAST("at" AS BIGINT) AS "at", status, value FROM r WHERE n = 4 UNION ALL SELECT -n, count(*), 'version', NULL FROM r GROUP BY n""",
+    "state_cascade_tree": """WITH c AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT * FROM orders WHERE o_orderpriority <> '5-LOW' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')), p AS (SELECT * FROM part WHERE p_size <= 40),
+l AS (SELECT CASE WHEN l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) THEN l_partkey END AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)))
+SELECT 'customer' AS "table", count(*) AS n, count(c_custkey) AS named, CAST(sum(c_custkey) AS BIGINT) AS total FROM c UNION ALL SELECT 'orders', count(*), count(o_custkey), sum(o_custkey) FROM o UNION ALL SELECT 'part', count(*), count(p_partkey), sum(p_partkey) FROM p
+UNION ALL SELECT 'events', count(*), count(user_id), sum(user_id) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'lineitem', count(*), count(k), sum(k) FROM l""",
     "fidelity_context": "SELECT DISTINCT o_orderstatus, o_orderpriority, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus), 2) AS candidate_value FROM orders",
     "join_calendar": "SELECT year(o_orderdate) AS Year, isodow(o_orderdate) >= 6 AS IsWeekend, count(*) AS n FROM orders GROUP BY 1, 2",
     "model_totals": "SELECT 8::BIGINT AS tables, " + " + ".join(f"(SELECT count(*) FROM {t})" for t in STAR) + " AS rows, CAST((SELECT count(*) > 100000 FROM lineitem) AS BIGINT) AS facts, 8 - CAST((SELECT count(*) > 100000 FROM lineitem) AS BIGINT) AS dimensions",
