@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,7 +15,7 @@ from ..operators import patterns as L
 from ..operators import profile as P
 from ..operators import relationships as R
 from ..operators import state as S
-from ..sources.shared import shared_folder
+from ..sources.shared import fresh_folder
 from ..sources.state_table import StateTable
 from .common import STAR, star, table
 
@@ -72,7 +71,7 @@ def state_clean_up(spark, d):
 
 def state_merged(spark, d):
     """Customers as jobs, changed by their events in three merges, of which the second comes again: the last version, and how many rows each version has."""
-    jobs = StateTable(spark, f"{shared_folder(spark)}/state-{uuid.uuid4().hex[:12]}", ["id"], 16)
+    jobs = StateTable(spark, fresh_folder(spark, "state"), ["id"], 16)
     base = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1).cast("long").alias("at"), F.lit("new").alias("status"), F.col("c_acctbal").alias("value"))
     jobs.merge(base, "at")
     e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("status"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("value"), ((F.col("event_id") % 11) == 5).alias("gone"))

@@ -38,16 +38,20 @@ def deleted(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written once: all that reads it sees the same rows, also after lost executors. It goes by discard, or when the process ends."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in this process's part of the shared one, which goes when the process ends."""
     root = f"{shared_folder(spark)}/{_run}"
     if root not in _roots:
         _roots.add(root)
         atexit.register(deleted, spark, root)
-    path = f"{root}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written once: all that reads it sees the same rows, also after lost executors. It goes by discard, or when the process ends."""
+    path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[found] = path
     return found
 

@@ -46,7 +46,11 @@ def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The sheet with most rows, the first of equals. Spreadsheets are files of a person's size; they need an optional reader."""
+    """The sheet with most rows, the first of equals. The old binary format (.xls) needs an optional reader."""
+    if not path.lower().endswith(".xls"):
+        from .sheets import read_sheet
+
+        return read_sheet(spark, path)
     import pandas as pd
 
     sheets = pd.read_excel(path, sheet_name=None)
