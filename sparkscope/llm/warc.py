@@ -1,7 +1,7 @@
 """Deterministic WARC archives, written in shards and read back.
 
-Records are range-sorted by page_id and a hash of the payload. The ranges follow from the pages alone: their number from the
-bytes of all payloads, their bounds from the pages with the smallest hashes. So the same pages give the same files, whatever
+Records are range-sorted by page_id and a hash of the payload and its address, pages without an id by the hash alone. The ranges
+follow from the pages alone: their number from the bytes of all payloads, their bounds from the pages with small hashes. So the same pages give the same files, whatever
 the partitions, cores or order of the input. Each record is a gzip member of its own; a file is rolled when its compressed size
 reaches ROLL_BYTES. Headers and digests are made anew from the payload. A file gets its name only when complete, and a written
 manifest lists the files with their sizes and digests.
@@ -24,7 +24,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, map_batches, staged, table
@@ -103,18 +103,37 @@ def _parts(size: int) -> int:
     return max(1, ceil(size / RANGE_BYTES), min(FEW_RANGES, ceil(size / SMALL_RANGE)))
 
 
-def _bounds(keys: DataFrame, n: int) -> list[tuple[int, int]]:
-    """Keys (page_id, h) that part n ranges: quantiles of the SAMPLED * n keys with the smallest hashes. Ties are equal keys, so the result depends on the rows alone."""
-    if n < 2:
+def _bounds(keys: DataFrame, n: int) -> list[tuple[bool, int, int]]:
+    """Keys (known, page_id, h) that part n ranges: quantiles of about SAMPLED * n keys, those with small hashes. They depend on the rows alone.
+
+    The keys are range-sorted and ranked where they are; only the bounds come to the driver, one for RANGE_BYTES of payload.
+    """
+    total = keys.count()
+    if n < 2 or not total:
+        return []
+    share = min(1.0, SAMPLED * n / total)
+    key = ["known", "page_id", "h"]
+    chosen = keys.where(F.pmod(F.xxhash64(*key, F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    ranges = staged(chosen.repartitionByRange(max(1, n // FEW_RANGES), *key).withColumn("range", F.spark_partition_id()), "warc-keys")
+    sizes = {r["range"]: r["n"] for r in ranges.groupBy("range").agg(F.count("*").alias("n")).collect()}  # one row for FEW_RANGES bounds
+    m, starts = sum(sizes.values()), {}
+    for r in sorted(sizes):
+        starts[r] = sum(sizes[k] for k in starts)
+    if not m:
         return []
-    chosen = keys.where("page_id is not null").orderBy(F.xxhash64("page_id", "h"), "page_id", "h").limit(SAMPLED * n).toPandas()
-    found = sorted(zip(chosen["page_id"].tolist(), chosen["h"].tolist()))
-    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+    before = F.broadcast(keys.sparkSession.createDataFrame([*starts.items()], "range int, before long"))
+    ranked = ranges.join(before, "range").withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*key)) - 1)
+    # The rank is that of the i-th of n quantiles.
+    i = F.floor((F.col("r") * n + m - 1) / F.lit(m)).cast("long")
+    found = ranked.withColumn("i", i).where((F.floor(F.col("i") * m / F.lit(n)).cast("long") == F.col("r")) & F.col("i").between(1, n - 1)).select(*key).collect()
+    return sorted({tuple(r) for r in found})
 
 
-def _ranges(bounds: list[tuple[int, int]]):
-    """A column function of (page_id, h): the number of the range; only these two columns go to Python."""
-    ids = np.array([b[0] for b in bounds], dtype=np.int64)
+def _ranges(bounds: list[tuple[bool, int, int]]):
+    """A column function of (page_id, h): the number of the range, null page_ids first; only these two columns go to Python."""
+    nameless = np.array([b[2] for b in bounds if not b[0]], dtype=np.int64)
+    named = [b[1:] for b in bounds if b[0]]
+    ids = np.array([b[0] for b in named], dtype=np.int64)
 
     @F.pandas_udf("int")
     def part(page_id: pd.Series, h: pd.Series) -> pd.Series:
@@ -122,8 +141,8 @@ def _ranges(bounds: list[tuple[int, int]]):
         p = page_id.fillna(0).to_numpy(dtype=np.int64)
         at, to = np.searchsorted(ids, p, "left"), np.searchsorted(ids, p, "right")
         for i in np.flatnonzero(at < to):  # pages that share their page_id with a bound
-            at[i] = bisect_left(bounds, (int(p[i]), int(h.iloc[i])), int(at[i]), int(to[i]))
-        return pd.Series(np.where(known, at, 0).astype(np.int32))
+            at[i] = bisect_left(named, (int(p[i]), int(h.iloc[i])), int(at[i]), int(to[i]))
+        return pd.Series(np.where(known, len(nameless) + at, np.searchsorted(nameless, h.to_numpy(dtype=np.int64), "left")).astype(np.int32))
 
     return part
 
@@ -136,11 +155,11 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.xxhash64(html).alias("h"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.xxhash64(html, F.col("url").cast("string")).alias("h"))
     digest = F.when((F.octet_length("html") >= least_revisit) & F.col("page_id").isNotNull(), F.sha1(F.encode("html", "utf-8")))
     keys = staged(pages.select("page_id", "h", F.octet_length("html").cast("long").alias("n"), digest.alias("digest")), "digests")
     n = parts or _parts(keys.agg(F.sum("n")).first()[0] or 0)
-    bounds = _bounds(keys.select("page_id", "h"), n)
+    bounds = _bounds(keys.select(F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "h"), n)
     digests = keys.where("digest is not null").select("page_id", "h", "digest")
     shared = digests.groupBy("digest").agg(F.max("page_id").alias("to"), F.min("page_id").alias("from")).where("`from` < `to`")
     revisits = digests.join(shared, "digest").where("page_id < `to`").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "h", "to", "digest").distinct()

@@ -59,6 +59,19 @@ def test_files_depend_on_the_pages_alone(spark, tmp_path):
     assert max(by_part) < 2 * 13_000 / 5  # one page_id with a quarter of all rows doesn't fill a range
 
 
+def test_pages_without_ids_are_spread_over_ranges(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("case when id % 3 = 0 then id end as page_id", "concat('u', id % 5000) as url", "repeat('empty', cast(id % 2 as int)) as html", "id as digest")
+    folder = f"file://{tmp_path}/n"
+    manifest = warc.write_archives(rows.repartition(5), folder, parts=6)
+    by_part = {}
+    for r in manifest.collect():
+        by_part[r["part"]] = by_part.get(r["part"], 0) + r["records"]
+    assert len(by_part) == 6 and max(by_part.values()) < 2 * 20_000 / 6 and sum(by_part.values()) == 20_000
+    assert warc.read_archives(manifest, folder).where("page_id is null").count() == rows.where("page_id is null").count()
+    again = warc.write_archives(rows.orderBy("url").coalesce(2), f"file://{tmp_path}/m", parts=6)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest.collect()))
+
+
 def test_empty_table_and_damaged_archives(spark, tmp_path):
     df = spark.createDataFrame([(*x, "d", 1) for x in case()], SCHEMA)
     folder = f"file://{tmp_path}/none"
