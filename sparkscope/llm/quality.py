@@ -3,19 +3,21 @@
 Every line of a text gets features (lengths, capitals, symbols, bars, repetition) cut into bins; the score of a line being
 good adds a weight for each bin of its own, the previous and the next line's features, and transitions tie neighbours. The
 field is trained by its log-likelihood on lines that carry their document's label, over at most SAMPLE labelled documents of the
-folds that are not held out, chosen by a hash of doc_id; of a longer document it is trained on SAMPLE_LINES lines in a row, at a
-place given by the text's hash. Every line of every document is scored. Forward-backward gives each line's marginal; the mean of the
-marginals, weighted by the lines' lengths, is calibrated to the document's score.
+folds that are not held out, chosen by a hash of doc_id, with all their lines. Documents of more than LONGEST lines are not
+chosen, nor those that come, in the order of a hash, when MOST_LINES lines have been chosen. Every line of every document is
+scored. Forward-backward gives each line's marginal; the mean of the marginals, weighted by the lines' lengths, is calibrated to the
+document's score.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from zlib import crc32
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .boosting import Isotonic
 from .common import map_batches, staged, table
@@ -23,8 +25,10 @@ from .toxicity import kept_where, scored, training_rows
 
 #: Labelled documents used for training at most, and those the smallest useful training set has.
 SAMPLE, LEAST_SAMPLE = 6_000, 20
-#: Lines of a document used for training at most.
-SAMPLE_LINES = 200
+#: Lines of a training document, and of all of them, at most: 35 MB of features on the driver.
+LONGEST, MOST_LINES = 20_000, 300_000
+#: Bytes of texts whose lines are laid out together; a longer text is alone.
+TOGETHER = 1 << 20
 FOLDS, HELD_OUT = 3, 1
 BINS, ROUNDS, RATE, PENALTY = 8, 120, 0.1, 1e-3
 
@@ -57,9 +61,17 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, dtype=np.float64).reshape(-1, len(FEATURES)), np.array([len(x) for x in lines], dtype=np.float64)
 
 
-def _some_lines(x: np.ndarray, n: np.ndarray, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    at = crc32((text or "").encode()) % max(1, len(x) - SAMPLE_LINES + 1)
-    return x[at : at + SAMPLE_LINES], n[at : at + SAMPLE_LINES]
+def _together(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in order, in groups of about TOGETHER bytes."""
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t or "") > TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t or "")
+    if some:
+        yield some
 
 
 class Chains:
@@ -168,7 +180,7 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.field is None or not texts:
             return np.full(len(texts), self.prior)
-        mean = self.field.document_means([line_features(t) for t in texts])
+        mean = np.concatenate([self.field.document_means([line_features(t) for t in some]) for some in _together(texts)])
         # A small share of the field's own order parts texts on the same step.
         return np.clip(0.99 * self.level(mean) + 0.01 * mean, 0, 1)
 
@@ -180,13 +192,20 @@ class Model:
         return marginals(self.field.emission(self.field.codes(x), chains), self.field.transition, chains)[0]
 
 
+def chosen_rows(rows: DataFrame, longest: int, most: int) -> DataFrame:
+    """Rows (text, y) of at most `longest` lines each, in the order of a hash of the text until `most` lines are reached. rows are SAMPLE at most."""
+    counted = rows.withColumns({"mark": F.xxhash64("text"), "lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n"))}).where(F.col("lines") <= longest)
+    upto = counted.groupBy("mark").agg(F.sum("lines").alias("lines")).select("mark", F.sum("lines").over(Window.orderBy("mark")).alias("upto"))
+    return counted.join(F.broadcast(upto.where(F.col("upto") <= most)), "mark", "left_semi").select("text", "y")
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE) -> Model:
     """Trains on docs (doc_id, text) and labels (doc_id, quality). Without labels of both kinds every score is their mean, or 0 without any."""
-    rows = staged(training_rows(docs, labels, "quality", folds, held_out, sample), "quality-training")
+    rows = chosen_rows(staged(training_rows(docs, labels, "quality", folds, held_out, sample), "quality-training"), LONGEST, MOST_LINES)
 
     def make(batches):
         for b in batches:
-            made = [_some_lines(*line_features(t), t) for t in b.column(0).to_pylist()]
+            made = [line_features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.ravel() for x, _ in made], pa.list_(pa.float64())), pa.array([n for _, n in made], pa.list_(pa.float64())), b.column(1)], ["x", "n", "y"])
 
     made = map_batches(rows, make, "x array<double>, n array<double>, y int").toPandas()

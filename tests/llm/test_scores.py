@@ -94,3 +94,24 @@ def test_repeated_words_count_in_lines_of_many_words():
     x, _ = quality.line_features("\n".join(lines))
     got = x[:, quality.FEATURES.index("most_common")]
     assert np.allclose(got, [300 / 330, 1 / 30, 0, 2 / 3, 1])
+
+
+def test_training_rows_keep_whole_texts_within_bounds(spark):
+    rows = [("a\n" * k + "end", k % 2) for k in (0, 3, 5, 9, 200)] + [(None, 1), ("", 0), ("twice\nover", 1), ("twice\nover", 1)]
+    df = spark.createDataFrame(rows, "text string, y int")
+    assert sorted(map(str, quality.chosen_rows(df, 100, 10_000).collect())) == sorted(map(str, df.where("text is null or length(text) < 300").collect()))
+    some = quality.chosen_rows(df, 100, 15).collect()
+    assert 0 < len(some) < len(rows) - 1 and sum((r["text"] or "").count("\n") + 1 for r in some) <= 15
+    assert sorted(map(str, quality.chosen_rows(df.repartition(3), 100, 15).collect())) == sorted(map(str, some))
+
+
+def test_many_lines_are_laid_out_in_groups(monkeypatch):
+    r = np.random.default_rng(1)
+    texts = [*("\n".join("good words here." if k % 2 else "###|| !!" for _ in range(r.integers(1, 9))) for k in range(60)), None, "", "x\n" * 50_000]
+    parts, y = [quality.line_features(t) for t in texts[:60]], np.array([k % 2 for k in range(60)], dtype=float)
+    model = quality.Model(parts, y)
+    want = [model.score([t])[0] for t in texts]
+    assert np.allclose(model.score(texts), want)
+    monkeypatch.setattr(quality, "TOGETHER", 40)
+    assert [len(g) for g in quality._together(["a" * 30, "b" * 30, None, "c" * 100, "d"])] == [1, 2, 1, 1]
+    assert np.allclose(model.score(texts), want)
