@@ -104,7 +104,7 @@ def features(text: str | None, lexicon: Lexicon, label: int | None = None) -> li
         close = int((np.minimum(np.array(hits) - y[at], y[np.minimum(at + 1, len(y) - 1)] - np.array(hits)) <= 3).sum())
     lower, upper = (len(raw) - len(raw.translate(None, s)) for s in (_LOWER, _UPPER))
     marks = len(raw) - len(raw.translate(None, _MARKS))
-    capital_words = sum(w.isupper() and len(w) > 2 for w in text.split()) if upper > 0.05 * (lower + 1) else 0
+    capital_words = sum(w.isupper() and len(w) > 2 for w in text.split())
     mixed = [m.group().translate(LEET) for m in _MIXED.finditer(text)] if marks else []
     mixed += [m.group().replace(" ", "") for m in _SPACED.finditer(text)]
     plain = [re.sub(r"[^a-z]", "", m.lower()).encode() for m in mixed]
