@@ -139,13 +139,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns: one of each group, that with the smallest id (null ids last), fingerprint and hash of the text."""
+    """The rows of docs that stay, with docs' columns: one of each group, that with the smallest id (null ids last), fingerprint and hash of the text, and of several such rows the one whose other columns come first as JSON."""
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "fp", "text_hash")).alias("first")
     keep = _grouped(docs, id_col, text_col).groupBy("g").agg(first).select(F.col("first.id").alias("_keep"), F.col("first.text_hash").alias("_keep_hash"))
     own = free_name(docs, "text_hash")
     rows = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
     kept = rows.join(keep, rows[id_col].eqNullSafe(keep["_keep"]) & (rows[own] == keep["_keep_hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, own]).drop(own)
+    others = F.to_json(F.struct(*[docs[c] for c in docs.columns if c not in (id_col, text_col)], F.lit(0).alias("_")))
+    return kept.groupBy(id_col, own).agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), others).alias("_row")).select("_row.*")
 
 
 def op9(spark, sf_dir):

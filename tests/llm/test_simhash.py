@@ -106,3 +106,14 @@ def test_query_on_documents_matches_all_pairs(spark, sf_dir):
     want = components(docs, [(a, b) for a in docs for b in docs if a < b and (fp[a] ^ fp[b]).bit_count() <= 2])
     assert got == {i: (f"{fp[i]:016x}", want[i]) for i in docs}
     assert F.lit(1) is not None
+
+
+def test_of_rows_that_differ_in_other_columns_the_first_stays(spark):
+    text = "one text that several rows share, with words enough for shingles"
+    rows = [(1, text, p, n) for p in ("q", "p", "r") for n in (3, 2)] + [(2, text + " and more words that differ from the first in many places at once", "a", 1), (None, None, None, None), (None, "", "x", 1)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, p string, text_hash int").repartition(parts)
+        got = simhash.near_duplicates_removed(df)
+        assert got.columns == df.columns
+        found = {r["doc_id"]: (r["p"], r["text_hash"]) for r in got.collect()}
+        assert found[1] == ("p", 2) and found[2] == ("a", 1) and got.count() == 3
