@@ -123,7 +123,7 @@ def test_medians_of_groups_with_nulls_ties_and_many_ranges(spark):
 
     from pyspark.sql import functions as F
 
-    from sparkscope.operators.medians import medians
+    from sparkscope.operators.quantiles import medians
 
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, rng.gauss(0, 9), float(rng.randrange(5))])) for _ in range(900)]
