@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import token_ratio_udf
+from ..sources.shared import written
 from .profile import frequencies, scalar_columns
 
 FUZZY = 0.85
+#: Pairs of values of two lengths that one character may bring together, and characters of a text that are paired with each other beyond that.
+HOT_PAIRS, MOST_FIRST = 1 << 20, 16
 # Characters from rare to frequent ones in names and codes; others come before them.
 RARE_FIRST = "9876543210qxjzvkwyfbghmpducltsnrioae- "
 
@@ -59,29 +62,74 @@ def _rarest_first(s: Column) -> Column:
     return F.transform(ordered, lambda x, i: F.concat_ws(":", x["c"], i - F.array_position(ordered, x)))
 
 
-def _meeting(df: DataFrame, text: str, n: str, other: str, least: float) -> DataFrame:
-    """df with a row for each length (other) that a partner may have and each character (gram) of which one must be in both texts."""
+def _partners(df: DataFrame, text: str, n: str, other: str, least: float) -> DataFrame:
+    """df with a row for each length (other) that a partner may have, the text's characters (grams) and how many they have in common at least."""
     near = least / (2 - least)
     out = df.withColumn(n, F.length(text)).withColumn("grams", F.when(F.col(n) > 0, _rarest_first(F.col(text))).otherwise(F.array(F.lit(""))))
     out = out.withColumn(other, F.explode(F.sequence(F.floor(F.col(n) * near).cast("int"), F.ceil(F.col(n) / near).cast("int"))))
     common = F.greatest(F.lit(1), F.ceil((F.col(n) + F.col(other)) * (least / 2) - 1e-6).cast("int"))
-    out = out.withColumn("few", F.greatest(F.col(n), F.lit(1)) - common + 1).where("few > 0")
-    return out.withColumn("gram", F.explode(F.slice("grams", 1, F.col("few")))).drop("grams", "few")
+    return out.withColumn("common", common).where(F.greatest(n, F.lit(1)) >= F.col("common"))
 
 
-def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = FUZZY) -> DataFrame:
-    """Values of a, not in b, for which b has an unmatched value more alike than least, each once.
+def _by_one(df: DataFrame, n: str) -> DataFrame:
+    """A row for each of the first characters of which one must be in both texts."""
+    return df.withColumn("gram", F.explode(F.slice("grams", 1, F.greatest(n, F.lit(1)) - F.col("common") + 1))).drop("grams", "common")
+
+
+def _by_two(df: DataFrame, n: str) -> DataFrame:
+    """A row for each two of the first characters of which two must be in both texts; there is one character more of these."""
+    first = df.withColumn("grams", F.slice("grams", 1, F.col(n) - F.col("common") + 2))
+    twos = F.flatten(F.transform("grams", lambda x, i: F.transform(F.slice("grams", i + 2, F.size("grams")), lambda y: F.concat_ws(" ", x, y))))
+    return first.withColumn("gram", F.explode(twos)).drop("grams", "common")
+
+
+def _alike(left: DataFrame, right: DataFrame, least: float, hot: int, also: Column | None = None) -> DataFrame:
+    """(value, other, and the further columns of both) of values of left and right that are more alike than least.
 
     A likeness over least bounds both lengths and sets how many characters two texts have in common at least, repeats counted;
     so of each text's characters, in one fixed order, a few of the first are enough for one of them to be in both. Values meet
     by lengths and such a character, the JVM drops pairs that are too far apart by an early-ending edit distance, and only the
-    rest is compared by common subsequence. Lengths with many values are split by the join itself.
+    rest, each pair once, is compared by common subsequence. Where a character would bring more than `hot` pairs of values of two
+    lengths together, those of these lengths meet by two characters instead, of which one more of the first must be looked at.
     """
-    left, right = a.join(b, "value", "left_anti"), b.join(a, "value", "left_anti")
     tokens = lambda c: F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda t: t != "")), " ")
-    left = _meeting(left.select("value", tokens(F.col("value")).alias("s")), "s", "n", "m", least)
-    right = _meeting(right.select(F.col("value").alias("other"), tokens(F.col("value")).alias("t")), "t", "m", "n", least)
+    left = _partners(left.withColumn("s", tokens(F.col("value"))), "s", "n", "m", least)
+    right = _partners(right.withColumnRenamed("value", "other").withColumn("t", tokens(F.col("other"))), "t", "m", "n", least)
+    on = ["n", "m", "gram"]
+    count = lambda df, n, k: _by_one(df.select("n", "m", "grams", "common"), n).groupBy(*on).agg(F.count("*").alias(k))
+    two = (F.col("common") >= 2) & (F.greatest("n", "m") - F.col("common") + 2 <= MOST_FIRST)
+    full = count(left.where(two), "n", "x").join(count(right.where(two), "m", "y"), on).where(F.col("x") * F.col("y") > hot).select("n", "m").distinct()
+    crowded = written(full, "crowded")  # two lengths a row
+    few, many = (lambda df: df.join(crowded, ["n", "m"], "left_anti")), (lambda df: df.join(crowded, ["n", "m"], "left_semi"))
     most = ((1 - least) * (F.col("n") + F.col("m"))).cast("int")
     # Half the edits suffice where letters are exchanged, so the edit distance never exceeds this bound.
-    close = left.join(right, ["n", "m", "gram"]).where(F.levenshtein("s", "t") <= most)
-    return close.where(token_ratio_udf("value", "other") > least).select("value").distinct()
+    close = F.levenshtein("s", "t") <= most
+    if also is not None:
+        close = also & close
+    met = _by_one(few(left), "n").join(_by_one(few(right), "m"), on).where(close).unionByName(_by_two(many(left), "n").join(_by_two(many(right), "m"), on).where(close))
+    return met.drop(*on, "s", "t").dropDuplicates(["value", "other"]).where(token_ratio_udf("value", "other") > least)
+
+
+def fuzzy_matches(a: DataFrame, b: DataFrame, least: float = FUZZY, hot: int = HOT_PAIRS) -> DataFrame:
+    """Values of a, not in b, for which b has an unmatched value more alike than least, each once."""
+    left, right = a.select("value").join(b, "value", "left_anti"), b.select("value").join(a, "value", "left_anti")
+    return _alike(left, right, least, hot).select("value").distinct()
+
+
+def fuzzy_pairs(values: DataFrame, pairs: DataFrame, least: float = FUZZY, hot: int = HOT_PAIRS) -> DataFrame:
+    """(table1, column1, table2, column2, fuzzy_matches) for pairs of columns: values of the first, not in the second, that some unmatched value of the second is like.
+
+    All pairs share one index. A text is in it once, with the pairs whose first and whose second column alone hold it, of which
+    there are as many as the schemas give; two texts are compared once, if some pair has the one on the left and the other
+    on the right. Pairs without such values have no row; null values are like nothing.
+    """
+    ends = ["table1", "column1", "table2", "column2"]
+    keyed = pairs.select(*ends).distinct().withColumn("pair", F.concat_ws("\x01", *ends))
+    side = lambda k: F.struct(F.col(f"table{k}").alias("table"), F.col(f"column{k}").alias("column"), F.col("pair"), F.lit(k).alias("side"))
+    sides = keyed.select(F.inline(F.array(side(1), side(2))))
+    of = lambda k: F.collect_set(F.when(F.col("side") == k, F.col("pair")))
+    at = values.where("value is not null").join(F.broadcast(sides), ["table", "column"]).groupBy("value").agg(of(1).alias("x"), of(2).alias("y"))
+    at = written(at.select("value", F.array_except("x", "y").alias("on_left"), F.array_except("y", "x").alias("on_right")), "fuzzy-values")
+    left, right = at.where(F.size("on_left") > 0).drop("on_right"), at.where(F.size("on_right") > 0).drop("on_left")
+    found = _alike(left, right, least, hot, F.arrays_overlap("on_left", "on_right")).select("value", F.explode(F.array_intersect("on_left", "on_right")).alias("pair")).distinct()
+    return found.groupBy("pair").agg(F.count("*").alias("fuzzy_matches")).join(F.broadcast(keyed), "pair").select(*ends, "fuzzy_matches")

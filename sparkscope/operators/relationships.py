@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 
 from ..functions.names import token_ratio, variations
 from ..functions.typed import as_text
-from ..sources.shared import discard, written
+from .kept import PAIR, KeptColumns
 from .overlap import fuzzy_matches, overlap, pair_overlaps
-from .profile import data_type_of, distinct_values, profiles_from, scalar_columns
-from .sketches import can_reach, column_facts, estimated
+from .profile import data_type_of, distinct_values, profiles_from
+from .sketches import can_reach, estimated
 
 HIGH, MEDIUM, LOW = 80, 60, 40
 HALF, SURE = 50, 60
@@ -96,13 +96,12 @@ def _forms(value: Column, t: T.DataType) -> list[Column]:
     return [*[value] * (len(made) - 1), made[-1]] if isinstance(t, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)) else made
 
 
-def format_pairs(values: DataFrame, overlaps: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of similarly named columns that meet only after a change of format: pair_overlaps' columns, kind and transformation.
+def format_pairs(values: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs (of near) of columns that meet after a change of format: pair_overlaps' columns, kind and transformation.
 
-    The raw overlap is below MEDIUM, that after the change reaches it; the first such change counts. The changed values of all columns
+    The overlap after the change reaches MEDIUM; the first such change counts. The changed values of all columns
     go through one more table of values and one count of pairs.
     """
-    near = names.where(F.col("similarity") >= FORMAT_NAMES)
     sides = near.select(F.explode(F.array(F.struct(F.col("table1").alias("table"), F.col("column1").alias("column")), F.struct(F.col("table2").alias("table"), F.col("column2").alias("column")))).alias("s")).select("s.*").distinct()
     changes = _changes(F.col("value"))
     each = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("value")) for i, (_, v) in enumerate(changes.values())])
@@ -111,8 +110,7 @@ def format_pairs(values: DataFrame, overlaps: DataFrame, names: DataFrame) -> Da
     cut = lambda c, k: F.element_at(F.split(c, "\x01"), k)
     met = pair_overlaps(apart).withColumn("i", cut("column1", 2).cast("int")).withColumn("column1", cut("column1", 1)).withColumn("column2", cut("column2", 1)).where(F.col("overlap_percent") >= MEDIUM)
     on = ["table1", "column1", "table2", "column2"]
-    raw = overlaps.where(F.col("overlap_percent") >= MEDIUM).select(*on)
-    first = met.join(F.broadcast(near.select(*on)), on).join(F.broadcast(raw), on, "left_anti").groupBy(*on).agg(F.min_by(F.struct(*[c for c in met.columns if c not in on]), "i").alias("f")).select(*on, "f.*")
+    first = met.join(F.broadcast(near.select(*on)), on).groupBy(*on).agg(F.min_by(F.struct(*[c for c in met.columns if c not in on]), "i").alias("f")).select(*on, "f.*")
     kinds = F.array(*[F.lit(k.rstrip("0123456789")) for k in changes])
     texts = F.array(*[F.lit(t) for t, _ in changes.values()])
     return first.withColumns({"kind": F.element_at(kinds, F.col("i") + 1), "transformation": F.element_at(texts, F.col("i") + 1)}).drop("i")
@@ -124,21 +122,15 @@ def _named(pairs: list[tuple]) -> DataFrame:
 
 @dataclass
 class Survivors:
-    """What a first scan leaves: pairs of columns whose values must be counted, pairs whose formats must be changed, and what is known of the columns."""
+    """What a first scan leaves: pairs of columns whose values must be counted, pairs whose formats must be changed, pairs of similarly named texts, and what is known of the columns."""
 
     counted: list[tuple]
     changed: list[tuple]
+    alike: list[tuple]
     facts: dict[tuple[str, str], dict]
 
-    @property
-    def columns(self) -> dict[str, list[str]]:
-        found: dict[str, list[str]] = {}
-        for t, c in sorted({(p[k], p[k + 1]) for p in (*self.counted, *self.changed) for k in (0, 2)}):
-            found.setdefault(t, []).append(c)
-        return found
 
-
-def survivors(tables: dict[str, DataFrame], pairs: list[tuple], least: float = LOW) -> Survivors:
+def survivors(kept: KeptColumns, pairs: list[tuple], least: float = LOW) -> Survivors:
     """The pairs of name_pairs that values must decide, by one scan of their columns and without a shuffle of values.
 
     A pair of one type goes on if the ends of both columns meet and their sketches don't rule out an overlap of `least` percent. A pair
@@ -146,12 +138,9 @@ def survivors(tables: dict[str, DataFrame], pairs: list[tuple], least: float = L
     are the same after every change. What is dropped can't meet a rule.
     """
     ends = lambda of: {(p[k], p[k + 1]) for p in of for k in (0, 2)}
-    columns: dict[str, list[str]] = {}
-    for t, c in sorted(ends(pairs)):
-        columns.setdefault(t, []).append(c)
-    if not columns:
-        return Survivors([], [], {})
-    made = written(column_facts(tables, columns, _forms, ends(p for p in pairs if p[6] >= FORMAT_NAMES)), "facts")
+    if not pairs:
+        return Survivors([], [], [], {})
+    made = kept.facts(ends(pairs), _forms, ends(p for p in pairs if p[6] >= FORMAT_NAMES))
     facts = {(r["table"], r["column"]): r.asDict() for r in made.drop("sketch", "forms").collect()}
     for f in facts.values():
         f["data_type"] = data_type_of(f["kind"], f["non_null"], f["whole"], f["numbers"], f["dates"])
@@ -159,8 +148,7 @@ def survivors(tables: dict[str, DataFrame], pairs: list[tuple], least: float = L
     estimates: dict[tuple, dict[int, tuple]] = {}
     for r in estimated(made, _named(pairs).select("table1", "column1", "table2", "column2")).collect():  # a row a pair of columns and form
         estimates.setdefault(tuple(r)[:4], {})[r["form"]] = (r["n1"], r["n2"], r["shared"])
-    discard(made)
-    counted, changed = [], []
+    counted, changed, alike = [], [], []
     for p in pairs:
         a, b = facts.get(p[:2]), facts.get(p[2:4])
         if not (a and b and a["non_null"] and b["non_null"]):
@@ -172,43 +160,55 @@ def survivors(tables: dict[str, DataFrame], pairs: list[tuple], least: float = L
         plain = all(x["kind"] == "NUMERIC" and x["data_type"] == "int" and not x["negative"] for x in (a, b))
         if p[6] >= FORMAT_NAMES and not plain and any(can_reach(MEDIUM, *e) for i, e in by_form.items() if i):
             changed.append(p)
-    return Survivors(counted, changed, facts)
+        if p[6] >= FORMAT_NAMES and a["data_type"] == b["data_type"] == "string":
+            alike.append(p)
+    return Survivors(counted, changed, alike, facts)
 
 
-def discover(tables: dict[str, DataFrame], validator: Callable[[DataFrame], DataFrame] | None = None, overlap_validator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def discover(
+    tables: dict[str, DataFrame] | KeptColumns, validator: Callable[[DataFrame], DataFrame] | None = None, overlap_validator: Callable[[DataFrame], DataFrame] | None = None, fuzzy: bool = False
+) -> DataFrame:
     """Relationships of all tables, best first, with ids in that order.
 
-    Rules in order: equal names, variations, changes of format, high overlap of unlike names, similar names. The fourth needs
+    Rules in order: equal names, variations, changes of format, values that are nearly alike, high overlap of unlike names, similar names.
+    The third and fourth are for similar names; the fourth is asked for by fuzzy, takes columns of texts, and counts the values in common
+    and those that an unmatched value of the other column is like. The fifth needs
     overlap_validator: it gets pairs of one type with at least half of the values in common and returns those it confirms with
     confidence (0 to 100). One scan with sketches drops the pairs of columns that can't meet a rule; only the distinct values of the other
-    columns are shuffled and counted, exactly.
+    columns are shuffled and counted, exactly. Given as KeptColumns, what was computed before a person's changes is not computed again.
     """
-    spark = next(iter(tables.values())).sparkSession
-    pairs = name_pairs({t: scalar_columns(df) for t, df in tables.items()})
+    kept = tables if isinstance(tables, KeptColumns) else KeptColumns(tables)
+    spark = next(iter(kept.tables.values())).sparkSession
+    pairs = name_pairs(kept.columns)
     if overlap_validator is None:
         pairs = [p for p in pairs if p[4] or p[5] or p[6] >= SEMANTIC_NAMES]
-    left = survivors(tables, pairs)
-    if not left.columns:
+    left = survivors(kept, pairs)
+    counted = [*left.counted, *left.changed, *(left.alike if fuzzy else [])]
+    if not counted:
         return spark.createDataFrame([], RELATIONSHIP)
-    names = _named(pairs)
-    known = written(distinct_values(tables, left.columns).where("value is not null"), "values")
-    sizes = {(r["table"], r["column"]): r["unique"] for r in known.groupBy("table", "column").agg(F.count("*").alias("unique")).collect()}
+    names, sizes = _named(pairs), kept.sizes({p[i : i + 2] for p in counted for i in (0, 2)})
     rows = [(t, c, f["data_type"], round(sizes[t, c] * 100.0 / f["non_null"], 4) >= 99.9, f["nulls"]) for (t, c), f in left.facts.items() if (t, c) in sizes]
     profiles = spark.createDataFrame(rows, "table string, column string, data_type string, is_unique boolean, null_percent double")
-    overlaps = written(pair_overlaps(known), "overlaps")
-    changing = _named(left.changed)
-    changed = format_pairs(known, overlaps, changing)
+    overlaps = kept.overlaps(counted)
+    # Of what is kept, formats of all similar names; which of them count follows from the overlaps.
+    changed = kept.formats(left.changed, lambda values, wanted: format_pairs(values, wanted)) if left.changed else None
     on = [F.col("source_table") == F.col("table1"), F.col("source_column") == F.col("column1"), F.col("target_table") == F.col("table2"), F.col("target_column") == F.col("column2")]
     named = candidates(profiles, overlaps, names, None).withColumn("transformation", F.lit(None).cast("string"))
     sure = named.where(~F.col("requires_validation"))
-    changed = changed.join(F.broadcast(sure), on, "left_anti")
-    formats = changed.select(
+    ends, found = ["source_table", "source_column", "target_table", "target_column"], sure
+    other = lambda df, method, score, how: df.select(
         F.col("table1").alias("source_table"), F.col("column1").alias("source_column"), F.col("table2").alias("target_table"), F.col("column2").alias("target_column"), F.lit("FORMAT_MISMATCH").alias("relationship_type"), F.lit("MEDIUM").alias("confidence_level"),
-        F.lit(75).cast("long").alias("confidence_score"), F.col("kind").alias("detection_method"), "overlap_percent", "exact_matches", F.col("orphans1").alias("orphans_in_source"), F.col("orphans2").alias("orphans_in_target"), F.lit("UNKNOWN").alias("cardinality"),
-        F.array().cast("array<string>").alias("warnings"), F.lit(False).alias("requires_validation"), "transformation",
+        F.lit(score).cast("long").alias("confidence_score"), method.alias("detection_method"), "overlap_percent", "exact_matches", F.col("orphans1").alias("orphans_in_source"), F.col("orphans2").alias("orphans_in_target"), F.lit("UNKNOWN").alias("cardinality"),
+        F.array().cast("array<string>").alias("warnings"), F.lit(False).alias("requires_validation"), how.alias("transformation"),
     )
-    ends = ["source_table", "source_column", "target_table", "target_column"]
-    found = sure.unionByName(formats)
+    met = overlaps.where(F.col("overlap_percent") >= MEDIUM)
+    if changed is not None:
+        changed = changed.join(F.broadcast(met), [*PAIR], "left_anti").join(F.broadcast(sure), on, "left_anti")
+        found = found.unionByName(other(changed, F.col("kind"), 75, F.col("transformation")))
+    if fuzzy and left.alike:
+        taken = {tuple(r) for r in found.select(*ends).collect()} | {tuple(r) for r in met.select(*PAIR).collect()}  # a row a relationship
+        if alike := [p for p in left.alike if p[:4] not in taken]:
+            found = found.unionByName(other(nearly_alike(kept.fuzzy(alike), overlaps, sizes), F.lit("FUZZY_VALUES"), 75, F.lit("FUZZY JOIN")))
     if overlap_validator is not None:
         found = found.unionByName(_high_overlaps(profiles, overlaps, overlap_validator).join(F.broadcast(found.select(*ends)), ends, "left_anti"))
     similar = named.where("requires_validation").join(F.broadcast(found.select(*ends)), ends, "left_anti")
@@ -217,6 +217,16 @@ def discover(tables: dict[str, DataFrame], validator: Callable[[DataFrame], Data
     return found.select(F.format_string("REL_%03d", F.row_number().over(w)).alias("relationship_id"), "*")
 
 
+def nearly_alike(fuzzy: DataFrame, overlaps: DataFrame, sizes: dict[tuple, int]) -> DataFrame:
+    """pair_overlaps' columns of pairs whose values in common and alike reach MEDIUM percent of the smaller column's. exact_matches are those in common, orphans of the first column those of neither kind."""
+    spark = fuzzy.sparkSession
+    side = lambda k: spark.createDataFrame([(t, c, n) for (t, c), n in sizes.items()], f"table{k} string, column{k} string, n{k} long")
+    p = fuzzy.join(F.broadcast(side(1)), ["table1", "column1"]).join(F.broadcast(side(2)), ["table2", "column2"]).join(F.broadcast(overlaps.select(*PAIR, "exact_matches")), [*PAIR], "left")
+    p = p.withColumn("exact_matches", F.coalesce("exact_matches", F.lit(0)))
+    share = F.round((F.col("exact_matches") + F.col("fuzzy_matches")) * 100.0 / F.least("n1", "n2"), 4)
+    return p.select(*PAIR, "exact_matches", share.alias("overlap_percent"), (F.col("n1") - F.col("exact_matches") - F.col("fuzzy_matches")).alias("orphans1"), (F.col("n2") - F.col("exact_matches")).alias("orphans2")).where(F.col("overlap_percent") >= MEDIUM)
+
+
 def _high_overlaps(profiles: DataFrame, overlaps: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs of one type that share at least half of their values, as far as confirm returns them with a confidence of 60 or more."""
     side = lambda k: profiles.select(F.col("table").alias(f"table{k}"), F.col("column").alias(f"column{k}"), F.col("data_type").alias(f"type{k}"))

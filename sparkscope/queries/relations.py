@@ -8,6 +8,7 @@ from ..functions.names import matcher_ratio_udf, normalized_col, token_ratio_udf
 from ..operators import duplicates as D
 from ..operators import overlap as O  # noqa: E741
 from ..operators import relationships as R
+from ..operators.kept import KeptColumns
 from .common import STAR, star, table
 
 #: Integer key columns of all star tables.
@@ -46,6 +47,30 @@ def fuzzy_overlap(spark, d):
     return R.fuzzy_overlap(names, names.select(F.when(F.pmod(F.crc32("value"), F.lit(3)) == 0, F.concat("value", F.lit("s"))).otherwise(F.col("value")).alias("value")).distinct())
 
 
+def fuzzy_all_pairs(spark, d):
+    """Values in common and values that are nearly alike, for two columns of texts against two that were changed by the length of their texts."""
+    kind = F.concat_ws(" ", "p_type", "p_brand")
+    a = table(spark, d, "part").select(F.col("p_name").alias("part_name"), kind.alias("part_kind"))
+    by = F.length("part_name") % 3
+    b = a.select(
+        F.when(by == 0, F.concat("part_name", F.lit("s"))).when(by == 1, F.replace("part_name", F.lit("e"), F.lit(""))).otherwise(F.col("part_name")).alias("part_names"),
+        F.when(F.length("part_kind") % 2 == 0, F.replace("part_kind", F.lit("#"), F.lit(""))).otherwise(F.col("part_kind")).alias("part_kinds"),
+    )
+    values, ends = O.values_of({"a": a, "b": b}), ["table1", "column1", "table2", "column2"]
+    pairs = spark.createDataFrame([("a", x, "b", y) for x in a.columns for y in b.columns], ", ".join(f"{c} string" for c in ends))
+    exact = O.pair_overlaps(values).select(*ends, "exact_matches")
+    met = pairs.join(O.fuzzy_pairs(values, pairs), ends, "left").join(exact, ends, "left")  # a row a pair of columns
+    return met.select("column1", "column2", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("exact_matches", "fuzzy_matches")])
+
+
+def rel_rerun(spark, d):
+    """Relationships after a person dropped one column and renamed another; the values are those of the first run."""
+    kept = KeptColumns(_two(spark, d))
+    R.discover(kept)
+    changed = kept.dropped("b", "cust_id").renamed("b", {"customer_id": "cust_id"})
+    return R.discover(changed).select("source_column", "target_column", "relationship_type", "confidence_level", "confidence_score", "detection_method", "cardinality", "overlap_percent", "exact_matches")
+
+
 def _two(spark, d):
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("cust_id"), F.col("c_name").alias("label"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey")).alias("agent_ref"))
     b = table(spark, d, "orders").select(F.col("o_custkey").alias("customer_id"), F.col("o_custkey").alias("cust_id"), F.col("o_orderkey").alias("order_no"))
@@ -127,12 +152,35 @@ def _entity_sql() -> str:
 FROM ({cols} UNION ALL SELECT * FROM (VALUES ('misc', ['row_id', 'start_date', 'amount']), ('other', ['row_id']), ('none', ['x'])) UNION ALL SELECT lower(n_name) || ['_payment', '_claim', '_branch'][n_nationkey % 3 + 1], [] FROM nation)"""
 
 
-QUERIES = {f.__name__: f for f in (overlap_pair, overlap_all_pairs, overlap_wide_keys, orphans, jaccard_content, fuzzy_overlap, rel_rules, rel_warnings, relationship_report, relationship_levels, rel_format, entity_typing, name_functions, dup_columns_measures, dup_columns_groups)}
+QUERIES = {f.__name__: f for f in (overlap_pair, overlap_all_pairs, overlap_wide_keys, orphans, jaccard_content, fuzzy_overlap, fuzzy_all_pairs, rel_rerun, rel_rules, rel_warnings, relationship_report, relationship_levels, rel_format, entity_typing, name_functions, dup_columns_measures, dup_columns_groups)}
 
 _COPIES = "SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS c2, c_acctbal, c_acctbal * 1.0005 AS near, c_acctbal * 1.01 AS far FROM customer"
 _TOLERANT = "round(avg(CASE WHEN abs(c_acctbal - {x}) < 0.001 * greatest(abs(c_acctbal), abs({x}), 1.0) THEN 1.0 ELSE 0.0 END), 6)"
 
+
+def _fuzzy_sql() -> str:
+    """Likeness by the longest common subsequence of texts whose words are sorted, over all pairs of values that an edit distance leaves."""
+    sides = {"part_name": "p_name", "part_kind": "concat_ws(' ', p_type, p_brand)"}
+    changed = {"part_names": "CASE length(v) % 3 WHEN 0 THEN v || 's' WHEN 1 THEN replace(v, 'e', '') ELSE v END", "part_kinds": "CASE length(v) % 2 WHEN 0 THEN replace(v, '#', '') ELSE v END"}
+    left = " UNION ".join(f"SELECT '{c}' AS c, {x} AS v FROM part WHERE {x} IS NOT NULL" for c, x in sides.items())
+    right = " UNION ".join(f"SELECT '{c}' AS c, {x} AS v FROM l WHERE c = '{s}'" for (c, x), s in zip(changed.items(), sides))
+    words = "array_to_string(list_sort(list_filter(string_split({}, ' '), lambda w: w <> '')), ' ')"
+    matches = "list_transform(string_split(s, ''), lambda x: list_transform(string_split(t, ''), lambda y: (x = y)::INT))"
+    step = "list_transform(range(1, length(t) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k], CASE WHEN k > 1 THEN r[k - 1] ELSE 0 END + m[k]))))"
+    lcs = f"list_last(list_reduce(list_concat([list_transform(string_split(t, ''), lambda y: 0)], {matches}), lambda r, m: {step}))"
+    return f"""WITH l AS ({left}), r AS ({right}), p AS (SELECT DISTINCT x.c AS c, y.c AS d FROM l x, r y),
+ml AS (SELECT p.c, p.d, l.v FROM p JOIN l ON l.c = p.c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.c = p.d AND r.v = l.v)), mr AS (SELECT p.c, p.d, r.v FROM p JOIN r ON r.c = p.d WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.c = p.c AND l.v = r.v)),
+near AS MATERIALIZED (SELECT * FROM (SELECT ml.c, ml.d, ml.v, {words.format('ml.v')} AS s, {words.format('mr.v')} AS t FROM ml JOIN mr USING (c, d)) WHERE levenshtein(s, t) <= 0.15 * (length(s) + length(t))),
+f AS (SELECT c, d, count(DISTINCT v) AS n FROM near WHERE 2.0::DOUBLE * {lcs} / (length(s) + length(t)) > 0.85::DOUBLE GROUP BY ALL),
+e AS (SELECT p.c, p.d, count(*) AS n FROM p JOIN l ON l.c = p.c JOIN r ON r.c = p.d AND r.v = l.v GROUP BY ALL)
+SELECT p.c AS column1, p.d AS column2, coalesce(e.n, 0) AS exact_matches, coalesce(f.n, 0) AS fuzzy_matches FROM p LEFT JOIN e ON e.c = p.c AND e.d = p.d LEFT JOIN f ON f.c = p.c AND f.d = p.d"""
+
+
 ORACLE_SQL = {
+    "fuzzy_all_pairs": _fuzzy_sql(),
+    "rel_rerun": """WITH n AS (SELECT count(DISTINCT c_custkey) = count(*) AS u, count(*) AS n FROM customer), o AS (SELECT count(*) AS k, (SELECT count(DISTINCT o_custkey) FROM orders) AS m FROM (SELECT DISTINCT o_custkey AS v FROM orders) JOIN customer ON v = c_custkey)
+SELECT 'cust_id' AS source_column, 'cust_id' AS target_column, CASE WHEN u THEN 'PRIMARY_KEY -> FOREIGN_KEY' ELSE 'POTENTIAL_JOIN' END AS relationship_type, 'HIGH' AS confidence_level, 95::BIGINT AS confidence_score, 'EXACT_NAME_AND_TYPE_MATCH' AS detection_method, CASE WHEN u THEN '1:N' ELSE 'UNKNOWN' END AS cardinality,
+       round(k * 100.0 / least(n, m), 4) AS overlap_percent, k AS exact_matches FROM n, o WHERE k * 100.0 / least(n, m) >= 80""",
     "overlap_pair": "WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_custkey IS NOT NULL), b AS (SELECT DISTINCT c_custkey AS v FROM customer), j AS (SELECT a.v AS x, b.v AS y FROM a FULL JOIN b ON a.v = b.v) SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS exact_matches, count(*) FILTER (y IS NULL) AS orphans1, count(*) FILTER (x IS NULL) AS orphans2, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) * 100.0 / least(count(x), count(y)), 4) AS overlap_percent, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) * 100.0 / count(*), 4) AS jaccard_percent FROM j",
     "overlap_all_pairs": _pairs_sql(),
     "overlap_wide_keys": """WITH v AS (SELECT DISTINCT 'a' AS t, 'big' AS c, CAST(o_orderkey + 1152921504606846976 AS HUGEINT) AS v FROM orders UNION SELECT 'a', 'small', o_custkey FROM orders UNION SELECT 'b', 'huge', l_orderkey + 1152921504606846976 - (l_orderkey % 3 = 0)::INT FROM lineitem UNION SELECT 'b', 'plain', l_suppkey FROM lineitem),
