@@ -82,6 +82,9 @@ class KeptColumns:
         parts, new = [], [f"new_{c}" for c in on]
         for frame, some in frames.values():
             keys = [self._origin(p) for p in some]
+            if keys == some and len(keys) == sum(f is frame for f in self._store[kind].values()):
+                parts.append(frame)  # all of it, under the names it has
+                continue
             # These reach the scan and skip row groups, as rows were written in this order; the join with a row a key does the rest.
             within = reduce(lambda x, y: x & y, [F.col(c).isin(sorted({k[i] for k in keys})) for i, c in enumerate(on)])
             names = frame.sparkSession.createDataFrame([(*k, *p) for k, p in zip(keys, some)], ", ".join(f"{c} string" for c in (*on, *new)))
