@@ -60,6 +60,20 @@ def _means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
+def _united(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """roots, where each row points at the least row that it is connected with, after rows a and b are connected pairwise."""
+    while True:
+        x, y = roots[a], roots[b]
+        apart = x != y
+        if not apart.any():
+            return roots
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        roots = roots.copy()
+        np.minimum.at(roots, np.maximum(x, y), np.minimum(x, y))
+        while (further := roots[roots] != roots).any():
+            roots[further] = roots[roots[further]]
+
+
 class Quantiser:
     """Coarse centroids and the code books of residuals' subspaces."""
 
@@ -166,13 +180,8 @@ def _links(reps: DataFrame, quantiser, cosine: float, reach: float, margin: floa
         codes, limit = np.frombuffer(b"".join(m["codes"]), dtype=np.uint8).reshape(len(m), -1), reach + m["error"].to_numpy() + SLACK
         node_m, node_q, w, w_q = m["node"].to_numpy(), q["node"].to_numpy(), m["w"].to_numpy(), q["w"].to_numpy()
         home, bits = q["home"].to_numpy(), np.frombuffer(b"".join(m["bits"]), dtype=np.uint8).reshape(len(m), -1)
-        joined: dict[int, int] = {}
-
-        def root(i):
-            while (p := joined.get(i, i)) != i:
-                joined[i] = i = joined.get(p, p)
-            return i
-
+        names, at_name = np.unique(np.concatenate([node_q, node_m]), return_inverse=True)
+        of_q, of_m, roots = at_name[: len(q)], at_name[len(q) :], np.arange(len(names))
         counts, back = np.zeros(len(q), dtype=np.int64), np.zeros(len(m), dtype=np.int64)
         for s in range(0, len(q), 256):
             at = qz.table_distances(xq[s : s + 256] / nq[s : s + 256, None], int(key[1]), codes) <= limit[None]
@@ -185,13 +194,10 @@ def _links(reps: DataFrame, quantiser, cosine: float, reach: float, margin: floa
                 np.add.at(counts, a, w[b])
                 unseen = bits[b, home[a] >> 3] >> (7 - (home[a] & 7)) & 1 == 0  # the member doesn't probe the query's list
                 np.add.at(back, b[unseen], w_q[a[unseen]])
-                for x, y in zip(node_q[a].tolist(), node_m[b].tolist()):
-                    x, y = root(x), root(y)
-                    if x != y:
-                        joined[max(x, y)] = min(x, y)
-        tied = [(i, 0, root(i)) for i in list(joined) if root(i) != i]
+                roots = _united(roots, of_q[a], of_m[b])
+        tied = np.flatnonzero(roots != np.arange(len(names)))
         some, more = np.flatnonzero(counts), np.flatnonzero(back)
-        return pd.DataFrame({"node": [*node_q[some].tolist(), *node_m[more].tolist(), *(t[0] for t in tied)], "n": [*counts[some].tolist(), *back[more].tolist(), *(0 for _ in tied)], "other": pd.array([*[None] * (len(some) + len(more)), *(t[2] for t in tied)], dtype="Int64")})
+        return pd.DataFrame({"node": np.concatenate([node_q[some], node_m[more], names[tied]]), "n": np.concatenate([counts[some], back[more], np.zeros(len(tied), dtype=np.int64)]), "other": pd.array([*[None] * (len(some) + len(more)), *names[roots[tied]].tolist()], dtype="Int64")})
 
     return as_members.unionByName(as_queries).groupBy("label", "list", "m", "q").applyInPandas(search, "node long, n long, other long")
 

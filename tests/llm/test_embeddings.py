@@ -33,6 +33,19 @@ def rows_of(r, n, dim):
     return out
 
 
+def test_rows_are_united_as_one_by_one():
+    r = np.random.default_rng(5)
+    for n, m in ((1, 0), (2, 3), (60, 30), (300, 260), (500, 4000)):
+        a, b = r.integers(0, n, size=m), r.integers(0, n, size=m)
+        roots = np.arange(n)
+        for s in range(0, m, 50):  # in parts, as blocks are searched
+            roots = embedding_dedup._united(roots, a[s : s + 50], b[s : s + 50])
+        groups, least = components(range(n), list(zip(a.tolist(), b.tolist()))), {}
+        for i in range(n):
+            least.setdefault(groups[i], i)
+        assert roots.tolist() == [least[groups[i]] for i in range(n)]
+
+
 @pytest.mark.parametrize("dim", [8, 64])
 def test_matches_all_pairs_over_small_lists_and_blocks(spark, dim):
     rows = rows_of(np.random.default_rng(dim), 300, dim)
