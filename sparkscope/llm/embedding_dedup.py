@@ -7,7 +7,11 @@ list and every list whose Voronoi cell comes near: (|q-c|^2 - |q-c1|^2) / (2 |c-
 left side is the distance to the plane halfway between c and c1. Partners in two lists lie on either side of the plane of their
 centroids, and their distances to it add up to R at most, so one of them is within R / 2 and probes the other's list: no link is
 missed, whatever the vectors. A link between lists that only one end probes is counted for both ends where it is found; each
-row has a bit for each list it probes, to tell. In a list, distances to the reconstructed vectors
+row has a bit for each list it probes, to tell.
+
+A list is what a task searches, so there are few, and each is cut into cells around centroids of its own. A query leaves out
+a cell whose rows are all further than R: beyond R plus the cell's radius from its centroid, or more than R behind the plane
+to the cell that the query is nearest to. In the other cells distances to the reconstructed vectors
 are sums of table entries, one table a subspace; by the triangle inequality a partner's is at most R plus its error, and what
 passes is compared exactly, in double precision.
 
@@ -31,8 +35,10 @@ from .components import connected_components
 COSINE = 0.93
 #: Vectors on which centroids and code books are fitted, whatever the size of the table.
 SAMPLE = 20_000
-#: Rows a list should have, rows of a list or of its queries in a task. A centroid is the mean of at least LEAST_OF_LIST sample vectors on average, so the sample bounds the lists.
-LIST_ROWS, BLOCK, LEAST_OF_LIST = 512, 2048, 4
+#: Rows of the most frequent label that a list should have, and rows of a list or of its queries in a task.
+LIST_ROWS, BLOCK = 4096, 4096
+#: Cells of a list. A centroid, of a list or a cell, is the mean of at least LEAST_OF_LIST sample vectors on average, so the sample bounds both.
+CELLS, LEAST_OF_LIST = 16, 4
 #: Rows whose distances to all centroids are held at once.
 CHUNK = 512
 SUBSPACES, CODES = 8, 256
@@ -75,11 +81,17 @@ def _united(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse centroids and the code books of residuals' subspaces."""
+    """Coarse centroids, those of the cells in each list, and the code books of residuals' subspaces."""
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.centres = _means(sample, min(lists, len(sample)), 8, 1)
-        residual = sample - self.centres[np.concatenate([_nearest(sample[s : s + CHUNK], self.centres)[0] for s in range(0, len(sample), CHUNK)])]
+        near = np.concatenate([_nearest(sample[s : s + CHUNK], self.centres)[0] for s in range(0, len(sample), CHUNK)])
+        residual = sample - self.centres[near]
+        self.cells = []
+        for k, centre in enumerate(self.centres):
+            of_list = sample[near == k]
+            n = min(CELLS, len(of_list) // LEAST_OF_LIST)
+            self.cells.append(_means(of_list, n, 5, 100 + k) if n > 1 else centre[None])
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.books = [_means(residual[:, a:b], min(CODES, len(sample)), 5, 2 + i) for i, (a, b) in enumerate(zip(self.cuts, self.cuts[1:]))]
 
@@ -98,12 +110,34 @@ class Quantiser:
         ok[np.arange(len(d)), near] = True
         return [np.flatnonzero(r) for r in ok]
 
-    def table_distances(self, q: np.ndarray, in_list: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of each query to each coded row, by look-up in a table for each subspace."""
-        residual, total = (q - self.centres[in_list]).astype(np.float32), np.zeros((len(q), len(codes)), dtype=np.float32)
-        for i, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            total += _nearest(residual[:, a:b], book.astype(np.float32))[1][:, codes[:, i]]
-        return np.sqrt(total)
+    def cell_of(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The cell of each row in its list."""
+        cell = np.zeros(len(x), dtype=np.int32)
+        for k in np.unique(near):
+            cell[near == k] = _nearest(x[near == k], self.cells[k])[0]
+        return cell
+
+    def open_cells(self, q: np.ndarray, in_list: int, radius: np.ndarray, reach: float) -> np.ndarray:
+        """Whether each query may have a partner in each cell; radius is negative for a cell without rows."""
+        cells = self.cells[in_list]
+        near, d = _nearest(q, cells)
+        gap = d - d[np.arange(len(d)), near][:, None]
+        apart = np.sqrt(_nearest(cells[near], cells)[1])
+        return (radius >= 0)[None] & (np.sqrt(d) <= reach + radius[None] + SLACK) & (gap <= 2 * (reach + SLACK) * apart + SLACK)
+
+    def tables(self, q: np.ndarray, in_list: int) -> list[np.ndarray]:
+        """For each subspace the squared distances of its codes (rows) to the queries (columns)."""
+        residual = (q - self.centres[in_list]).astype(np.float32)
+        return [np.ascontiguousarray(_nearest(residual[:, a:b], book.astype(np.float32))[1].T) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
+
+
+def _within(tables: list[np.ndarray], codes: np.ndarray, limit: np.ndarray, rows: np.ndarray | None, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) whose table distance is at most the member's limit; rows are the queries to look at, all if None."""
+    total = np.zeros((len(members), tables[0].shape[1] if rows is None else len(rows)), dtype=np.float32)
+    for i, t in enumerate(tables):
+        total += (t if rows is None else t[:, rows])[codes[members, i]]
+    b, a = np.nonzero(total <= (limit[members] ** 2)[:, None])
+    return (a if rows is None else rows[a]), members[b]
 
 
 def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, spread: float = SPREAD, list_rows: int = LIST_ROWS, block: int = BLOCK) -> DataFrame:
@@ -118,16 +152,16 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = rows.where(F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
     # One row for equal vectors of a label: rep is its smallest id, w its number of rows.
-    reps = staged(sound.groupBy("label", "v", "norm").agg(F.min("id").alias("rep"), F.count("*").alias("w")).withColumn("node", F.xxhash64("label", "v")), "vectors")
-    sizes = {r["d"]: r["n"] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    reps = staged(sound.groupBy("label", "v", "norm").agg(F.min("id").alias("rep"), F.count("*").alias("w")).withColumn("node", F.monotonically_increasing_id()), "vectors")
+    sizes = reps.groupBy(F.size("v").alias("d"), "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
     found = []
-    for dim, n in sizes.items():
+    for dim, n, most in sizes:
         of = reps.where(F.size("v") == dim)
         share = min(1.0, 1.2 * SAMPLE / n)
         sample = of.where(F.pmod(F.xxhash64("rep", "v"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("rep", "v")).limit(SAMPLE).select("v", "norm").toPandas()
         if not len(sample):
             sample = of.limit(SAMPLE).select("v", "norm").toPandas()
-        quantiser = spark.sparkContext.broadcast(Quantiser(np.stack(sample["v"]) / sample["norm"].to_numpy()[:, None], max(1, min(n // list_rows, len(sample) // LEAST_OF_LIST))))
+        quantiser = spark.sparkContext.broadcast(Quantiser(np.stack(sample["v"]) / sample["norm"].to_numpy()[:, None], max(1, min(most // list_rows, len(sample) // LEAST_OF_LIST))))
         found.append(_links(of, quantiser, cosine, reach, reach / 2 * min(1.0, spread / math.sqrt(dim)), block))
     if not found:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -137,15 +171,20 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     links = staged(links, "embedding-links")
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
     groups = connected_components(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = reps.join(counts, "node", "left").join(groups, "node", "left").select("node", "rep", "w", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "node").alias("g"))
+    named = reps.join(counts, "node", "left").join(groups, "node", "left").select(*_names(), "rep", "w", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "node").alias("g"))
     least = named.groupBy("g").agg(F.min("rep").alias("component_id"))
-    verdicts = named.join(least, "g").select("node", (F.col("n") + F.col("w") - 1).alias("n_links"), "component_id")
-    keyed = sound.select("id", F.xxhash64("label", "v").alias("node")).join(verdicts, "node").select("id", "n_links", "component_id")
+    verdicts = named.join(least, "g").select("name", "name_too", (F.col("n") + F.col("w") - 1).alias("n_links"), "component_id")
+    keyed = sound.select("id", *_names()).join(verdicts, ["name", "name_too"]).select("id", "n_links", "component_id")
     sound_mark = F.coalesce(F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0) & (norm < float("inf")), F.lit(False))
     alone = rows.where(~sound_mark).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return keyed.unionAll(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _names() -> list:
+    """128 bits that name a vector of a label, by which its rows find it again without a shuffle of vectors."""
+    return [F.xxhash64("label", "v").alias("name"), F.xxhash64(F.reverse("v"), "label").alias("name_too")]
+
+
 def _links(reps: DataFrame, quantiser, cosine: float, reach: float, margin: float, block: int) -> DataFrame:
     """(node, n, other): weights of vectors linked in one block of a list, and rows that connect what is linked there."""
 
@@ -159,16 +198,16 @@ def _links(reps: DataFrame, quantiser, cosine: float, reach: float, margin: floa
             bits = np.zeros((len(x), len(q.centres)), dtype=bool)
             for row, p in zip(bits, probes):
                 row[p] = True
-            yield pd.DataFrame({"node": pdf["node"], "label": pdf["label"], "w": pdf["w"], "v": pdf["v"], "norm": pdf["norm"], "list": near.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error, "probes": [p.astype(np.int32) for p in probes], "bits": [p.tobytes() for p in np.packbits(bits, axis=1)]})
+            yield pd.DataFrame({"node": pdf["node"], "label": pdf["label"], "w": pdf["w"], "v": pdf["v"], "norm": pdf["norm"], "list": near.astype(np.int32), "cell": q.cell_of(x, near), "codes": [c.tobytes() for c in codes], "error": error, "probes": [p.astype(np.int32) for p in probes], "bits": [p.tobytes() for p in np.packbits(bits, axis=1)]})
 
-    filed = staged(reps.select("node", "label", "w", "v", "norm").mapInPandas(file, "node long, label string, w long, v array<double>, norm double, list int, codes binary, error double, probes array<int>, bits binary"), "lists")
+    filed = staged(reps.select("node", "label", "w", "v", "norm").mapInPandas(file, "node long, label string, w long, v array<double>, norm double, list int, cell int, codes binary, error double, probes array<int>, bits binary"), "lists")
     members = filed.groupBy("label", "list").agg(F.count("*").alias("n_members"))
     probing = filed.select("label", F.explode("probes").alias("list")).groupBy("label", "list").agg(F.count("*").alias("n_queries"))
     blocks = members.join(probing, ["label", "list"]).select("label", "list", F.ceil(F.col("n_members") / block).cast("int").alias("mb"), F.ceil(F.col("n_queries") / block).cast("int").alias("qb"))
     salt = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    as_members = filed.join(blocks, ["label", "list"]).select("label", "list", salt("mb").alias("m"), "node", "w", "v", "norm", F.col("list").alias("home"), "codes", "error", "bits", "qb").select("*", each("qb").alias("q")).drop("qb")
-    as_queries = filed.select("node", "w", "v", "norm", "label", F.col("list").alias("home"), F.explode("probes").alias("list")).join(blocks, ["label", "list"]).select("label", "list", salt("qb").alias("q"), "node", "w", "v", "norm", "home", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("binary").alias("bits"), "mb").select("*", each("mb").alias("m")).drop("mb")
+    as_members = filed.join(blocks, ["label", "list"]).select("label", "list", salt("mb").alias("m"), "node", "w", "v", "norm", F.col("list").alias("home"), "cell", "codes", "error", "bits", "qb").select("*", each("qb").alias("q")).drop("qb")
+    as_queries = filed.select("node", "w", "v", "norm", "label", F.col("list").alias("home"), F.explode("probes").alias("list")).join(blocks, ["label", "list"]).select("label", "list", salt("qb").alias("q"), "node", "w", "v", "norm", "home", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("binary").alias("bits"), "mb").select("*", each("mb").alias("m")).drop("mb")
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         qz, is_member = quantiser.value, pdf["codes"].notna().to_numpy()
@@ -183,9 +222,16 @@ def _links(reps: DataFrame, quantiser, cosine: float, reach: float, margin: floa
         names, at_name = np.unique(np.concatenate([node_q, node_m]), return_inverse=True)
         of_q, of_m, roots = at_name[: len(q)], at_name[len(q) :], np.arange(len(names))
         counts, back = np.zeros(len(q), dtype=np.int64), np.zeros(len(m), dtype=np.int64)
+        in_list, cell = int(key[1]), m["cell"].to_numpy().astype(int)
+        radius = np.full(len(qz.cells[in_list]), -1.0)
+        np.maximum.at(radius, cell, np.linalg.norm(xm / nm[:, None] - qz.cells[in_list][cell], axis=1))
         for s in range(0, len(q), 256):
-            at = qz.table_distances(xq[s : s + 256] / nq[s : s + 256, None], int(key[1]), codes) <= limit[None]
-            i, j = np.nonzero(at)
+            u = xq[s : s + 256] / nq[s : s + 256, None]
+            tables, look = qz.tables(u, in_list), qz.open_cells(u, in_list, radius, reach)
+            often = look.mean(axis=0) > 0.5  # such cells are searched for all queries at once
+            found = [_within(tables, codes, limit, None, np.flatnonzero(often[cell]))]
+            found += [_within(tables, codes, limit, np.flatnonzero(look[:, c]), np.flatnonzero(cell == c)) for c in np.flatnonzero(look.any(axis=0) & ~often)]
+            i, j = (np.concatenate(x) for x in zip(*found))
             for t in range(0, len(i), 1 << 16):
                 a, b = i[t : t + (1 << 16)] + s, j[t : t + (1 << 16)]
                 cos = np.einsum("ij,ij->i", xq[a], xm[b]) / (nq[a] * nm[b])
