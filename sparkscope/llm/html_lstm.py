@@ -25,6 +25,7 @@ WIDTH = _PATH_WIDTH + WORD_SLOTS + NUMBERS + 1
 # Elements that tell what they hold.
 _TELLING = frozenset(TAGS.index(t) for t in "nav header footer aside form fieldset article main address details dialog menu ul ol table".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
+_RIGHTS = re.compile(r"©|\(c\)|\bcopyright\b", re.I)
 # Frequent words of four languages.
 COMMON = "the of and to in a is that for it was on are as with they at be this from have or by one had not but what all were when we there can your which their said if do will le la de et les des en un une est que dans pour qui sur der die das und in den von zu mit sich auf für ist nicht ein eine als el los las y que un una por con del se no su para es al lo como".split()
 _FREQUENT = frozenset([*COMMON, *"you we us i my our me about after before been more most some such than them they these those who would could into over under will up out so".split()])
@@ -53,7 +54,7 @@ def text_numbers(b: Block, place: float) -> tuple[float, ...]:
     """Numbers of a block's text, and a constant."""
     n, k = len(b.text), b.text.count(" ") + 1
     return (
-        math.log1p(k) / 4, math.log1p(n) / 6, min(1.0, b.linked / n), n / k / 10, b.text[-1] in ".?!:\"'", b.text[0].isupper(), "©" in b.text, sum(map(b.text.count, "0123456789")) / n, place,
+        math.log1p(k) / 4, math.log1p(n) / 6, min(1.0, b.linked / n), n / k / 10, b.text[-1] in ".?!:\"'", b.text[0].isupper(), _RIGHTS.search(b.text) is not None, sum(map(b.text.count, "0123456789")) / n, place,
         min(1.0, b.path.depth / 12), 1.0,
     )
 
@@ -175,7 +176,7 @@ class Labeller:
         h = np.concatenate([ran[0][0], ran[1][0], np.ones((len(z), 1), dtype=np.float32)], axis=1)
         return h, _sigmoid(h @ self.p["o"] + z[:, -1:])[:, 0], ran
 
-    def fit(self, pages: list[tuple[list[Block], list[int]]], epochs: int = 10, size: int = 40, rate: float = 0.03, seed: int = 3) -> Labeller:
+    def fit(self, pages: list[tuple[list[Block], list[int]]], epochs: int = 8, size: int = 40, rate: float = 0.03, seed: int = 3) -> Labeller:
         r, step = np.random.default_rng(seed), 0
         number: dict[tuple[frozenset[int], int], int] = {}
         data = []
@@ -247,18 +248,18 @@ MAIN = "article content post entry story main body text page blog news single he
 REST = {
     "menu": "nav menu navigation navbar topnav links breadcrumb breadcrumbs tabs pagination pager toc", "header": "header masthead topbar branding logo banner hero",
     "footer": "footer colophon bottom legal copyright credits", "side": "sidebar aside widget related recommended trending popular more teaser", "advert": "ad ads advert advertisement sponsor sponsored promo adsense banner partner outbrain",
-    "notice": "cookie notice consent gdpr alert popup modal overlay banner message privacy", "form": "form search newsletter subscribe signup login contact", "comments": "comment comments reply replies discussion disqus respond reader commentlist thread", "share": "share social follow tags meta rating",
+    "notice": "cookie notice consent gdpr alert popup modal overlay banner message privacy", "form": "form search newsletter subscribe signup login contact", "comments": "comment comments reply replies responses discussion disqus respond reader commentlist thread", "share": "share social follow tags meta rating", "byline": "meta footer byline author info date posted published labels",
 }
 PHRASES = {
     "menu": ["Home", "About us", "Contact", "News", "Products", "Accueil", "Startseite", "Inicio", "Next", "Previous"], "header": ["Welcome", "The Daily", "Your source of news", "Skip to content"],
     "footer": ["© 2024 All rights reserved.", "Privacy policy", "Terms of use", "Impressum", "Tous droits réservés", "Aviso legal"], "side": ["Related articles", "Most read", "You may also like", "Read more"],
     "advert": ["Buy now", "Advertisement", "Sponsored", "Special offer: 50% off today", "Anzeige", "Publicité"], "notice": ["We use cookies to improve your experience.", "Accept all", "Your browser is out of date.", "This site uses cookies."],
     "form": ["Your email address", "Subscribe to our newsletter", "Search", "Name", "Password", "Send"], "comments": ["Comments (12)", "Great article!", "Reply", "I disagree with this.", "Leave a comment", "Anonymous says:"],
-    "share": ["Share this", "Tweet", "Follow us", "Tags: news", "Like"],
+    "share": ["Share this", "Tweet", "Follow us", "Tags: news", "Like"], "byline": ["Posted by Ann at 10:00", "By Ann", "Published on 3 May 2024", "Labels: news, local", "0 comments", "Written by", "Von Anna", "Par Anne"],
 }
-ELEMENTS = {"menu": ["nav", "div", "ul", "nav"], "header": ["header", "div"], "footer": ["footer", "div", "footer"], "side": ["aside", "div", "section"], "advert": ["div", "div", "aside", "section"], "notice": ["div", "section", "dialog"], "form": ["form", "form", "div"], "comments": ["section", "div", "ol", "ul"], "share": ["div", "ul"]}
+ELEMENTS = {"menu": ["nav", "div", "ul", "nav"], "header": ["header", "div"], "footer": ["footer", "div", "footer"], "side": ["aside", "div", "section"], "advert": ["div", "div", "aside", "section"], "notice": ["div", "section", "dialog"], "form": ["form", "form", "div"], "comments": ["section", "div", "ol", "ul"], "share": ["div", "ul"], "byline": ["div", "div", "p", "footer"]}
 LETTERS, ACCENTS = "etaoinshrdlucmfwypvbgkjqxz", "äöüßéèêçñáíóú"
-PLAIN = ["", "", "", "", "", "", "container", "wrapper", "row", "col", "page", "site", "outer", "inner", "layout", "grid", "block", "area", "primary", "box", "js", "top", "the", "content-area"]
+PLAIN = ["", "", "", "", "", "", "container", "wrapper", "wrap", "row", "col", "page", "site", "outer", "inner", "layout", "grid", "block", "area", "primary", "box", "js", "top", "the", "content-area"]
 #: Words drawn once, from which texts are put together; words of a text.
 VOCABULARY, LONGEST = 6000, 60
 
@@ -273,6 +274,7 @@ class Pages:
         self.r = r = random.Random(seed)
         self.made = ["".join(r.choices(LETTERS, k=r.randint(1, 12))) for _ in range(VOCABULARY)]
         self.made = [w[: len(w) // 2] + r.choice(ACCENTS) + w[len(w) // 2 :] if r.random() < 0.1 else w for w in self.made]
+        self.style: str | None = None
         self.marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "<>&"] + ["&amp;", "&lt;", "&nbsp;", "&#8364;"]
 
     def pick(self, of):
@@ -324,7 +326,7 @@ class Pages:
             return f'<a href="/x">{t}</a>' if self.chance(linked) else t
 
         tag, n = self.pick(ELEMENTS[kind]), self.upto({"menu": 7, "comments": 5, "side": 5}.get(kind, 3))
-        marked = self.marker(words) if tag in ("div", "section", "ul", "ol", "aside") or self.chance(0.4) else ""
+        marked = f"{self.pick(MAIN.split())}-{self.pick(words)}" if kind == "byline" and self.chance(0.5) else self.marker(words) if kind == "byline" or tag in ("div", "section", "ul", "ol", "aside") or self.chance(0.4) else ""
         if kind == "menu" and self.chance(0.15):  # links alone show what it is
             return self.wrap(self.pick(["div", "p", "ul"]), self.pick([" ", " | ", ""]).join(f'<a href="/x">{self.words(self.upto(3))}</a>' for _ in range(n + 1)))
         if tag in ("ul", "ol"):
@@ -333,6 +335,8 @@ class Pages:
             inner = self.wrap("ul", "".join(self.wrap("li", leaf()) for _ in range(n)))
         elif kind == "form":
             inner = "".join(f"<label>{leaf()}</label><input name=x>" + self.pick(["<br>", "", "<p>"]) for _ in range(n))
+            if self.chance(0.3):
+                inner = self.wrap(self.pick(["p", "h3", "div"]), self.words(self.upto(12, 25))) + inner
         elif n == 1 or self.chance(0.3):
             inner = leaf()
         else:
@@ -341,8 +345,14 @@ class Pages:
             inner = self.wrap(self.pick(["h2", "h3", "h4"]), self.pick(PHRASES[kind])) + inner
         return self.wrap(tag, inner, marked)
 
+    def colophon(self) -> str:
+        """The last line of a page, which only its words tell from a paragraph."""
+        year = self.pick(["", "1998-", "2001, "]) + str(self.r.randint(1995, 2030))
+        text = f"{self.pick(['Copyright', 'Copyright', '&copy;', 'Copyright &copy;', '(c)'])} {self.pick([year, year, ''])} {self.words(self.upto(4))}"
+        return self.wrap(self.pick(["div", "div", "p", "center"]), text + self.pick(["", "", " All rights reserved."]))
+
     def main_part(self) -> str:
-        tag = self.pick(["p"] * 12 + ["h2", "h3", "ul", "ul", "ul", "blockquote", "table", "pre", "figure", "open", "open", "div", "dl", "text", "text", "text"])
+        tag = self.style if self.style and self.chance(0.85) else self.pick(["p"] * 12 + ["h2", "h3", "ul", "ul", "ul", "blockquote", "table", "pre", "figure", "open", "open", "div", "dl", "text", "text", "text"])
         if tag == "ul":
             return self.wrap(self.pick(["ul", "ol"]), "".join(self.wrap("li", self.words(self.upto(20))) for _ in range(self.upto(5))))
         if tag == "blockquote":
@@ -369,35 +379,47 @@ class Pages:
         fence = lambda label, s: f"\x01{label}{s}\x02"
         rest = lambda *kinds: "".join(fence(0, self.rest(k)) for k in kinds)
         some = lambda share, *kinds: rest(*(k for k in self.r.sample(kinds, len(kinds)) if self.chance(share)))
+        # On many pages all paragraphs are written alike.
+        self.style = self.pick(["p", "p", "div", "text", "text", "open"]) if self.chance(0.35) else None
         parts = [fence(1, self.main_part()) for _ in range(self.upto(1, 1, 2, 4, 8, 12))]
         if self.chance(0.5):
-            parts.insert(0, fence(1, self.wrap(self.pick(["h1", "h1", "h2"]), self.words(self.upto(10)))))
+            title = self.words(self.upto(10))
+            parts.insert(0, fence(1, f"<b>{title}</b><br><br>" if self.style == "text" and self.chance(0.6) else self.wrap(self.pick(["h1", "h1", "h2"]), title)))
         if self.chance(0.45):
             for _ in range(self.upto(4)):
                 parts.insert(self.r.randint(0, len(parts)), rest(self.pick(["advert", "advert", "share", "side", "form", "notice"])))
         inner = "".join(parts)
         if self.chance(0.25):
             inner += some(0.6, "share", "comments")
+        byline = rest("byline") if self.chance(0.25) else ""
+        if byline and self.chance(0.5):
+            inner, byline = inner + byline, ""
         main, kind, alone = MAIN.split(), self.r.random(), False
         if kind < 0.22:
             body, alone = self.wrap("article", inner, self.marker(main) if self.chance(0.4) else ""), True
         elif kind < 0.28:
             body, alone = self.wrap("main", inner), True
         elif kind < 0.5:
-            body = self.wrap(self.pick(["div", "div", "section"]), inner, self.pick([self.pick(main), f"{self.pick(main)}-{self.pick(main)}", f"{self.pick(main)} {self.pick(main)}", self.marker(main)]))
+            body = self.wrap(self.pick(["div", "div", "section"]), inner, self.pick([self.pick(main), f"{self.pick(main)}-{self.pick(main)}", f"{self.pick(main)} {self.pick(main)}", self.marker(main), self.pick(self.made)]))
         elif kind < 0.75:
             body = self.wrap(self.pick(["div", "section", "center"]), inner)
             if self.chance(0.25):
                 links = fence(0, "<br>".join(f'<a href="/x">{self.words(self.upto(3))}</a>' for _ in range(self.upto(5))))
                 side = self.pick([self.wrap("td", links, self.marker(REST["menu"].split())), self.wrap("td", some(0.8, "menu"))])
-                body = f"<table><tr>{side}<td>{inner}</td></tr></table>"
+                other = self.pick(["", "", self.wrap("td", some(0.8, "side", "advert")), self.wrap("td", fence(0, f'<a href="/x">{self.words(self.upto(3))}</a><br><a href="/x">{self.words(self.upto(3))}</a>'))])
+                last = f"<tr><td colspan=3>{fence(0, self.pick([self.colophon, lambda: f'Copyright {self.words(self.upto(3))}'])())}</td></tr>" if self.chance(0.4) else ""
+                body = f"<table><tr>{side}<td>{inner}</td>{other}</tr>{last}</table>"
         else:
             body = inner
+        if byline:
+            body = self.wrap("div", body + byline, self.pick(["", self.pick(main)]))
         if self.chance(0.35):
             body += some(0.7, "comments", "side", "share")
         for _ in range(self.pick([0, 0, 1, 2, 3])):
             body = self.wrap(self.pick(["div", "div", "div", "main", "section"]), body, f"{self.pick(PLAIN)} {self.pick(PLAIN)}".strip())
         before, after = some(0.6, "notice", "header", "menu", "advert", "side"), some(0.45, "comments", "side", "advert", "share", "form", "menu") + some(0.65, "footer") + some(0.2, "notice")
+        if self.chance(0.15):
+            after += fence(0, self.colophon())
         if alone and self.chance(0.05):
             before += fence(0, self.wrap(self.pick(["div", "span", "p"]), self.words(self.upto(5))))
         return f"<html><head><title>x</title></head><body>{before}{body}{after}</body></html>"
@@ -428,7 +450,7 @@ def training_pages(n: int, seed: int = 11) -> list[tuple[list[Block], list[int]]
 
 
 #: Pages the labeller is trained on.
-TRAINING_PAGES = 2500
+TRAINING_PAGES = 4000
 
 _trained: dict[int, Labeller] = {}
 

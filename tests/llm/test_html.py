@@ -1,13 +1,15 @@
 import html
+import math
 import re
 
+import numpy as np
 import pytest
 
 from sparkscope.llm import html_lstm
 from sparkscope.llm.html_blocks import blocks
 from sparkscope.llm.html_extract import extract, main_texts
 from sparkscope.llm.html_lstm import trained
-from tests.llm import layouts
+from tests.llm import layouts, unseen
 
 P1 = "The council met on Tuesday evening to discuss the new bridge over the river, which has been planned for years."
 P2 = "Costs are expected to rise &amp; fall again, said one member, who did not wish to be named in this report."
@@ -34,6 +36,42 @@ def test_main_text_of_pages_made_by_hand(name):
     assert main_texts([layouts.page(name)], trained()) == [layouts.PAGES[name][1]]
 
 
+def test_unseen_pages_by_hand():
+    """Nothing is tuned until these pages come out; the figure measured when they were written is in the README."""
+    right = sum(main_texts([unseen.page(n)], trained()) == [unseen.PAGES[n][1]] for n in unseen.PAGES)
+    assert right >= 0.9 * len(unseen.PAGES)
+
+
+def plain_probabilities(labeller, found):
+    """The network one block and one gate at a time, in double precision."""
+    w, n, words_at = labeller.p["w"].astype(float), html_lstm.HIDDEN, html_lstm._PATH_WIDTH
+    z = []
+    for k, b in enumerate(found):
+        x = np.zeros(html_lstm.WIDTH)
+        x[:words_at] = html_lstm.path_vector(b.path)
+        for slot, weight in zip(*html_lstm.text_words(b)):
+            x[words_at + slot] += weight
+        x[words_at + html_lstm.WORD_SLOTS :] = html_lstm.text_numbers(b, k / len(found))
+        z.append(x @ w)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    states = {}
+    for side, name, order in ((0, "rf", range(len(found))), (1, "rb", range(len(found) - 1, -1, -1))):
+        h, c = [0.0] * n, [0.0] * n
+        for k in order:
+            gate = [z[k][side * 4 * n + g] + sum(h[i] * float(labeller.p[name][i, g]) for i in range(n)) for g in range(4 * n)]
+            c = [sigmoid(gate[n + i]) * c[i] + sigmoid(gate[i]) * math.tanh(gate[2 * n + i]) for i in range(n)]
+            h = [sigmoid(gate[3 * n + i]) * math.tanh(c[i]) for i in range(n)]
+            states[side, k] = h
+    o = labeller.p["o"][:, 0].astype(float)
+    return [sigmoid(float(np.dot([*states[0, k], *states[1, k], 1.0], o)) + z[k][-1]) for k in range(len(found))]
+
+
+def test_network_equals_a_plain_one():
+    pages = [blocks(layouts.page(n)) for n in layouts.PAGES] + [[]]
+    for found, got in zip(pages, trained().probabilities(pages)):
+        assert np.allclose(got, plain_probabilities(trained(), found), atol=1e-4)
+
+
 def test_training_happens_once_in_a_shared_folder(tmp_path, monkeypatch):
     folder = f"file://{tmp_path}/models"
     monkeypatch.setattr(html_lstm, "_trained", {})
