@@ -41,3 +41,9 @@ def whole_number(v: Column, t: T.DataType) -> Column:
         return F.when(v == F.floor(v), F.floor(v)).try_cast("decimal(38,0)")
     d = v.cast("double")
     return F.when(F.abs(d) < LONGS, F.when(d == F.floor(d), F.floor(d))).cast("decimal(38,0)")
+
+
+def as_number(text: Column) -> Column:
+    """A text's try_cast to double. A text that can't be a number, for want of a digit or by a letter that no number has, is not tried: a failed cast costs many times a match."""
+    able = text.rlike("(?i)[0-9]|inf|nan") & ~text.rlike("(?i)[ghjklmoqrsuvwz]")
+    return F.when(able, text.try_cast("double"))

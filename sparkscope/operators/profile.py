@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import normalized
-from ..functions.typed import as_text, whole_number
+from ..functions.typed import as_number, as_text, whole_number
 from .quantiles import medians
 
 TOP, SAMPLES = 20, 5
@@ -231,15 +231,33 @@ def id_like(df: DataFrame, columns: list[str], share: float = 0.8) -> DataFrame:
     return made.join(F.broadcast(sequential(df, whole).select("column", "is_sequential")), "column", "left").select("column", (F.col("looks_like_id") | F.coalesce("is_sequential", F.lit(False))).alias("looks_like_id"))
 
 
+def _grouped_as(t: T.DataType) -> str:
+    """The type by which equal values of a column are grouped: its own where unlike values have unlike texts, else text."""
+    if isinstance(t, T.IntegralType):
+        return "long"
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        return "double"
+    return "date" if isinstance(t, T.DateType) else "timestamp_ntz" if isinstance(t, T.TimestampNTZType) else "string"
+
+
 def distinct_values(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
     """(table, column, value, n) of the distinct values of the columns of all tables, nulls too, as exact text; n rows have it.
 
-    One scan a table, one shuffle for all, pre-aggregated. Tables without columns have no rows.
+    Values are grouped by type, pre-aggregated, with one scan a table and one shuffle for each type; numbers and times become
+    text when they have been grouped. Tables without columns have no rows.
     """
-    row = lambda t, df, c: F.struct(F.lit(t).alias("table"), F.lit(c).alias("column"), as_text(df, c).alias("value"))
-    wanted = {t: scalar_columns(df) if columns is None else columns.get(t, []) for t, df in tables.items()}
-    parts = [df.select(F.inline(F.array(*[row(t, df, c) for c in wanted[t]]))) for t, df in tables.items() if wanted[t]]
-    return reduce(DataFrame.unionByName, parts).groupBy("table", "column", "value").agg(F.count("*").alias("n"))
+    wanted = [(t, c) for t, df in tables.items() for c in (scalar_columns(df) if columns is None else columns.get(t, []))]
+    kinds: dict[str, dict[str, list[Column]]] = {}
+    for i, (t, c) in enumerate(wanted):
+        kind = _grouped_as(tables[t].schema[c].dataType)
+        v = as_text(tables[t], c) if kind == "string" else F.col(f"`{c}`").cast(kind)
+        kinds.setdefault(kind, {}).setdefault(t, []).append(F.struct(F.lit(i).alias("i"), v.alias("value")))
+    name = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in wanted]), F.col("i") + 1)
+    parts = []
+    for of in kinds.values():
+        f = reduce(DataFrame.unionByName, [tables[t].select(F.inline(F.array(*rows))) for t, rows in of.items()]).groupBy("i", "value").agg(F.count("*").alias("n"))
+        parts.append(f.select(name(0).alias("table"), name(1).alias("column"), as_text(f, "value").alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def data_type_of(kind: str, some: int, whole: bool, numbers: int, dates: bool) -> str:
@@ -253,13 +271,14 @@ def data_type_of(kind: str, some: int, whole: bool, numbers: int, dates: bool) -
     return {"DATETIME": "datetime", "BOOLEAN": "boolean"}.get(kind, "mixed")
 
 
-def profiles_from(tables: dict[str, DataFrame], values: DataFrame) -> DataFrame:
+def profiles_from(tables: dict[str, DataFrame], values: DataFrame, statistics: bool = True) -> DataFrame:
     """Column profiles of tables by their distinct_values and one more scan of the numbers, for ends, means and medians. A row a column: metadata, made on the driver.
 
-    Whether whole numbers stand in a row follows from their ends and counts for nearly all columns; the others are counted.
+    Whether whole numbers stand in a row follows from their ends and counts for nearly all columns; the others are counted. Without
+    statistics the second scan is left out, and ends, means, medians, deviations and is_sequential are null.
     """
     spark, v, n = values.sparkSession, F.col("value"), F.col("n")
-    known, number = v.isNotNull(), v.try_cast("double")
+    known, number = v.isNotNull(), as_number(v)
     counts = values.groupBy("table", "column").agg(
         F.sum("n").alias("rows"), F.sum(F.when(known, n).otherwise(0)).alias("non_null"), F.count("value").alias("unique"), F.sum(F.when(v == "", n).otherwise(0)).alias("empty"),
         F.sum(F.when(number.isNotNull(), n).otherwise(0)).alias("numbers"), F.bool_and(~known | (number == F.floor(number))).alias("whole"), F.bool_and(~known | (v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & v.try_cast("timestamp").isNotNull())).alias("dates"),
@@ -267,7 +286,7 @@ def profiles_from(tables: dict[str, DataFrame], values: DataFrame) -> DataFrame:
     found = {(r["table"], r["column"]): r for r in counts.collect()}
     moments, in_a_row = [], {}
     for t, df in tables.items():
-        cols = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+        cols = [f.name for f in df.schema if statistics and isinstance(f.dataType, T.NumericType)]
         d = lambda c: F.col(f"`{c}`").cast("double")
         w = lambda c: whole_number(F.col(f"`{c}`"), df.schema[c].dataType)  # noqa: B023, E731
         if cols:

@@ -34,9 +34,9 @@ ENTITIES = [
 ]
 
 
-def profiles_of(tables: dict[str, DataFrame]) -> DataFrame:
-    """Column profiles of all tables, their values shuffled together once."""
-    return profiles_from(tables, distinct_values(tables))
+def profiles_of(tables: dict[str, DataFrame], statistics: bool = True) -> DataFrame:
+    """Column profiles of all tables, their values shuffled together once a type."""
+    return profiles_from(tables, distinct_values(tables), statistics)
 
 
 def cardinality(unique1: Column, unique2: Column) -> tuple[Column, Column]:
@@ -93,7 +93,9 @@ def _changes(value: Column) -> dict[str, tuple[str, Column]]:
 def _forms(value: Column, t: T.DataType) -> list[Column]:
     """The changed values that a sketch is kept of. Texts of whole numbers, dates and times have neither letters nor prefixes."""
     made = [F.when(v != "", v) for _, v in _changes(value).values()]
-    return [*[value] * (len(made) - 1), made[-1]] if isinstance(t, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)) else made
+    if isinstance(t, T.IntegralType):
+        return [*[value] * (len(made) - 1), F.when(value.startswith("-"), made[-1]).otherwise(value)]
+    return [*[value] * (len(made) - 1), made[-1]] if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) else made
 
 
 def format_pairs(values: DataFrame, near: DataFrame) -> DataFrame:

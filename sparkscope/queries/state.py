@@ -153,7 +153,7 @@ def column_preview(spark, d):
 
 
 def table_summary(spark, d):
-    p = reduce(DataFrame.unionByName, [P.column_profiles(df, t) for t, df in star(spark, d).items()])
+    p = R.profiles_of(star(spark, d), statistics=False)
     return P.table_summary(p).select("table", "row_count", F.col("column_count"), "null_cells", "columns")
 
 
