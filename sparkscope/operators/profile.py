@@ -15,9 +15,12 @@ from pyspark.sql import types as T
 
 from ..functions.names import normalized
 from ..functions.typed import as_number, as_text, whole_number
+from ..sources.shared import discard, written
 from .quantiles import medians
 
 TOP, SAMPLES = 20, 5
+#: Rows that a task holds at once where their number is known.
+TASK_ROWS = 1_000_000
 MOSTLY_UNIQUE, FOREIGN_KEY, LEAST_CARDINALITY = 0.95, 0.70, 10
 # Date formats by their pattern.
 DATE_FORMATS = [(r"^\d{4}-\d{2}-\d{2}$", "%Y-%m-%d"), (r"^\d{2}/\d{2}/\d{4}$", "%m/%d/%Y"), (r"^\d{2}-\d{2}-\d{4}$", "%d-%m-%Y"), (r"^\d{4}/\d{2}/\d{2}$", "%Y/%m/%d"), (r"^\d{2}\.\d{2}\.\d{4}$", "%d.%m.%Y")]
@@ -358,11 +361,17 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[safe(F.col(f"`{c}`"), t).alias(c) for c, t in df.dtypes]), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df by the hash of some columns in as many partitions as its rows need, so that what a task holds does not grow with the table."""
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *by)
+
+
 def composite_keys(df: DataFrame, columns: list[str] | None = None, most: int = 10) -> DataFrame:
     """(columns, size): pairs of columns without duplicate rows, or triples if there is no pair.
 
     Columns come in with between 10 and 95 % distinct values, the first ten of them. One aggregate of sketches drops the
-    combinations that are far from unique; those left are counted exactly, all in one shuffle of pre-aggregated keys.
+    combinations that are far from unique. Of those left the keys' hashes are dealt out and counted; keys whose hashes repeat are
+    counted themselves, so the result is exact. A task holds TASK_ROWS rows or so.
     """
     cols, spark = columns, df.sparkSession
     if cols is None:
@@ -370,15 +379,22 @@ def composite_keys(df: DataFrame, columns: list[str] | None = None, most: int =
         cols = [c for c in scalar_columns(df) if 0.1 < cardinality[c] < 0.95][:most]
     key = lambda of: F.to_json(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in of]))
     found: list[tuple[str, ...]] = []
-    for size in (2, 3):
+    for size in (2, 3):  # a hash passes over nulls, so it takes in where they are
         ways = [*combinations(cols, size)]
         if not ways:
             continue
-        row = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.xxhash64(*[F.col(f"`{c}`") for c in of]), 0.01).alias(f"w{i}") for i, of in enumerate(ways)]).first()
+        row = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.xxhash64(*[x for c in of for x in (F.col(f"`{c}`"), F.isnull(f"`{c}`"))]), 0.01).alias(f"w{i}") for i, of in enumerate(ways)]).first()
         near = [(i, of) for i, of in enumerate(ways) if row[f"w{i}"] >= 0.95 * row["n"]]
         if near:
-            keys = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("way"), key(of).alias("key")) for i, of in near])))
-            repeated = {r["way"] for r in keys.groupBy("way", "key").count().groupBy("way").agg(F.max("count").alias("most")).where("most > 1").collect()}
+            rows, each = row["n"] * len(near), lambda *more: df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("way"), F.xxhash64(key(of)).alias("h"), *[m(of).alias("key") for m in more]) for i, of in near])))  # noqa: B023, E731
+            twice = written(dealt(each(), rows, "way", "h").groupBy("way", "h").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+            # Equal keys have equal hashes: without a hash that repeats no key does, and only rows of one that does are compared.
+            repeated = set()
+            if not twice.isEmpty():
+                many = twice.agg(F.sum("n")).first()[0]
+                same = dealt(each(key).join(twice.select("way", "h"), ["way", "h"], "left_semi"), many, "way", "h", "key").groupBy("way", "key").count().groupBy("way").agg(F.max("count").alias("most"))
+                repeated = {r["way"] for r in same.where("most > 1").collect()}
+            discard(twice)
             found = [of for i, of in near if i not in repeated]
         if found:
             break

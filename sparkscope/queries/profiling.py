@@ -86,7 +86,8 @@ def type_inference(spark, d):
 
 
 def composite_keys(spark, d):
-    li = table(spark, d, "lineitem").withColumn("l_slot", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = P.dealt(li, li.count(), "l_orderkey").withColumn("l_slot", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
     return P.composite_keys(li, ["l_orderkey", "l_slot", "l_suppkey"]).select(F.array_join("columns", ",").alias("columns"), F.col("size").cast("long").alias("size"))
 
 
