@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.typed import exact_text
+from ..functions.typed import as_number, exact_text
 from .profile import generic_type
 
 #: log2 of the hashes that a sketch keeps (32 kB).
@@ -33,21 +33,26 @@ def column_facts(tables: dict[str, DataFrame], columns: dict[str, list[str]], fo
     """
     parts, none = [], F.lit(None)
     for t, df in tables.items():
-        facts = []
-        for c in columns.get(t, ()):
+        given, facts = [], []  # a value's text and number are made once a row, before the aggregates that read them
+        for i, c in enumerate(columns.get(t, ())):
             v, kind, form_of = F.col(f"`{c}`"), generic_type(df.schema[c].dataType), df.schema[c].dataType
-            text = exact_text(v, form_of)
+            made = exact_text(v, form_of)
             sketch = lambda x: F.theta_sketch_agg(x, KEPT_BITS)
-            number = text.try_cast("double") if kind in ("NUMERIC", "STRING") else none.cast("double")
-            iso = v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & v.try_cast("timestamp").isNotNull()
-            more = [sketch(x) for x in forms(text, form_of)] if (t, c) in formed else []
+            plain = isinstance(form_of, (T.IntegralType, T.DoubleType, T.FloatType))
+            value = v.cast("double") if plain else as_number(made) if kind in ("NUMERIC", "STRING") else none.cast("double")
+            iso = v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & v.try_cast("timestamp").isNotNull() if kind == "STRING" else F.lit(False)
+            more = forms(made, form_of) if (t, c) in formed else []
+            # A form that is the text itself has the text's sketch.
+            names = [f"t{i}" if x is made else f"m{i}_{j}" for j, x in enumerate(more)]
+            given += [made.alias(f"t{i}"), value.alias(f"d{i}"), iso.alias(f"s{i}"), *[x.alias(k) for k, x in zip(names, more) if k != f"t{i}"]]
+            text, number, date = F.col(f"t{i}"), F.col(f"d{i}"), F.col(f"s{i}")
             facts.append(F.struct(
-                F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.count(v).alias("non_null"), F.bool_and(v.isNull() | F.coalesce(number == F.floor(number), F.lit(False))).alias("whole"),
-                F.count(number).alias("numbers"), (F.bool_and(v.isNull() | iso) if kind == "STRING" else F.bool_and(F.lit(False))).alias("dates"), F.bool_or(number < 0).alias("negative"), F.min(text).alias("low"), F.max(text).alias("high"),
-                sketch(text).alias("sketch"), (F.array(*more) if more else F.array().cast("array<binary>")).alias("forms"),
+                F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.count(text).alias("non_null"), F.bool_and(text.isNull() | F.coalesce(number == F.floor(number), F.lit(False))).alias("whole"),
+                F.count(number).alias("numbers"), (F.bool_and(text.isNull() | date) if kind == "STRING" else F.bool_and(F.lit(False))).alias("dates"), F.bool_or(number < 0).alias("negative"), F.min(text).alias("low"), F.max(text).alias("high"),
+                sketch(text).alias("sketch"), (F.array(*[sketch(F.col(k)) for k in names]) if more else F.array().cast("array<binary>")).alias("forms"),
             ))
         if facts:
-            wide = df.withColumn("of_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS))).groupBy("of_group").agg(*[f.alias(f"f{i}") for i, f in enumerate(facts)])
+            wide = df.select(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("of_group"), *given).groupBy("of_group").agg(*[f.alias(f"f{i}") for i, f in enumerate(facts)])
             parts.append(wide.select(F.lit(t).alias("table"), F.inline(F.array(*[F.col(f"f{i}") for i in range(len(facts))]))))
     merged = {"rows": F.sum, "non_null": F.sum, "whole": F.bool_and, "numbers": F.sum, "dates": F.bool_and, "negative": F.bool_or, "low": F.min, "high": F.max}
     union = lambda x: F.theta_union_agg(x, KEPT_BITS)
