@@ -30,7 +30,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         code, part, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], dtype=code.dtype).tobytes()
         for b in batches:
-            ids = [x + end for x in code.encode(b.column(1).to_pylist())]
+            ids = [x + end for x in code.encode(b.column(1))]
             n = [len(x) // code.dtype.itemsize for x in ids]
             at = list(accumulate(n, initial=before))
             before = at.pop()

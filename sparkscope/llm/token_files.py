@@ -136,7 +136,9 @@ def _dense_rounds(seq: np.ndarray, last: np.ndarray, base: int, least: int) -> t
 
 def _ranks(uses: np.ndarray, least: int) -> np.ndarray:
     """Different numbers that grow with the uses, for those that reach least; 0 for the others."""
-    return np.where(uses >= least, uses * len(uses) + np.arange(len(uses)), 0)
+    ranks, good = np.zeros(len(uses), dtype=np.int64), np.flatnonzero(uses >= least)
+    ranks[good] = uses[good] * len(uses) + good
+    return ranks
 
 
 def _numbered(at: np.ndarray, of: np.ndarray, pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +147,9 @@ def _numbered(at: np.ndarray, of: np.ndarray, pairs: np.ndarray, least: int) ->
     number = np.full(len(pairs), -1, dtype=np.int32)
     number[good] = np.arange(len(good), dtype=np.int32)
     of = number[of]
+    enough = of >= 0
     made, kind = pairs[good], pairs.dtype.type
-    return at[of >= 0], of[of >= 0], np.stack((made >> _half(kind), made & kind((1 << int(_half(kind))) - 1)), axis=1).astype(np.uint32)
+    return at[enough], of[enough], np.stack((made >> _half(kind), made & kind((1 << int(_half(kind))) - 1)), axis=1).astype(np.uint32)
 
 
 def _slots(keys: np.ndarray, rounds: int) -> np.ndarray:
@@ -199,13 +202,10 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarra
     first = np.arange(base, dtype=np.uint32) if identifiers is None else identifiers
     flat = np.concatenate((first, first[unfolded(np.arange(base, base + len(rules), dtype=np.uint32), rules, base)]))
     size = np.concatenate((np.ones(base, dtype=np.int32), lengths.astype(np.int32)))
-    begins = np.cumsum(size) - size
-    n = size[symbols]
-    ends = np.cumsum(n)
-    # Place i of the result is a fixed distance from its place in flat, the same for all that a symbol stands for.
-    places = np.repeat(begins[symbols] - (ends - n), n)
-    places += np.arange(len(places))
-    return flat[places]
+    places = np.concatenate(([0], np.cumsum(size, dtype=np.int64) * flat.itemsize))
+    each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(places), pa.py_buffer(flat)])
+    _, places, raw = each.take(pa.array(symbols)).buffers()
+    return np.frombuffer(raw, dtype=flat.dtype, count=int(np.frombuffer(places, dtype=np.int64)[len(symbols)]) // flat.itemsize)
 
 
 def shard_bytes(docs: list[tuple[int | None, np.ndarray]], vocabulary: int) -> tuple[bytes, dict]:

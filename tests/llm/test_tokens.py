@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -37,6 +38,38 @@ def test_odd_texts_and_a_small_cache(monkeypatch):
     assert [COUNTER.count(t) for t in ODD] == [len(ids(t)) for t in ODD]
 
 
+def test_a_word_is_looked_up_once_however_often_it_comes():
+    class Library:
+        calls = 0
+
+        def encode(self, *a, **b):
+            self.calls += 1
+            return LIBRARY.encode(*a, **b)
+
+    class Words(encode._Words):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    code, texts = encode.Encoder(), [f"Lorem ipsum, dolor{mark}\nSit amet {i % 7}" for i in range(500) for mark in ("", ".")]
+    code.library, code.known = Library(), Words(code, {})
+    assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode(texts)] == [ids(t) for t in texts]
+    # Six words and seven numbers, and the words before two marks; seven numbers and two marks go to the library as they are.
+    assert code.known.asked <= 15 and code.library.calls <= 9
+
+
+def test_texts_in_arrow_arrays_and_small_pieces(monkeypatch):
+    texts = [*ODD, "Ünd so\nwéiter. 9a\n日本 x", "\u2028a b", "a b\u3000", "x\x85y z", "<|endoftext|", "one\n<|endoftext|> two", "\n", "a\n", "'s a\n's b", "½a\n½ ²b\n日"]
+    for piece in (1, 40, 4 << 20):
+        monkeypatch.setattr(encode, "PIECE", piece)
+        for kind in (pa.string(), pa.large_string()):
+            column = pa.array([None, "left out", *texts, "left out"], kind)[2:-1]
+            assert [np.frombuffer(x, ENCODER.dtype).tolist() for x in ENCODER.encode(column)] == [ids(t) for t in texts]
+    assert ENCODER.encode([]) == [] and ENCODER.encode([None, None]) == [b"", b""]
+
+
 def frame(spark):
     rows = [(i if i != 4 else None, t) for i, t in enumerate(ODD)] + [(6, "a "), (6, "a ")]
     return rows, spark.createDataFrame([(a, b, 1, "x") for a, b in rows], "doc_id long, text string, part int, ids string").repartition(3)
